@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from partlens.plans.registry import PRIORITY_BUCKETS
 
@@ -26,39 +25,54 @@ STATUS_TEXTS = (
 IMPORT_TEXTS = ("In Progress", "Not Imported - duplicate", "Imported", "Done")
 
 
+# Stated schemas save a footer-reading job per table.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _pick(texts: tuple[str, ...], place: Column) -> Column:
-    """The text at ``place``, NULL past the end."""
-    return F.try_element_at(F.array(*[F.lit(t) for t in texts]), (place + 1).cast("int"))
+def _texts(values: tuple[str, ...]) -> str:
+    return "array(" + ", ".join(f"'{value}'" for value in values) + ")"
 
 
-def _prty() -> Column:
-    return _pick((*PRIORITY_BUCKETS, "X1"), (F.col("l_partkey") * 7 + F.col("l_linenumber")) % 21)
+def _pick(values: tuple[str, ...], place: str) -> str:
+    """The text at ``place``, counted from 0; NULL past the end."""
+    return f"try_element_at({_texts(values)}, cast({place} as int) + 1)"
 
 
-def _status(place: Column) -> Column:
-    return _pick(STATUS_TEXTS, place % (len(STATUS_TEXTS) + 1))
+def _status(place: str) -> str:
+    return _pick(STATUS_TEXTS, f"(({place}) % {len(STATUS_TEXTS) + 1})")
 
 
-def _registry_dates() -> list[Column]:
-    shipped, equal = F.col("l_shipdate").cast("date"), F.col("l_quantity") <= 2
-    return [
-        F.when(equal | (F.col("l_returnflag") == "R"), shipped).alias("lrd"),
-        F.when(equal | (F.col("l_returnflag") == "A"), shipped).alias("v_notfound_dat"),
-    ]
+_PRTY = _pick((*PRIORITY_BUCKETS, "X1"), "((l_partkey * 7 + l_linenumber) % 21)")
+_REGISTRY_DATES = (
+    "CASE WHEN l_quantity <= 2 OR l_returnflag = 'R' THEN cast(l_shipdate as date) END AS lrd",
+    "CASE WHEN l_quantity <= 2 OR l_returnflag = 'A' THEN cast(l_shipdate as date) END AS v_notfound_dat",
+)
 
 
-def _feed(lineitem: DataFrame, man_id: Column, mod_id: Column) -> DataFrame:
-    checked = F.date_add(F.col("l_shipdate").cast("date"), 3)
-    return lineitem.where(F.col("l_returnflag") != "R").select(
-        F.col("l_orderkey").cast("string").alias("mpn"),
-        man_id.alias("man_id"),
-        mod_id.alias("mod_id"),
-        F.when(F.col("l_linenumber") != 6, checked).alias("check_date"),
-        _status(F.col("l_partkey") + F.col("l_linenumber")).alias("status"),
+def _feed(lineitem: DataFrame, man_id: str, mod_id: str) -> DataFrame:
+    return lineitem.where("l_returnflag != 'R'").selectExpr(
+        "cast(l_orderkey as string) AS mpn",
+        f"{man_id} AS man_id",
+        f"{mod_id} AS mod_id",
+        "CASE WHEN l_linenumber != 6 THEN date_add(cast(l_shipdate as date), 3) END AS check_date",
+        f"{_status('l_partkey + l_linenumber')} AS status",
     )
 
 
@@ -66,38 +80,33 @@ def _feed(lineitem: DataFrame, man_id: Column, mod_id: Column) -> DataFrame:
 
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:
-    day, state = F.col("o_orderdate").cast("date"), F.col("o_orderstatus")
-    return table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("id"),
-        F.col("o_orderkey").cast("string").alias("part"),
-        F.concat(F.lit("NATION_"), F.col("o_custkey") % 25).alias("man"),
-        F.col("o_orderpriority").alias("module"),
-        F.col("o_custkey").alias("file_id"),
-        F.when(F.col("o_totalprice") < 20000, "not_valid").otherwise(state).alias("status"),
-        day.cast("string").alias("cm_date"),
-        F.when(state != "O", day).alias("last_run_date"),
-        F.when(state == "F", "found").when(state == "P", "not SE part").alias("table_name"),
-        F.lit("old|").alias("features"),
-        state.alias("monitor_features"),
-        F.lit(None).cast("string").alias("prty"),
-        F.lit(None).cast("bigint").alias("man_id"),
-        F.lit(None).cast("bigint").alias("module_id"),
+    return table(spark, folder, "orders").selectExpr(
+        "o_orderkey AS id",
+        "cast(o_orderkey as string) AS part",
+        "concat('NATION_', o_custkey % 25) AS man",
+        "o_orderpriority AS module",
+        "o_custkey AS file_id",
+        "CASE WHEN o_totalprice < 20000 THEN 'not_valid' ELSE o_orderstatus END AS status",
+        "cast(cast(o_orderdate as date) as string) AS cm_date",
+        "CASE WHEN o_orderstatus != 'O' THEN cast(o_orderdate as date) END AS last_run_date",
+        "CASE o_orderstatus WHEN 'F' THEN 'found' WHEN 'P' THEN 'not SE part' END AS table_name",
+        "'old|' AS features",
+        "o_orderstatus AS monitor_features",
+        "cast(NULL as string) AS prty",
+        "cast(NULL as bigint) AS man_id",
+        "cast(NULL as bigint) AS module_id",
     )
 
 
 def uploaded_files(spark: SparkSession, folder: str) -> DataFrame:
-    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
-    checked = (
-        F.when(segment == "MACHINERY", F.lit(AS_OF))
-        .when(segment != "BUILDING", F.date_sub(F.lit(AS_OF), 5))
-    )
-    stop = F.when(F.col("c_acctbal") >= 0, F.date_add(F.lit(AS_OF), (key % 21 - 10).cast("int")))
-    return table(spark, folder, "customer").select(
-        key.alias("id"),
-        F.col("c_name").alias("file_name"),
-        F.date_add(F.lit(date(1996, 1, 1)), (key % 1500).cast("int")).alias("upload_date"),
-        checked.alias("last_check_date"),
-        stop.alias("stop_monitor_date"),
+    as_of = f"DATE '{AS_OF}'"
+    return table(spark, folder, "customer").selectExpr(
+        "c_custkey AS id",
+        "c_name AS file_name",
+        "date_add(DATE '1996-01-01', cast(c_custkey % 1500 as int)) AS upload_date",
+        f"CASE c_mktsegment WHEN 'MACHINERY' THEN {as_of} WHEN 'BUILDING' THEN NULL ELSE date_sub({as_of}, 5) END "
+        "AS last_check_date",
+        f"CASE WHEN c_acctbal >= 0 THEN date_add({as_of}, cast(c_custkey % 21 - 10 as int)) END AS stop_monitor_date",
     )
 
 
@@ -107,26 +116,21 @@ def man_modules(spark: SparkSession) -> DataFrame:
 
 
 def priority_parts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("pn"),
-        (F.col("l_suppkey") % 4).alias("man_id"),
-        (F.col("l_partkey") % 2).alias("mod_id"),
-        _prty().alias("prty"),
-        *_registry_dates(),
+    return table(spark, folder, "lineitem").selectExpr(
+        "cast(l_orderkey as string) AS pn", "l_suppkey % 4 AS man_id", "l_partkey % 2 AS mod_id",
+        f"{_PRTY} AS prty", *_REGISTRY_DATES,
     )
 
 
 def notfound_feed(spark: SparkSession, folder: str) -> DataFrame:
-    return _feed(table(spark, folder, "lineitem"), F.col("l_suppkey") % 4, F.col("l_partkey") % 2)
+    return _feed(table(spark, folder, "lineitem"), "l_suppkey % 4", "l_partkey % 2")
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
-        (F.col("l_suppkey") % 4).alias("man_id"),
-        (F.col("l_partkey") % 2).alias("module_id"),
-        F.col("l_orderkey").cast("string").alias("part"),
-        F.when(F.col("l_linenumber") != 7, F.concat("l_returnflag", "l_linestatus")).alias("feature_name"),
-        F.when(F.col("l_tax") < 0.075, F.col("l_shipdate").cast("date")).alias("dat"),
+    return table(spark, folder, "lineitem").selectExpr(
+        "l_suppkey % 4 AS man_id", "l_partkey % 2 AS module_id", "cast(l_orderkey as string) AS part",
+        "CASE WHEN l_linenumber != 7 THEN concat(l_returnflag, l_linestatus) END AS feature_name",
+        "CASE WHEN l_tax < 0.075D THEN cast(l_shipdate as date) END AS dat",
     )
 
 
@@ -139,25 +143,18 @@ def matrix(spark: SparkSession) -> DataFrame:
 
 
 def direct_feed(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "nation").select(
-        F.col("n_name").alias("supplier"), (F.col("n_regionkey") % 2).alias("direct_feed"),
-        F.col("n_nationkey").alias("row_no"),
+    return table(spark, folder, "nation").selectExpr(
+        "n_name AS supplier", "n_regionkey % 2 AS direct_feed", "n_nationkey AS row_no"
     )
 
 
 def checked_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Parts after a run, with status texts of every class."""
-    state = F.col("monitor_features")
-    base = parts(spark, folder)
-    kept = base.drop("status", "table_name", "prty")
-    outcome = F.when(F.col("id") % 4 == 0, "not run").when(F.col("id") % 4 == 1, "found").when(
-        F.col("id") % 4 == 2, "not found"
-    )
-    return kept.select(
+    return parts(spark, folder).drop("status", "table_name", "prty").selectExpr(
         "*",
-        _status(F.col("id") + F.col("file_id")).alias("status"),
-        outcome.alias("table_name"),
-        F.when(state != "O", F.concat(F.lit("P"), F.col("id") % 3)).alias("prty"),
+        f"{_status('id + file_id')} AS status",
+        "CASE id % 4 WHEN 0 THEN 'not run' WHEN 1 THEN 'found' WHEN 2 THEN 'not found' END AS table_name",
+        "CASE WHEN monitor_features != 'O' THEN concat('P', id % 3) END AS prty",
     )
 
 
@@ -165,149 +162,120 @@ def checked_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, folder: str, with_labels: bool = True) -> DataFrame:
-    rows = table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("pn"),
-        F.col("l_suppkey").alias("man_id"),
-        (F.col("l_partkey") % 5).alias("mod_id"),
-        _prty().alias("prty"),
-        "l_partkey",
-        *_registry_dates(),
+    rows = table(spark, folder, "lineitem").selectExpr(
+        "cast(l_orderkey as string) AS pn", "l_suppkey AS man_id", "l_partkey % 5 AS mod_id",
+        f"{_PRTY} AS prty", "l_partkey", *_REGISTRY_DATES,
+        *([] if with_labels else ["cast(NULL as string) AS cs"]),
     )
     if not with_labels:
-        return rows.withColumn("cs", F.lit(None).cast("string")).drop("l_partkey")
-    first, second = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
-    packed = F.concat(first, F.lit(" | "), second, F.lit("|"), F.col("p_brand"), F.lit("||"), first)
-    labels = table(spark, folder, "part").select(
-        F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") % 10 != 0, packed).alias("cs")
+        return rows.drop("l_partkey")
+    first, second = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
+    labels = table(spark, folder, "part").selectExpr(
+        "p_partkey AS l_partkey",
+        f"CASE WHEN p_size % 10 != 0 THEN concat({first}, ' | ', {second}, '|', p_brand, '||', {first}) END AS cs",
     )
     return rows.join(labels, "l_partkey").drop("l_partkey")
 
 
 def registry_feed(spark: SparkSession, folder: str) -> DataFrame:
-    return _feed(table(spark, folder, "lineitem"), F.col("l_suppkey"), F.col("l_partkey") % 5)
+    return _feed(table(spark, folder, "lineitem"), "l_suppkey", "l_partkey % 5")
 
 
 def registry_modules(spark: SparkSession, folder: str) -> DataFrame:
-    places = table(spark, folder, "supplier").select(
-        "s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("k")
-    )
-    return places.select(
-        F.concat(F.lit("M"), F.col("s_suppkey") % 7, F.lit("-"), F.col("k")).alias("module_name"),
-        F.col("s_suppkey").alias("man_id"),
-        F.col("k").alias("module_id"),
-        ((F.col("s_suppkey") + F.col("k")) % 6).cast("int").alias("run_flag"),
+    places = table(spark, folder, "supplier").selectExpr("s_suppkey", "explode(array(0L, 1L, 2L, 3L)) AS k")
+    return places.selectExpr(
+        "concat('M', s_suppkey % 7, '-', k) AS module_name", "s_suppkey AS man_id", "k AS module_id",
+        "cast((s_suppkey + k) % 6 as int) AS run_flag",
     )
 
 
 def manufacturer(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("man_id"), F.col("s_name").alias("man_name")
-    )
+    return table(spark, folder, "supplier").selectExpr("s_suppkey AS man_id", "s_name AS man_name")
 
 
 def lifecycle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    line, size = F.col("l_linenumber"), F.col("p_size")
-    name = F.when(line == 5, "A)$.@(B").when(line != 6, F.col("l_orderkey").cast("string"))
     return {
-        "component": table(spark, folder, "lineitem").select(
-            F.col("l_partkey").alias("com_id"),
-            F.col("l_orderkey").cast("string").alias("com_partnum"),
-            F.col("l_suppkey").alias("man_id"),
-            name.alias("nan_partnum"),
+        "component": table(spark, folder, "lineitem").selectExpr(
+            "l_partkey AS com_id", "cast(l_orderkey as string) AS com_partnum", "l_suppkey AS man_id",
+            "CASE WHEN l_linenumber = 5 THEN 'A)$.@(B' WHEN l_linenumber != 6 THEN cast(l_orderkey as string) END "
+            "AS nan_partnum",
         ),
-        "history": table(spark, folder, "part").select(
-            F.col("p_partkey").alias("com_id"),
-            F.when(size % 4 != 0, 1).otherwise(0).alias("latest"),
-            F.when(size % 7 != 0, F.date_sub(F.lit(AS_OF), size * 4)).alias("last_checked_date"),
-            F.when(size % 3 != 0, F.lit(date(2000, 1, 1))).alias("se_lc_date"),
-            (F.col("p_partkey") % 25).alias("lc_lookup_id"),
+        "history": table(spark, folder, "part").selectExpr(
+            "p_partkey AS com_id",
+            "CASE WHEN p_size % 4 != 0 THEN 1 ELSE 0 END AS latest",
+            f"CASE WHEN p_size % 7 != 0 THEN date_sub(DATE '{AS_OF}', p_size * 4) END AS last_checked_date",
+            "CASE WHEN p_size % 3 != 0 THEN DATE '2000-01-01' END AS se_lc_date",
+            "p_partkey % 25 AS lc_lookup_id",
         ),
-        "lookup": table(spark, folder, "nation").select(
-            F.col("n_nationkey").cast("bigint").alias("lc_lookup_id"),
-            F.when(F.col("n_nationkey") % 3 == 0, "Obsolete")
-            .when(F.col("n_nationkey") % 3 == 1, "LTB")
-            .otherwise("Active")
-            .alias("se_lc"),
-            F.col("n_regionkey").cast("bigint").alias("source_reason_id"),
+        "lookup": table(spark, folder, "nation").selectExpr(
+            "cast(n_nationkey as bigint) AS lc_lookup_id",
+            "CASE n_nationkey % 3 WHEN 0 THEN 'Obsolete' WHEN 1 THEN 'LTB' ELSE 'Active' END AS se_lc",
+            "cast(n_regionkey as bigint) AS source_reason_id",
         ),
-        "reason": table(spark, folder, "region").select(
-            F.col("r_regionkey").cast("bigint").alias("source_reason_id"),
-            (F.col("r_regionkey") + 100).cast("bigint").alias("lc_src_id"),
+        "reason": table(spark, folder, "region").selectExpr(
+            "cast(r_regionkey as bigint) AS source_reason_id", "r_regionkey + 100L AS lc_src_id"
         ),
-        "source": table(spark, folder, "region").select(
-            (F.col("r_regionkey") + 100).cast("bigint").alias("lc_src_id"), F.col("r_name").alias("lc_src_name")
+        "source": table(spark, folder, "region").selectExpr(
+            "r_regionkey + 100L AS lc_src_id", "r_name AS lc_src_name"
         ),
     }
 
 
 # Event side: both feeds, part details, and the logs.
 
-
-def _event_key() -> list[Column]:
-    user = F.col("user_id")
-    return [
-        F.when(user % 50 != 0, F.concat(F.lit("U"), user)).alias("mpn"),
-        F.concat(F.lit("M"), user % 5).alias("man"),
-        F.concat(F.lit("X"), user % 3).alias("module"),
-    ]
+_EVENT_KEY = (
+    "CASE WHEN user_id % 50 != 0 THEN concat('U', user_id) END AS mpn",
+    "concat('M', user_id % 5) AS man",
+    "concat('X', user_id % 3) AS module",
+)
 
 
 def import_feed(spark: SparkSession, folder: str, event_type: str) -> DataFrame:
     """The found feed (``view``) or the not-found feed (``signup``)."""
-    place = F.floor("value") % (len(IMPORT_TEXTS) + 1)
-    return table(spark, folder, "events").where(F.col("event_type") == event_type).select(
-        *_event_key(),
-        F.when(F.col("value") >= 0.5, F.date_format("ts", "yyyy-MM-dd")).alias("check_date"),
-        _pick(IMPORT_TEXTS, place).alias("auto_imp_status"),
+    place = f"(floor(value) % {len(IMPORT_TEXTS) + 1})"
+    return table(spark, folder, "events").where(f"event_type = '{event_type}'").selectExpr(
+        *_EVENT_KEY,
+        "CASE WHEN value >= 0.5D THEN date_format(ts, 'yyyy-MM-dd') END AS check_date",
+        f"{_pick(IMPORT_TEXTS, place)} AS auto_imp_status",
     )
 
 
 def part_details(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events").where(F.col("event_type").isin("click", "purchase", "error"))
-    return events.select(
-        *_event_key(),
-        F.when(F.col("value") >= 1, "P1").alias("priority"),
-        F.col("props").alias("online_link"),
-        _pick(("Found", "not found", "FOUND"), F.col("event_id") % 4).alias("status"),
-        F.lit(None).cast("string").alias("found_part"),
-        F.date_format("ts", "dd-MMM-yyyy").alias("sys_date"),
+    events = table(spark, folder, "events").where("event_type IN ('click', 'purchase', 'error')")
+    return events.selectExpr(
+        *_EVENT_KEY,
+        "CASE WHEN value >= 1 THEN 'P1' END AS priority",
+        "props AS online_link",
+        f"{_pick(('Found', 'not found', 'FOUND'), '(event_id % 4)')} AS status",
+        "cast(NULL as string) AS found_part",
+        "date_format(ts, 'dd-MMM-yyyy') AS sys_date",
     )
 
 
 def activity_log(spark: SparkSession, folder: str) -> DataFrame:
-    kind = F.col("event_type")
-    action = (
-        F.when(kind == "click", "LOGIN")
-        .when(kind == "error", "LOGIN_FAILED")
-        .when(kind == "view", "FILE_UPLOAD")
-        .when(kind == "signup", "PERMISSION_DENIED")
-        .otherwise("RAW_DOWNLOAD")
-    )
-    return table(spark, folder, "events").select(
-        F.col("ts").alias("timestamp"),
-        F.concat(F.lit("user"), F.col("user_id")).alias("username"),
-        action.alias("action"),
-        F.col("props").alias("details"),
-        F.concat(F.lit("10.0.0."), F.col("user_id") % 256).alias("ip_address"),
+    return table(spark, folder, "events").selectExpr(
+        "ts AS timestamp",
+        "concat('user', user_id) AS username",
+        "CASE event_type WHEN 'click' THEN 'LOGIN' WHEN 'error' THEN 'LOGIN_FAILED' WHEN 'view' THEN 'FILE_UPLOAD' "
+        "WHEN 'signup' THEN 'PERMISSION_DENIED' ELSE 'RAW_DOWNLOAD' END AS action",
+        "props AS details",
+        "concat('10.0.0.', user_id % 256) AS ip_address",
     )
 
 
 def process_log(spark: SparkSession, folder: str) -> DataFrame:
-    kind = F.col("event_type")
-    job = F.concat(F.lit("job"), F.col("user_id") % 3)
-    seconds = F.col("value").cast("decimal(18,2)").cast("string")
     message = (
-        F.when(kind == "click", F.concat(F.lit("PROCESS START: "), job))
-        .when(kind == "purchase", F.concat(F.lit("PROCESS END: "), job, F.lit(" - SUCCESS")))
-        .when(kind == "error", F.concat(F.lit("PROCESS END: "), job, F.lit(" - FAILED")))
-        .when(kind == "view", F.concat(F.lit("STEP: "), job))
-        .otherwise(F.concat(F.lit("Status query completed in "), seconds, F.lit(" seconds")))
+        "CASE event_type WHEN 'click' THEN concat('PROCESS START: job', user_id % 3) "
+        "WHEN 'purchase' THEN concat('PROCESS END: job', user_id % 3, ' - SUCCESS') "
+        "WHEN 'error' THEN concat('PROCESS END: job', user_id % 3, ' - FAILED') "
+        "WHEN 'view' THEN concat('STEP: job', user_id % 3) "
+        "ELSE concat('Status query completed in ', cast(value as decimal(18, 2)), ' seconds') END"
     )
-    return table(spark, folder, "events").select(
-        F.col("ts").alias("timestamp"),
-        F.concat(F.lit("proc_"), F.col("user_id") % 12).alias("parent_process"),
-        kind.alias("subprocess"),
-        F.when(kind == "error", "ERROR").otherwise("INFO").alias("level"),
-        message.alias("message"),
-        F.col("props").alias("details"),
+    return table(spark, folder, "events").selectExpr(
+        "ts AS timestamp",
+        "concat('proc_', user_id % 12) AS parent_process",
+        "event_type AS subprocess",
+        "CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level",
+        f"{message} AS message",
+        "props AS details",
     )

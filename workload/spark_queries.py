@@ -53,6 +53,13 @@ def snapshot(spark: SparkSession, folder: str, lc_mode: str = "reference", with_
     )
 
 
+def live(spark: SparkSession, folder: str, with_labels: bool = False) -> DataFrame:
+    """Rows for the dashboard figures; labels are joined in only where they are shown."""
+    return registry.live_rows(
+        base(spark, folder, with_labels), b.registry_modules(spark, folder), b.manufacturer(spark, folder), b.AS_OF
+    )
+
+
 def drilldown(spark: SparkSession, folder: str, request: RegistryFilter | None, lc_mode: str, rule: str) -> DataFrame:
     return registry.drilldown(
         base(spark, folder), b.registry_modules(spark, folder), b.manufacturer(spark, folder), b.AS_OF,
@@ -118,53 +125,53 @@ def registry_filter_member_label(spark, folder):
 
 @query
 def registry_kpis(spark, folder):
-    return registry_charts.kpis(snapshot(spark, folder, with_labels=False))
+    return registry_charts.kpis(live(spark, folder))
 
 
 @query
 def registry_charts_all(spark, folder):
-    return registry_charts.charts(snapshot(spark, folder, with_labels=False))
+    return registry_charts.charts(live(spark, folder))
 
 
 @query
 def registry_chart_sets(spark, folder):
-    return registry_charts.chart_sets(snapshot(spark, folder, with_labels=False))
+    return registry_charts.chart_sets(live(spark, folder))
 
 
 @query
 def registry_top_mans(spark, folder):
-    return registry_charts.top_manufacturers(snapshot(spark, folder, with_labels=False))
+    return registry_charts.top_manufacturers(live(spark, folder))
 
 
 @query
 def registry_labels(spark, folder):
-    return registry_charts.label_counts(snapshot(spark, folder))
+    return registry_charts.label_counts(live(spark, folder, True))
 
 
 @query
 def registry_labels_filtered(spark, folder):
     narrow = RegistryFilter(cs_labels=["Brand#2"], statuses=["found"])
-    return registry_charts.label_counts(snapshot(spark, folder), narrow.condition("word"))
+    return registry_charts.label_counts(live(spark, folder, True), narrow.condition("word"))
 
 
 @query
 def registry_timeline(spark, folder):
-    return registry_charts.timeline(snapshot(spark, folder, with_labels=False), b.AS_OF)
+    return registry_charts.timeline(live(spark, folder), b.AS_OF)
 
 
 @query
 def registry_timeline_range(spark, folder):
-    return registry_charts.timeline_range(snapshot(spark, folder, with_labels=False), b.AS_OF)
+    return registry_charts.timeline_range(live(spark, folder), b.AS_OF)
 
 
 @query
 def registry_options(spark, folder):
-    return registry_charts.filter_options(snapshot(spark, folder))
+    return registry_charts.filter_options(live(spark, folder, True))
 
 
 @query
 def registry_table(spark, folder):
-    return registry_charts.table(snapshot(spark, folder, with_labels=False))
+    return registry_charts.table(live(spark, folder))
 
 
 @query
