@@ -1,16 +1,16 @@
-"""One row per key without a window.
+"""One row, or the tied newest rows, per key.
 
-A row-number window sorts a whole key in one task, so a key holding a third of
-all rows would stall the job. These pick the same row with ``max``/``min`` over
-a struct, which Spark combines on the map side: every task ships at most one
-row per key.
+A plain window sorts a whole key in one task, so a key holding a third of all
+rows would stall the job. Single rows are picked with ``max``/``min`` over a
+struct, which Spark combines on the map side: every task ships at most one row
+per key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,12 +52,17 @@ def newest_values(
 ) -> DataFrame:
     """Per key the newest ``moment`` (NULL is newest) and the distinct ``value`` entries tied on it.
 
-    Both steps combine on the map side; the second one sees a single row per
-    (key, moment), so the values are gathered once and never ranked row by row.
+    Equal rows are removed first, spread by all their columns. Spark pushes the
+    rank limit below the shuffle (WindowGroupLimit), so each task ships only
+    its own newest rows of a key, however many rows the key has.
     """
     if value is None:
-        return latest_per_key(df, keys, largest_null_first(moment), [moment])
-    per_moment = df.groupBy(*keys, moment).agg(
-        F.sort_array(F.collect_set(F.coalesce(F.col(value), F.lit("")))).alias(into)
+        return df.groupBy(*keys).agg(
+            F.bool_or(F.col(moment).isNull()).alias("_missing"), F.max(moment).alias("_newest")
+        ).select(*keys, F.when(~F.col("_missing"), F.col("_newest")).alias(moment))
+    entries = df.select(*keys, moment, F.coalesce(F.col(value), F.lit("")).alias("_value")).distinct()
+    newest_first = Window.partitionBy(*keys).orderBy(F.col(moment).desc_nulls_first())
+    newest = entries.withColumn("_rank", F.rank().over(newest_first)).where(F.col("_rank") == 1)
+    return newest.groupBy(*keys).agg(
+        F.max(moment).alias(moment), F.sort_array(F.collect_list("_value")).alias(into)
     )
-    return latest_per_key(per_moment, keys, largest_null_first(moment), [moment, into])

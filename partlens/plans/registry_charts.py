@@ -172,15 +172,12 @@ def filter_options(snapshot: DataFrame) -> DataFrame:
         "lc_outdated": F.col("lc_outdated").cast("string"),
         "error_status": F.nullif(F.col("error_status"), F.lit("")),
     }
-    cells = snapshot.groupBy(
-        "man_name", "module_name", "prty", "status", "run_flag", "lc_outdated", "error_status"
-    ).agg(F.lit(1).alias("one"))
     bars = F.array(*[F.struct(F.lit(name).alias("option"), c.alias("value")) for name, c in plain.items()])
-    singles = cells.select(F.inline(bars))
-    labels = snapshot.groupBy("cs").agg(F.lit(1).alias("one")).select(
-        F.lit("cs_labels").alias("option"), F.explode(label_list(F.col("cs"))).alias("value")
+    labels = F.transform(
+        label_list(F.col("cs")), lambda x: F.struct(F.lit("cs_labels").alias("option"), x.alias("value"))
     )
-    return singles.unionByName(labels).where(F.col("value").isNotNull()).distinct()
+    # Expanded in memory and made distinct on the map side: only the few values are shuffled.
+    return snapshot.select(F.inline(F.concat(bars, labels))).where(F.col("value").isNotNull()).distinct()
 
 
 def table(snapshot: DataFrame) -> DataFrame:

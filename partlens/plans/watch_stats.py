@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partlens.functions import classify
@@ -44,6 +44,11 @@ def simply_classed(results: DataFrame) -> DataFrame:
     )
 
 
+def ungrouped(rows: DataFrame) -> DataFrame:
+    """Classed rows counting one each; every figure below takes them in place of the cube."""
+    return rows.withColumn("count", F.lit(1).cast("bigint"))
+
+
 def cube(rows: DataFrame) -> DataFrame:
     """Counts per nine keys, NULL groups kept."""
     return (
@@ -101,9 +106,14 @@ def direct_feed_flag(rows: DataFrame, direct_feed: DataFrame) -> DataFrame:
     return joined.withColumn("direct_feed", F.coalesce("_fed", F.lit(0))).drop("_fed")
 
 
-def _module_figures(grouped: DataFrame, as_of: date | datetime) -> DataFrame:
+def _pair_figures(grouped: DataFrame, as_of: date | datetime) -> DataFrame:
+    """One row per (module, man) pair with the figures of the whole module.
+
+    Rows are counted per pair first; the module totals are then summed over the
+    few pairs of a module, so the large table is read once.
+    """
     count, status = F.col("count"), F.col("status")
-    return grouped.where(F.col("module").isNotNull()).groupBy("module").agg(
+    pairs = grouped.where(F.col("module").isNotNull()).groupBy("module", "man").agg(
         F.min("run_flag").alias("run_flag"),
         total(count).alias("total_count"),
         sum_where(status.isin(*classify.MODULE_ERROR_STATUSES), count).alias("error_count"),
@@ -111,6 +121,12 @@ def _module_figures(grouped: DataFrame, as_of: date | datetime) -> DataFrame:
         sum_where(F.col("is_expired"), count).alias("expired_count"),
         sum_where(F.col("last_run_date") >= days_before(as_of, RECENT_DAYS), count).alias("recent_count"),
     )
+    module = Window.partitionBy("module")
+    sums = ("total_count", "error_count", "found_count", "expired_count", "recent_count")
+    return pairs.select(
+        "module", "man", F.min("run_flag").over(module).alias("run_flag"),
+        *[F.sum(name).over(module).alias(name) for name in sums],
+    )
 
 
 def module_stats(
@@ -118,8 +134,7 @@ def module_stats(
 ) -> DataFrame:
     """Figures of a module, once per (module, man) pair that occurs.
 
-    The figures are per module; only the direct-feed status is per pair. One
-    group-by per level stands in for a scan per pair.
+    The figures are per module; only the direct-feed status is per pair.
     """
     known = first_match(matrix, "modules", ["running_status", "module_comment", "old"], "row_no")
     dim = known.select(
@@ -132,9 +147,7 @@ def module_stats(
     feed = first_match(direct_feed, "supplier", ["direct_feed"], "row_no").select(
         F.col("supplier").alias("man"), F.col("direct_feed").alias("fed")
     )
-    pairs = grouped.where(F.col("module").isNotNull()).select("module", "man").distinct()
-    figures = _module_figures(grouped, as_of).join(dim, "module", "left")
-    rows = pairs.join(figures, "module").join(feed, "man", "left")
+    rows = _pair_figures(grouped, as_of).join(dim, "module", "left").join(feed, "man", "left")
     whole = F.col("total_count")
     shares = {
         f"{kind}_percentage": percentage(F.col(f"{kind}_count"), whole)
@@ -179,7 +192,7 @@ def file_stats(grouped: DataFrame, grace_days: int = 1) -> DataFrame:
 
 def daily_file_stats(results: DataFrame) -> DataFrame:
     """File figures of the daily report: simple classes and no grace day."""
-    return file_stats(cube(simply_classed(results)), grace_days=0)
+    return file_stats(ungrouped(simply_classed(results)), grace_days=0)
 
 
 def banded(stats: DataFrame) -> DataFrame:

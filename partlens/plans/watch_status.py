@@ -103,8 +103,8 @@ def _looked_up(parts: DataFrame, man_modules: DataFrame, registry: DataFrame, fe
     """
     return (
         with_modules(parts, man_modules)
-        .join(key_facts(registry, feed), ["part", "new_man_id", "new_module_id"], "left")
         .join(registered_parts(registry), ["part", "new_man_id"], "left")
+        .join(key_facts(registry, feed), ["part", "new_man_id", "new_module_id"], "left")
     )
 
 
@@ -169,24 +169,25 @@ def newest_features(features: DataFrame, has_names: bool = True) -> DataFrame:
     return newest.select(*FEATURE_KEY, F.col("dat").alias("new_last_run_date"), packed.alias("new_features"))
 
 
-def _found_scope(
+def _with_scope(
     parts: DataFrame, files: DataFrame, man_modules: DataFrame, scope: str
-) -> tuple[DataFrame, DataFrame]:
-    """Parts the found merge touches, with module ids, and the rest."""
-    modules = modules_of(parts, files, man_modules)
-    if scope == "module":
-        names = modules.select(F.col("module_name").alias("module"))
-        inside, outside = parts.join(names, "module", "left_semi"), parts.join(names, "module", "left_anti")
-    elif scope == "file":
-        inside = in_files(parts, files)
-        outside = parts.join(files.select(F.col("id").alias("file_id")), "file_id", "left_anti")
-    else:
-        raise ValueError(f"unknown scope: {scope}")
-    ids = modules.select(
+) -> DataFrame:
+    """Parts with ``in_scope`` and their module ids as the key of the feature lookup.
+
+    Parts out of scope keep their part number in the key, so they spread over
+    the shuffle in place of piling up on a NULL key.
+    """
+    ids = modules_of(parts, files, man_modules).select(
         F.col("module_name").alias("module"), F.col("man_id").alias("key_man_id"),
         F.col("module_id").alias("key_module_id"),
     )
-    return inside.join(ids, "module", "left"), outside.select(*parts.columns)
+    rows = parts.join(ids, "module", "left")
+    if scope == "module":
+        return rows.withColumn("in_scope", F.col("key_man_id").isNotNull())
+    if scope != "file":
+        raise ValueError(f"unknown scope: {scope}")
+    due = files.select(F.col("id").alias("file_id"), F.lit(True).alias("_due"))
+    return rows.join(due, "file_id", "left").withColumn("in_scope", F.coalesce("_due", F.lit(False)))
 
 
 def _feature_lookup(features: DataFrame, has_names: bool) -> DataFrame:
@@ -205,10 +206,10 @@ def found_source(
     scope: str = "module",
 ) -> DataFrame:
     """The rows the found merge would bring: parts with feature records."""
-    inside, _ = _found_scope(parts, files, man_modules, scope)
+    rows = _with_scope(parts, files, man_modules, scope).where("in_scope")
     lookup = _feature_lookup(features, has_names).drop("has_feature")
     extra = ["new_features"] if has_names else []
-    return inside.join(lookup, ["part", "key_man_id", "key_module_id"]).select(
+    return rows.join(lookup, ["part", "key_man_id", "key_module_id"]).select(
         "id", "part", *extra, "new_last_run_date"
     )
 
@@ -238,12 +239,12 @@ def merge_found(
     scope: str = "module",
 ) -> DataFrame:
     """Found merge over the whole parts table; every module of the files in one join."""
-    inside, outside = _found_scope(parts, files, man_modules, scope)
-    joined = inside.join(
+    rows = _with_scope(parts, files, man_modules, scope)
+    joined = rows.join(
         _feature_lookup(features, has_names), ["part", "key_man_id", "key_module_id"], "left"
     )
-    merged = update_where(joined, F.col("has_feature"), found_rules(has_names))
-    return merged.select(*parts.columns).unionByName(outside)
+    hit = F.col("in_scope") & F.col("has_feature")
+    return update_where(joined, hit, found_rules(has_names)).select(*parts.columns)
 
 
 def run_status(
@@ -257,10 +258,28 @@ def run_status(
     names: Sequence[str] | None = None,
     ignore_check_date: bool = False,
 ) -> DataFrame:
-    """Both merges as one plan: the parts table after a status run."""
+    """Both merges as one plan: the parts table after a status run.
+
+    The parts are read once. They meet the key facts and the features on the
+    same three columns, so one shuffle of the parts serves both joins. Module
+    names and files do not change in the first merge, so the scope of the
+    second is known from the start.
+    """
     due = eligible_files(files, as_of, names, ignore_check_date)
-    merged = merge_status(parts, due, man_modules, registry, feed)
-    return merge_found(merged, due, man_modules, features)
+    used = modules_of(parts, due, man_modules).select(
+        F.col("module_name").alias("module"), F.lit(True).alias("in_scope")
+    )
+    flags = due.select(F.col("id").alias("file_id"), F.lit(True).alias("is_due"))
+    rows = parts.join(flags, "file_id", "left").join(used, "module", "left")
+    lookup = _feature_lookup(features, True).withColumnsRenamed(
+        {"key_man_id": "new_man_id", "key_module_id": "new_module_id"}
+    )
+    joined = _looked_up(rows, man_modules, registry, feed).join(
+        lookup, ["part", "new_man_id", "new_module_id"], "left"
+    )
+    checked = update_where(joined, F.col("is_due"), _computed())
+    merged = update_where(checked, F.col("in_scope") & F.col("has_feature"), found_rules())
+    return merged.select(*parts.columns)
 
 
 def mark_checked(files: DataFrame, as_of: date, names: Sequence[str] | None = None) -> DataFrame:

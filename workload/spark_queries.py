@@ -302,9 +302,13 @@ def grouped(spark: SparkSession, folder: str) -> DataFrame:
     return watch_stats.cube(classed_rows(spark, folder))
 
 
+def live_watch(spark: SparkSession, folder: str) -> DataFrame:
+    return watch_stats.ungrouped(classed_rows(spark, folder))
+
+
 def module_stats(spark: SparkSession, folder: str) -> DataFrame:
     return watch_stats.module_stats(
-        grouped(spark, folder), b.matrix(spark), b.direct_feed(spark, folder), b.AS_OF
+        live_watch(spark, folder), b.matrix(spark), b.direct_feed(spark, folder), b.AS_OF
     )
 
 
@@ -315,17 +319,17 @@ def watch_cube(spark, folder):
 
 @query
 def watch_kpis(spark, folder):
-    return watch_stats.kpis(grouped(spark, folder))
+    return watch_stats.kpis(live_watch(spark, folder))
 
 
 @query
 def watch_distributions(spark, folder):
-    return watch_stats.distributions(grouped(spark, folder))
+    return watch_stats.distributions(live_watch(spark, folder))
 
 
 @query
 def watch_timeline(spark, folder):
-    return watch_stats.timeline(grouped(spark, folder))
+    return watch_stats.timeline(live_watch(spark, folder))
 
 
 @query
@@ -345,7 +349,7 @@ def watch_validation(spark, folder):
 
 @query
 def watch_file_stats_offset(spark, folder):
-    return watch_stats.largest_first(watch_stats.file_stats(grouped(spark, folder)), "file")
+    return watch_stats.largest_first(watch_stats.file_stats(live_watch(spark, folder)), "file")
 
 
 @query
@@ -360,7 +364,7 @@ def watch_file_bands(spark, folder):
 
 @query
 def watch_filter_options(spark, folder):
-    return watch_stats.filter_options(grouped(spark, folder))
+    return watch_stats.filter_options(live_watch(spark, folder))
 
 
 @query
@@ -387,7 +391,7 @@ def watch_filter_rows(spark, folder):
 
 def _status_by_date(granularity: str) -> Query:
     def run(spark, folder):
-        return watch_stats.status_by_date(grouped(spark, folder), date(1999, 1, 31), granularity)
+        return watch_stats.status_by_date(live_watch(spark, folder), date(1999, 1, 31), granularity)
 
     return run
 
