@@ -14,9 +14,6 @@ from partlens.schemas import (
     DIRECT_FEED, FEED_EXPORT, MATRIX, PART_DETAILS, PROCESS_LOG, WATCHLIST_LEADING, WATCHLIST_OPTIONAL,
 )
 
-# A value no file holds: keeps empty fields apart from missing ones.
-_NEVER = "\u0001"
-
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files of a folder; contents are not read."""
@@ -79,15 +76,23 @@ def read_all_text(
 ) -> DataFrame:
     """All-string rows; lines with too many fields are skipped, short ones padded with NULL.
 
-    One spare column catches surplus fields. Parsing stays per line, so files split freely.
+    Lines whose field count is off arrive whole in ``_line``; their separators
+    outside quotes tell short from long. Parsing stays per line, so files
+    split freely. Columns are not pruned while parsing, as that would hide
+    surplus fields.
     """
-    spare = T.StructType([*schema.fields, T.StructField("_surplus", T.StringType())])
-    rows = spark.read.csv(
-        path, sep=sep, header=header, schema=spare, encoding=encoding, escape='"',
-        nullValue=_NEVER, emptyValue="", mode="PERMISSIVE", enforceSchema=True,
+    rows = spark.read.option("columnPruning", "false").csv(
+        path, sep=sep, header=header, encoding=encoding, escape='"', mode="PERMISSIVE", enforceSchema=True,
+        schema=T.StructType([*schema.fields, T.StructField("_line", T.StringType())]),
+        columnNameOfCorruptRecord="_line",
+    )
+    unquoted = F.regexp_replace("_line", '"(?:[^"]|"")*"', "")
+    separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit("")))
+    # A short line always lacks its last field.
+    short = F.col(schema.names[-1]).isNull() & (separators < len(schema.names))
+    return rows.where(F.col("_line").isNull() | short).select(
+        *schema.names, F.col("_metadata.file_name").alias("file_name")
     )
-    fields = [F.nullif(F.col(name), F.lit("")).alias(name) for name in schema.names]
-    return rows.where(F.col("_surplus").isNull()).select(*fields, F.col("_metadata.file_name").alias("file_name"))
 
 
 def read_feed(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
