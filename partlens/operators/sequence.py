@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 def with_next(
     df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[Column], keep: Sequence[str],
-    slot: str = "hour", into: str = "next",
+    slot: str = "minute", into: str = "next",
 ) -> DataFrame:
     """Adds struct ``into`` holding ``keep`` of the next record of the same key.
 
     The window runs inside a (key, time slot), so a key holding a third of all
     rows spreads over its slots. The last record of a slot takes the head of
-    the key's next non-empty slot; heads are one row per slot.
+    the key's next non-empty slot; heads are one row per slot. Count equal
+    records together first when one moment may repeat without bound.
     """
     record = F.struct(*[F.col(name) for name in keep])
     order = [F.col(time), *tie]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from partlens.functions import classify
 from partlens.functions.dates import moment
-from partlens.functions.figures import percentage
+from partlens.functions.figures import percentage, sum_where
 from partlens.operators.sequence import with_next
 
 # How many entries the log view keeps and shows.
@@ -89,42 +89,46 @@ def message_counts(log: DataFrame) -> DataFrame:
     return parsed_log(log).groupBy("parent_process", "kind").agg(F.count("*").alias("value"))
 
 
-def process_runs(log: DataFrame, slot: str = "hour") -> DataFrame:
-    """Each START with the next START or END of its process.
+def process_runs(log: DataFrame, slot: str = "minute") -> DataFrame:
+    """Each START with what follows it: ``runs`` alike START records per row.
 
     A run has ended only when the next lifecycle record is an END; a START
-    followed by another START, or by nothing, is unfinished.
+    followed by another START, or by nothing, is unfinished. At one instant
+    STARTs come before ENDs. Records of one instant are counted together
+    before anything is put in order, so repeated records cost nothing.
     """
     marks = parsed_log(log).where(F.col("kind").isin("START", "END"))
-    paired = with_next(
-        marks.select("parent_process", "subject", "timestamp", "kind", "outcome"),
-        keys=["parent_process", "subject"],
-        time="timestamp",
-        tie=[F.col("kind") == "END"],
-        keep=["timestamp", "kind", "outcome"],
-        slot=slot,
+    key = ["parent_process", "subject"]
+    instants = marks.groupBy(*key, "timestamp").agg(
+        F.count_if(F.col("kind") == "START").alias("starts"), F.min("outcome").alias("outcome")
     )
-    ended = F.col("next.kind") == "END"
-    micros = F.unix_micros(F.col("next.timestamp").cast("timestamp")) - F.unix_micros(
-        F.col("timestamp").cast("timestamp")
+    following = with_next(instants, key, "timestamp", [], ["timestamp", "starts", "outcome"], slot)
+    here = F.col("outcome").isNotNull()
+    there = F.coalesce(F.col("next.starts") == 0, F.lit(False))
+    ended = F.when(here, F.col("timestamp")).when(there, F.col("next.timestamp"))
+    outcome = F.when(here, F.col("outcome")).when(there, F.col("next.outcome")).otherwise("UNFINISHED")
+    last = F.struct(ended.alias("ended"), outcome.alias("outcome"), F.lit(1).cast("bigint").alias("runs"))
+    earlier = F.struct(
+        F.lit(None).alias("ended"), F.lit("UNFINISHED").alias("outcome"), (F.col("starts") - 1).alias("runs")
     )
-    return paired.where(F.col("kind") == "START").select(
-        "parent_process", "subject", F.col("timestamp").alias("started"),
-        F.when(ended, F.col("next.timestamp")).alias("ended"),
-        F.when(ended, F.col("next.outcome")).otherwise("UNFINISHED").alias("outcome"),
-        F.when(ended, micros).alias("micros"),
+    rows = following.where(F.col("starts") > 0).select(
+        *key, F.col("timestamp").alias("started"), F.inline(F.array(last, earlier))
     )
+    micros = F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))
+    return rows.where(F.col("runs") > 0).groupBy(*key, "started", "ended", "outcome").agg(
+        F.sum("runs").alias("runs")
+    ).withColumn("micros", micros)
 
 
 def process_durations(runs: DataFrame) -> DataFrame:
     """Runs per process: counts, share of successes, longest and total time."""
-    succeeded = F.count_if(F.col("outcome") == "SUCCESS")
-    return runs.groupBy("parent_process", "subject").agg(
-        F.count("*").alias("runs"),
-        succeeded.alias("succeeded"),
-        F.count_if(F.col("outcome") == "FAILED").alias("failed"),
-        F.count_if(F.col("outcome") == "UNFINISHED").alias("unfinished"),
-        F.coalesce(F.sum("micros"), F.lit(0)).alias("total_micros"),
+    count, outcome = F.col("runs"), F.col("outcome")
+    sums = runs.groupBy("parent_process", "subject").agg(
+        F.sum(count).alias("runs"),
+        sum_where(outcome == "SUCCESS", count).alias("succeeded"),
+        sum_where(outcome == "FAILED", count).alias("failed"),
+        sum_where(outcome == "UNFINISHED", count).alias("unfinished"),
+        F.coalesce(F.sum(F.col("micros") * count), F.lit(0)).alias("total_micros"),
         F.coalesce(F.max("micros"), F.lit(0)).alias("longest_micros"),
-        percentage(succeeded, F.count("*")).alias("success_percentage"),
     )
+    return sums.select("*", percentage(F.col("succeeded"), F.col("runs")).alias("success_percentage"))

@@ -23,7 +23,6 @@ LC_OBSOLETE = "Obsolete"
 LC_LAST_BUY = "LTB"
 JUNK_PART_MARK = "%)$.@(%"
 LC_MAX_AGE_DAYS = 90
-REPEAT_BLOCK = 4096
 
 SNAPSHOT_COLUMNS = (
     "man_name", "module_name", "run_flag", "prty", "cs", "lrd2", "v_notfound_dat2", "status",
@@ -173,29 +172,27 @@ def drilldown(
 ) -> DataFrame:
     """Registry rows with part number, under the same rules as the snapshot.
 
-    ``lc_mode="reference"`` repeats a row once per outdated record of its part,
-    ``"weighted"`` gives it once with the number in ``weight``, ``"distinct"``
-    gives it once.
+    ``lc_mode="reference"`` keeps ``weight``: how often the plain join to the
+    outdated set would repeat the row. The copies would be equal in every
+    column, and a part with many records on both sides would give all their
+    pairs, so each row comes once with its number. ``"distinct"`` drops it.
     """
     rows = _classed(_named(base, man_modules, manufacturer), as_of)
     if request is not None:
         rows = filter_registry(rows, request, label_rule)
-    columns = [
+    extra = {"reference": ["weight"], "distinct": []}
+    if lc_mode not in extra:
+        raise ValueError(f"unknown lc_mode: {lc_mode}")
+    return rows.select(
         F.col("pn").alias("part_number"), "man_name", "module_name", "run_flag", "prty", "cs",
         "lrd2", "v_notfound_dat2", "status", "lr_date", "lc_outdated", "error_status", "is_expired",
-    ]
-    if lc_mode == "weighted":
-        return rows.select(*columns, "weight")
-    if lc_mode == "distinct":
-        return rows.select(*columns)
-    if lc_mode != "reference":
-        raise ValueError(f"unknown lc_mode: {lc_mode}")
-    # Repeats come out block by block, so no row ever holds a long array.
-    blocks = rows.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.call_function("div", F.col("weight") - 1, F.lit(REPEAT_BLOCK))))
+        *extra[lc_mode],
     )
-    in_block = F.least(F.col("weight") - F.col("_block") * REPEAT_BLOCK, F.lit(REPEAT_BLOCK))
-    return blocks.select(*columns, F.explode(F.sequence(F.lit(1), in_block)).alias("_copy")).drop("_copy")
+
+
+def upper_names(df: DataFrame) -> DataFrame:
+    """Upper-case column names, as snapshots and drill-downs are exported."""
+    return df.toDF(*[name.upper() for name in df.columns])
 
 
 def priority_summary(registry: DataFrame, as_of: date | datetime) -> DataFrame:

@@ -38,6 +38,12 @@ def eligible_files(
     return kept.where(or_sentinel(F.col("last_check_date"), EPOCH_1900) < F.lit(day))
 
 
+def listed_files(files: DataFrame) -> DataFrame:
+    """The file table with its dates as text, for listing."""
+    dates = ("upload_date", "last_check_date", "stop_monitor_date")
+    return files.select("id", "file_name", *[F.col(c).cast("string").alias(c) for c in dates])
+
+
 def in_files(parts: DataFrame, files: DataFrame) -> DataFrame:
     return parts.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
 

@@ -50,12 +50,19 @@ def test_runs(spark):
             line(1, 0, "PROCESS START: a"), line(1, 30, "STEP: x"), line(5, 0, "PROCESS END: a - SUCCESS"),
             line(6, 0, "PROCESS START: a"), line(7, 0, "PROCESS START: a"), line(7, 0, "PROCESS END: a - FAILED"),
             line(8, 0, "PROCESS START: a"), line(8, 0, "PROCESS START: b"), line(8, 10, "PROCESS END: b - SUCCESS"),
+            *[line(9, 0, "PROCESS START: c")] * 3, line(9, 5, "PROCESS END: c - SUCCESS"),
+            line(9, 5, "PROCESS END: c - FAILED"),
         ],
         "timestamp timestamp_ntz, parent_process string, subprocess string, level string, message string, details string",
     )
     runs = activity.process_runs(log)
-    got = {(r["subject"], r["started"].hour): (r["outcome"], r["micros"]) for r in runs.collect()}
     hour = 3_600_000_000
+    rows = runs.collect()
+    # Three records at one instant: only the last can end.
+    assert sorted((r["outcome"], r["runs"], r["micros"]) for r in rows if r["subject"] == "c") == [
+        ("FAILED", 1, hour // 12), ("UNFINISHED", 2, None)
+    ]
+    got = {(r["subject"], r["started"].hour): (r["outcome"], r["micros"]) for r in rows if r["subject"] != "c"}
     assert got == {
         ("a", 1): ("SUCCESS", 4 * hour), ("a", 6): ("UNFINISHED", None), ("a", 7): ("FAILED", 0),
         ("a", 8): ("UNFINISHED", None), ("b", 8): ("SUCCESS", hour // 6),

@@ -176,21 +176,28 @@ ORACLE["registry_lifecycle_chain"] = f"WITH {LC} SELECT * FROM lc"
 ORACLE["registry_latest_status"] = f"WITH {LATEST} SELECT * FROM latest"
 ORACLE["registry_snapshot"] = f"{SNAP} {SNAP_OUT}"
 ORACLE["registry_snapshot_distinct"] = f"{snapshot_cte('distinct')} {SNAP_OUT}"
-ORACLE["registry_drilldown_substring_label"] = (
-    f"{drill_cte('reference')} SELECT * FROM drill WHERE {REQUEST} AND (cs LIKE '%Brand#2%' OR cs LIKE '%red%')"
-)
 ORACLE["registry_drilldown_classified"] = f"""{drill_cte('distinct')} SELECT * FROM drill
   WHERE error_status IN ('Proxy', 'SW', 'not assigned error') AND is_expired AND lc_outdated = 0
     AND lr_date <= DATE '2000-12-31'"""
 # Rows are weighted where the plain join would repeat them.
-ORACLE["registry_drilldown_weighted"] = f"""WITH {LC}, {LATEST}, {REG}, {DIMS}, weights AS (
+WEIGHTED = f"""WITH {LC}, {LATEST}, {REG}, {DIMS}, weights AS (
   SELECT pn, man_id, count(*) AS n FROM lc GROUP BY pn, man_id), weighed AS (
   SELECT a.*, CASE WHEN w.n IS NULL THEN 0 ELSE 1 END AS lc_outdated, CAST(COALESCE(w.n, 1) AS BIGINT) AS weight,
     ls.status AS feed_status, d.module_name, d.run_flag, d.man_name
   FROM reg a JOIN dims d ON a.man_id = d.man_id AND a.mod_id = d.mod_id
   LEFT JOIN weights w ON a.pn = w.pn AND a.man_id = w.man_id
-  LEFT JOIN latest ls ON ls.mpn = a.pn AND ls.man_id = a.man_id)
-{classed('pn AS part_number, weight,', 'weighed')}"""
+  LEFT JOIN latest ls ON ls.mpn = a.pn AND ls.man_id = a.man_id), drill AS (
+  {classed('pn AS part_number, weight,', 'weighed')})"""
+UPPER = ", ".join(
+    f"{c} AS {c.upper()}" for c in (
+        "part_number man_name module_name run_flag prty cs lrd2 v_notfound_dat2 status lr_date lc_outdated "
+        "error_status is_expired weight"
+    ).split()
+)
+ORACLE["registry_drilldown"] = f"{WEIGHTED} SELECT {UPPER} FROM drill"
+ORACLE["registry_drilldown_substring_label"] = (
+    f"{WEIGHTED} SELECT * FROM drill WHERE {REQUEST} AND (cs LIKE '%Brand#2%' OR cs LIKE '%red%')"
+)
 ORACLE["registry_filter_word_label"] = (
     f"{SNAP} {SNAP_OUT} WHERE {REQUEST} AND regexp_matches(cs, '\\bBrand#2\\b|\\bred\\b')"
 )
@@ -384,6 +391,8 @@ def overridden(target: str) -> str:
 )"""
 
 
+ORACLE["watch_files_listing"] = f"""WITH {FILES} SELECT id, file_name, CAST(upload_date AS VARCHAR) AS upload_date,
+  CAST(last_check_date AS VARCHAR) AS last_check_date, CAST(stop_monitor_date AS VARCHAR) AS stop_monitor_date FROM files"""
 ORACLE["watch_eligible_files"] = f"WITH {FILES}, {ELIGIBLE} SELECT * FROM due"
 ORACLE["watch_eligible_ignoring_check"] = f"WITH {FILES} SELECT * FROM files WHERE {ELIGIBLE_WHERE}"
 ORACLE["watch_status_source"] = f"{STATUS} SELECT * FROM src"
@@ -725,12 +734,12 @@ PROCESS = """plog AS (SELECT ts, 'proc_' || CAST(user_id % 12 AS VARCHAR) AS par
   'job' || CAST(user_id % 3 AS VARCHAR) AS subject, event_type, value FROM events)"""
 RUNS = f"""WITH {PROCESS}, marks AS (SELECT *, lead(ts) OVER w AS next_ts, lead(event_type) OVER w AS next_type FROM plog
     WHERE event_type IN ('click', 'purchase', 'error')
-    WINDOW w AS (PARTITION BY parent_process, subject ORDER BY ts, event_type <> 'click')), runs AS (
+    WINDOW w AS (PARTITION BY parent_process, subject ORDER BY ts, event_type <> 'click', event_type)), runs AS (
   SELECT parent_process, subject, ts AS started, CASE WHEN next_type <> 'click' THEN next_ts END AS ended,
     CASE next_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILED' ELSE 'UNFINISHED' END AS outcome,
     CASE WHEN next_type <> 'click' THEN epoch_us(next_ts) - epoch_us(ts) END AS micros
   FROM marks WHERE event_type = 'click')"""
-ORACLE["process_runs"] = f"{RUNS} SELECT * FROM runs"
+ORACLE["process_runs"] = f"{RUNS} SELECT *, count(*) AS runs FROM runs GROUP BY ALL"
 ORACLE["process_durations"] = f"""{RUNS} SELECT parent_process, subject, count(*) AS runs,
   count(*) FILTER (WHERE outcome = 'SUCCESS') AS succeeded, count(*) FILTER (WHERE outcome = 'FAILED') AS failed,
   count(*) FILTER (WHERE outcome = 'UNFINISHED') AS unfinished, {big('sum(micros)')} AS total_micros,

@@ -109,8 +109,8 @@ def registry_drilldown_classified(spark, folder):
 
 
 @query
-def registry_drilldown_weighted(spark, folder):
-    return drilldown(spark, folder, None, "weighted", "text")
+def registry_drilldown(spark, folder):
+    return registry.upper_names(drilldown(spark, folder, None, "reference", "text"))
 
 
 @query
@@ -202,6 +202,11 @@ def status_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
     )
 
 
+@query
+def watch_files_listing(spark, folder):
+    return watch_status.listed_files(b.uploaded_files(spark, folder))
+
+
 @query
 def watch_eligible_files(spark, folder):
     return due_files(spark, folder)
