@@ -1,0 +1,56 @@
+"""Left joins to lookups that stay balanced when a few keys hold much of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# How many heavy keys are looked for, and the rows that make a key heavy at all.
+HEAVY_KEYS = 1000
+HEAVY_ROWS = 1_000_000
+
+
+def heavy_hashes(
+    facts: DataFrame, by: Sequence[str], limit: int = HEAVY_KEYS, min_rows: int = HEAVY_ROWS
+) -> DataFrame:
+    """Hashes of the keys that hold more rows than an average shuffle partition; at most ``limit``.
+
+    A frequent-items sketch over the key columns, combined on the map side. It
+    may miss or add a key near the threshold, which changes the way a row
+    takes and never the result.
+    """
+    pieces = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketch = F.expr(f"approx_top_k(_h, {limit}, {10 * limit})")
+    top = facts.select(F.xxhash64(*by).alias("_h")).agg(sketch.alias("top"), F.count("*").alias("n"))
+    return top.select(F.inline("top"), "n").where(
+        (F.col("count") >= min_rows) & (F.col("count") * pieces > F.col("n"))
+    ).select(F.col("item").alias("_h"))
+
+
+def join_lookups(
+    facts: DataFrame,
+    lookups: Sequence[tuple[DataFrame, Sequence[str]]],
+    by: Sequence[str],
+    limit: int = HEAVY_KEYS,
+    min_rows: int | None = None,
+) -> DataFrame:
+    """Left joins of ``facts`` to ``lookups``, each with one row per its keys (columns out of ``by``).
+
+    Rows of heavy keys never enter a shuffle: their few lookup rows are
+    broadcast to them. All other rows join through the shuffle. Without heavy
+    keys AQE finds the heavy branch empty and drops it.
+    """
+    heavy = heavy_hashes(facts, by, limit, HEAVY_ROWS if min_rows is None else min_rows)
+    hashed = facts.withColumn("_h", F.xxhash64(*by))
+    # Broadcast bounds: ``limit`` hashes, ``limit`` keys, and one lookup row per key.
+    light = hashed.join(F.broadcast(heavy), "_h", "left_anti").drop("_h")
+    dense = hashed.join(F.broadcast(heavy), "_h", "left_semi").drop("_h")
+    dense_keys = dense.select(*by).distinct()
+    for lookup, keys in lookups:
+        wanted = dense_keys.select(*keys).distinct()
+        few = lookup.join(F.broadcast(wanted), list(keys), "left_semi")
+        dense = dense.join(F.broadcast(few), list(keys), "left")
+        light = light.join(lookup, list(keys), "left")
+    return light.unionByName(dense)

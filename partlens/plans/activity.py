@@ -17,10 +17,11 @@ KEPT_ENTRIES = 1000
 SHOWN_ENTRIES = 50
 
 # Process log message formats.
-START_PATTERN = r"^PROCESS START: (.+)$"
-END_PATTERN = r"^PROCESS END: (.+) - (SUCCESS|FAILED)$"
-STEP_PATTERN = r"^STEP: (.+)$"
-ERROR_PATTERN = r"^ERROR in ([^:]+): (.*)$"
+START_MARK = "PROCESS START: "
+END_MARK = "PROCESS END: "
+END_OUTCOMES = ("SUCCESS", "FAILED")
+STEP_MARK = "STEP: "
+ERROR_MARK = "ERROR in "
 SECONDS_PATTERN = r"(?:completed|updated|processing .*) in ([0-9]+\.[0-9]{2}) seconds"
 
 
@@ -53,25 +54,30 @@ def hourly_figures(log: DataFrame) -> DataFrame:
 def parsed_log(log: DataFrame) -> DataFrame:
     """Process log with the kind of each message and the parts it carries."""
     message = F.col("message")
-
-    def part(pattern: str, group: int):
-        return F.nullif(F.regexp_extract(message, pattern, group), F.lit(""))
-
+    outcome = F.substring_index(message, " - ", -1)
+    ended = message.startswith(END_MARK) & outcome.isin(*END_OUTCOMES)
     kind = (
-        F.when(message.rlike(START_PATTERN), "START")
-        .when(message.rlike(END_PATTERN), "END")
-        .when(message.rlike(STEP_PATTERN), "STEP")
-        .when(message.rlike(ERROR_PATTERN), "ERROR")
+        F.when(message.startswith(START_MARK), "START")
+        .when(ended, "END")
+        .when(message.startswith(STEP_MARK), "STEP")
+        .when(message.startswith(ERROR_MARK) & message.contains(": "), "ERROR")
         .otherwise("INFO")
     )
-    return log.select(
-        "*",
-        kind.alias("kind"),
-        F.coalesce(
-            part(START_PATTERN, 1), part(END_PATTERN, 1), part(STEP_PATTERN, 1), part(ERROR_PATTERN, 1)
-        ).alias("subject"),
-        part(END_PATTERN, 2).alias("outcome"),
-        part(SECONDS_PATTERN, 1).cast("decimal(18,2)").alias("seconds"),
+
+    def after(mark: str):
+        return F.substr(message, F.lit(len(mark) + 1))
+
+    named = after(END_MARK)
+    subject = (
+        F.when(F.col("kind") == "START", after(START_MARK))
+        .when(F.col("kind") == "END", F.substr(named, F.lit(1), F.length(named) - F.length(outcome) - 3))
+        .when(F.col("kind") == "STEP", after(STEP_MARK))
+        .when(F.col("kind") == "ERROR", F.substring_index(after(ERROR_MARK), ": ", 1))
+    )
+    seconds = F.nullif(F.regexp_extract(message, SECONDS_PATTERN, 1), F.lit("")).cast("decimal(18,2)")
+    return log.withColumn("kind", kind).select(
+        "*", subject.alias("subject"), F.when(F.col("kind") == "END", outcome).alias("outcome"),
+        F.when(F.col("kind") == "INFO", seconds).alias("seconds"),
     )
 
 

@@ -95,8 +95,9 @@ def reported_days(found_feed: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def report(matched: DataFrame, days: DataFrame | None = None) -> DataFrame:
-    """Both tables' rows with label and category, found above not found in one frame."""
-    rows = matched if days is None else matched.join(days, "date", "left_semi")
+    """Both tables' rows with label and category in one frame."""
+    # Broadcast bound: one four-byte date per calendar day.
+    rows = matched if days is None else matched.join(F.broadcast(days), "date", "left_semi")
     label = classify.report_label(F.col("auto_imp_status"))
     return rows.select(
         F.col("mpn").alias("part_number"),

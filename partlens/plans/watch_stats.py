@@ -262,9 +262,8 @@ def filter_options(grouped: DataFrame) -> DataFrame:
         "manufacturers": "man", "priorities": "prty", "table_name": "table_name",
     }
     bars = F.array(*[F.struct(F.lit(name).alias("option"), F.col(c).alias("value")) for name, c in plain.items()])
-    return grouped.groupBy(*plain.values()).agg(F.lit(1).alias("one")).select(F.inline(bars)).where(
-        F.col("value").isNotNull()
-    ).distinct()
+    # Expanded in memory and made distinct on the map side: only the values are shuffled.
+    return grouped.select(F.inline(bars)).where(F.col("value").isNotNull()).distinct()
 
 
 def run_states(spark) -> DataFrame:

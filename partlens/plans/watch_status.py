@@ -13,11 +13,13 @@ from partlens.functions.dates import EARLIEST_RUN, EPOCH_1900, FAR_FUTURE, is_ex
 from partlens.functions.figures import count_where
 from partlens.functions.text import upload_priority
 from partlens.operators.dedup import newest_values
+from partlens.operators.heavy import join_lookups
 from partlens.operators.lookups import known_modules
 from partlens.operators.merge import update_where
 
 NOT_REGISTERED = "not SE part"
 FEATURE_KEY = ("man_id", "module_id", "part")
+LOOKUP_KEY = ("part", "new_man_id", "new_module_id")
 
 
 def _named(names: Sequence[str] | None) -> Column:
@@ -101,17 +103,23 @@ def with_modules(parts: DataFrame, man_modules: DataFrame) -> DataFrame:
     return parts.join(dim, "module", "left")
 
 
-def _looked_up(parts: DataFrame, man_modules: DataFrame, registry: DataFrame, feed: DataFrame) -> DataFrame:
+def _looked_up(
+    parts: DataFrame,
+    man_modules: DataFrame,
+    registry: DataFrame,
+    feed: DataFrame,
+    more: Sequence[tuple[DataFrame, Sequence[str]]] = (),
+) -> DataFrame:
     """Parts with every value the status rules read, one row per part.
 
     Every lookup is unique on its key, so no join multiplies rows and the
     newest feed record needs no window over the parts.
     """
-    return (
-        with_modules(parts, man_modules)
-        .join(registered_parts(registry), ["part", "new_man_id"], "left")
-        .join(key_facts(registry, feed), ["part", "new_man_id", "new_module_id"], "left")
-    )
+    lookups = [
+        (registered_parts(registry), ["part", "new_man_id"]),
+        (key_facts(registry, feed), LOOKUP_KEY),
+    ]
+    return join_lookups(with_modules(parts, man_modules), [*lookups, *more], by=LOOKUP_KEY)
 
 
 def _computed() -> dict[str, Column]:
@@ -213,9 +221,10 @@ def found_source(
 ) -> DataFrame:
     """The rows the found merge would bring: parts with feature records."""
     rows = _with_scope(parts, files, man_modules, scope).where("in_scope")
-    lookup = _feature_lookup(features, has_names).drop("has_feature")
+    lookup = _feature_lookup(features, has_names)
     extra = ["new_features"] if has_names else []
-    return rows.join(lookup, ["part", "key_man_id", "key_module_id"]).select(
+    key = ["part", "key_man_id", "key_module_id"]
+    return join_lookups(rows, [(lookup, key)], by=key).where("has_feature").select(
         "id", "part", *extra, "new_last_run_date"
     )
 
@@ -246,9 +255,8 @@ def merge_found(
 ) -> DataFrame:
     """Found merge over the whole parts table; every module of the files in one join."""
     rows = _with_scope(parts, files, man_modules, scope)
-    joined = rows.join(
-        _feature_lookup(features, has_names), ["part", "key_man_id", "key_module_id"], "left"
-    )
+    key = ["part", "key_man_id", "key_module_id"]
+    joined = join_lookups(rows, [(_feature_lookup(features, has_names), key)], by=key)
     hit = F.col("in_scope") & F.col("has_feature")
     return update_where(joined, hit, found_rules(has_names)).select(*parts.columns)
 
@@ -280,9 +288,7 @@ def run_status(
     lookup = _feature_lookup(features, True).withColumnsRenamed(
         {"key_man_id": "new_man_id", "key_module_id": "new_module_id"}
     )
-    joined = _looked_up(rows, man_modules, registry, feed).join(
-        lookup, ["part", "new_man_id", "new_module_id"], "left"
-    )
+    joined = _looked_up(rows, man_modules, registry, feed, [(lookup, LOOKUP_KEY)])
     checked = update_where(joined, F.col("is_due"), _computed())
     merged = update_where(checked, F.col("in_scope") & F.col("has_feature"), found_rules())
     return merged.select(*parts.columns)

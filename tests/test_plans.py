@@ -1,9 +1,13 @@
-"""Physical plans: no cross joins, no Python, pushed filters, split hot keys."""
+"""Physical plans: no cross joins, no Python, pushed filters; joins with heavy keys."""
+
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from partlens import schemas
+from partlens.operators import heavy
 from partlens.plans import registry, watch_status
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,62 +33,85 @@ def test_scans_read_only_what_they_need(spark):
 
 def test_rank_limit_runs_before_the_shuffle(spark):
     physical = plan_of(entry.queries()["watch_found_source"](spark, FOLDER)).split("== Physical Plan ==")[1]
-    assert physical.count("WindowGroupLimit") == 2
-
-
-@pytest.fixture
-def skew_settings(spark):
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
-    }
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    yield
-    for key, value in before.items():
-        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    # Before and after the shuffle, in the branch of light and in that of heavy keys.
+    assert physical.count("WindowGroupLimit") == 4
 
 
 def hot_registry(spark):
-    """A third of all rows under one part number."""
-    rows = spark.range(0, 60000, 1, 8)
-    hot = F.col("id") % 3 == 0
+    """A third of all rows under one key, a third of those without any date."""
+    rows = spark.range(0, 6000, 1, 8)
+    hot, day = F.col("id") % 3 == 0, F.lit(date(2024, 1, 1))
+    return rows.select(
+        F.when(hot, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id") % 500)).alias("pn"),
+        F.when(hot, F.lit(1)).otherwise(F.col("id") % 3).cast("bigint").alias("man_id"),
+        F.lit(1).cast("bigint").alias("mod_id"),
+        F.concat(F.lit("P"), F.col("id") % 5).alias("prty"), F.lit("a|b").alias("cs"),
+        F.when(F.col("id") % 9 != 0, day).alias("lrd"), F.lit(None).cast("date").alias("v_notfound_dat"),
+    )
+
+
+def hot_parts(spark):
+    rows = hot_registry(spark).select("pn", F.monotonically_increasing_id().alias("id"))
     return rows.select(
-        F.when(hot, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id"))).alias("pn"),
-        F.lit(1).cast("bigint").alias("man_id"), F.lit(1).cast("bigint").alias("mod_id"),
-        F.concat(F.lit("P"), F.col("id")).alias("prty"), F.lit("a|b").alias("cs"),
-        F.lit(None).cast("date").alias("lrd"), F.lit(None).cast("date").alias("v_notfound_dat"),
+        "id", F.col("pn").alias("part"), F.lit("x").alias("man"),
+        F.when(F.col("id") % 7 != 0, "m").otherwise("unknown").alias("module"),
+        F.lit(1).cast("bigint").alias("file_id"),
+        *[F.lit(None).cast("string").alias(c) for c in ("status", "cm_date")],
+        F.lit(None).cast("date").alias("last_run_date"),
+        *[F.lit(None).cast("string").alias(c) for c in ("table_name", "features", "monitor_features", "prty")],
+        *[F.lit(None).cast("bigint").alias(c) for c in ("man_id", "module_id")],
+    )
+
+
+def marks_of(spark, facts):
+    feed = facts.select(
+        F.col("pn").alias("mpn"), "man_id", "mod_id", F.col("lrd").alias("check_date"), F.col("prty").alias("status")
     )
+    return registry.part_marks(facts.where("prty = 'P1'").select("pn", "man_id"), registry.latest_status(feed))
 
 
-def test_hot_key_of_the_registry_join_is_split(spark, skew_settings):
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_heavy_keys_are_found_and_bounded(spark):
     facts = hot_registry(spark)
-    outdated = facts.select("pn", "man_id").distinct()
-    feed = spark.createDataFrame([], "mpn string, man_id long, mod_id long, check_date date, status string")
-    marks = registry.part_marks(outdated, registry.latest_status(feed))
-    base = registry.registry_base(facts, marks)
-    rows = base.groupBy("prty", "lc_outdated").agg(F.sum("weight").alias("n"))
-    assert len(rows.collect()) == 60000
-    assert "skew=true" in plan_of(rows)
+    expected = facts.select(F.xxhash64(F.lit("hot"), F.lit(1).cast("bigint"))).first()[0]
+    assert [r[0] for r in heavy.heavy_hashes(facts, ["pn", "man_id"], min_rows=1000).collect()] == [expected]
+    assert heavy.heavy_hashes(facts, ["pn", "man_id"], min_rows=10_000).count() == 0
+    assert heavy.heavy_hashes(facts, ["pn", "man_id"], limit=3, min_rows=1).count() <= 3
+    assert heavy.heavy_hashes(facts.where("false"), ["pn", "man_id"], min_rows=1).count() == 0
 
 
-def test_hot_key_of_the_status_join_is_split(spark, skew_settings):
+@pytest.mark.parametrize("rows_to_be_heavy", [1, 1000, 10**9])
+def test_heavy_rows_join_the_same(spark, monkeypatch, rows_to_be_heavy):
+    monkeypatch.setattr(heavy, "HEAVY_ROWS", rows_to_be_heavy)
     facts = hot_registry(spark)
-    modules = spark.createDataFrame([("m", 1, 1, 0)], "module_name string, man_id long, module_id long, run_flag int")
-    feed = spark.createDataFrame([], "mpn string, man_id long, mod_id long, check_date date, status string")
+    marks = marks_of(spark, facts)
+    joined = heavy.join_lookups(facts, [(marks, ["pn", "man_id"])], by=["pn", "man_id"])
+    plain = facts.join(marks, ["pn", "man_id"], "left").select(joined.columns)
+    assert rows_of(joined) == rows_of(plain)
+    modules = spark.createDataFrame([("m", 1, 1, 0)], schemas.MAN_MODULES)
     files = spark.createDataFrame([(1, "f")], "id long, file_name string")
-    parts = facts.select(
-        F.monotonically_increasing_id().alias("id"), F.col("pn").alias("part"), F.lit("x").alias("man"),
-        F.lit("m").alias("module"), F.lit(1).cast("bigint").alias("file_id"),
-        *[F.lit(None).cast("string").alias(c) for c in ("status", "cm_date", "table_name", "features", "monitor_features", "prty")],
-        F.lit(None).cast("date").alias("last_run_date"),
-        *[F.lit(None).cast("bigint").alias(c) for c in ("man_id", "module_id")],
-    )
-    merged = watch_status.merge_status(parts, files, modules, facts, feed)
-    counted = merged.select("id", "table_name")
-    assert sum(r["table_name"] == "not run" for r in counted.collect()) == 60000
-    assert "skew=true" in plan_of(counted)
+    feed = spark.createDataFrame([("hot", 1, 1, date(2024, 5, 1), "text")], schemas.NOTFOUND_FEED)
+    merged = watch_status.merge_status(hot_parts(spark), files, modules, facts, feed)
+    got = {(r["part"] == "hot", r["module"], r["table_name"]): r["count"] for r in
+           merged.groupBy("part", "module", "table_name").count().collect() if r["part"] == "hot"}
+    assert sum(got.values()) == 2000 and merged.count() == 6000
+    # Some registry rows of the hot key have no date at all, so all its known parts are not run.
+    assert {key[1:] for key in got} == {("m", "not run"), ("unknown", "not_valid")}
+
+
+def test_heavy_branch_costs_nothing_without_heavy_keys(spark, monkeypatch):
+    facts = hot_registry(spark)
+    marks = marks_of(spark, facts)
+
+    def final_plan(rows_to_be_heavy):
+        monkeypatch.setattr(heavy, "HEAVY_ROWS", rows_to_be_heavy)
+        joined = heavy.join_lookups(facts, [(marks, ["pn", "man_id"])], by=["pn", "man_id"])
+        joined.collect()
+        return joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+    assert "LeftSemi" in final_plan(1000)
+    none_heavy = final_plan(10**9)
+    assert "LeftSemi" not in none_heavy and "Union" not in none_heavy.split("SortAggregate")[0]

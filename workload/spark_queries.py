@@ -574,7 +574,7 @@ def recon_reports_between(spark, folder):
 
 
 def busy_days(spark: SparkSession, folder: str) -> DataFrame:
-    rows = b.table(spark, folder, "orders").where(F.col("o_totalprice") > 300000)
+    rows = b.table(spark, folder, "orders").where(F.col("o_totalprice") > 450000)
     return rows.select(F.col("o_orderdate").cast("date").alias("date"))
 
 
