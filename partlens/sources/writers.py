@@ -40,6 +40,12 @@ def write_report(rows: DataFrame, path: str) -> None:
     _replace_partitions(rows.withColumn("report_date", F.col("date")), path, "report_date")
 
 
+def append_log(entries: DataFrame, path: str) -> None:
+    """Log entries added to the event table by day; views of the last entries read it back."""
+    by_day = entries.withColumn("day", F.to_date("timestamp"))
+    by_day.write.mode("append").partitionBy("day").parquet(path)
+
+
 def write_parts(parts: DataFrame, path: str, version: date | datetime) -> None:
     """A merged parts table as a new version, beside the one that was read."""
     name = version.strftime("%Y%m%d%H%M%S")

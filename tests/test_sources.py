@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partlens import schemas
 from partlens.plans import feed_calendar
+from partlens.plans.activity import recent_entries
 from partlens.session import scratch_path, shared_folder
 from partlens.sources import readers, writers
 
@@ -130,6 +131,16 @@ def test_snapshots(spark, tmp_path):
     assert {r["v"] for r in feed_calendar.surviving_rows(stored, 1).collect()} == {"c"}
 
 
+def test_log_entries_add_up(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for hour in (1, 2):
+        entries = spark.createDataFrame([(datetime(2024, 1, hour, hour), "u", "LOGIN")],
+                                        "timestamp timestamp_ntz, username string, action string")
+        writers.append_log(entries.select("*", F.lit("").alias("details")), path)
+    kept = recent_entries(spark.read.parquet(path), 1).first()
+    assert kept["timestamp"] == datetime(2024, 1, 2, 2) and kept["day"] == date(2024, 1, 2)
+
+
 def test_parts_versions(spark, tmp_path):
     path = str(tmp_path / "parts")
     for day in (1, 2):
