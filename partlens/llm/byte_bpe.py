@@ -13,14 +13,15 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partlens.llm.common import add_columns
 
-#: Cuts that one task remembers; the table starts anew when full.
-REMEMBERED = 300_000
+#: Cuts that one task remembers; the table starts anew when full, which changes the time and not the result.
+REMEMBERED = 200_000
 
 
 def byte_chars() -> list[str]:
@@ -88,6 +89,22 @@ def piece_encoder(model_json: str, pattern: str, with_offsets: bool = True):
     return encode if with_offsets else encode_ids
 
 
+def word_encoder(model_json: str, pattern: str):
+    """Whether the pattern keeps a space with the letters after it, and a function that encodes such a piece."""
+    import regex
+    from tokenizers import Tokenizer
+
+    tokenize = Tokenizer.from_str(model_json).model.tokenize
+    chars = byte_chars()
+    plain = regex.findall(pattern, " ab, ab.c") == [" ab", ",", " ab", ".", "c"]
+
+    def encode_word(word: str) -> list[int]:
+        spelled = word if word.isascii() else "".join([chars[b] for b in word.encode("utf-8", "replace")])
+        return [token.id for token in tokenize(chars[0x20] + spelled)]
+
+    return plain, encode_word
+
+
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", with_offsets: bool = True
 ) -> DataFrame:
@@ -102,50 +119,63 @@ def encode(
     numbers = T.ArrayType(T.IntegerType())
     names = ["ids", "starts", "ends"] if with_offsets else ["ids"]
 
-    def task():
+    def offsets_task():
+        encode_text = piece_encoder(model_json.value, pattern)
+
+        def compute(texts):
+            found = [encode_text(value) if value else ([], [], []) for value in texts.to_pylist()]
+            return [pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in range(3)]
+
+        return compute
+
+    def ids_task():
         import re
-        from itertools import accumulate, chain
+        from array import array
 
-        encode_text = piece_encoder(model_json.value, pattern, with_offsets)
+        encode_text = piece_encoder(model_json.value, pattern, with_offsets=False)
         # A space before white space or the end is no place to cut; such texts are encoded as one.
         odd = re.compile(r" (?=\s|\Z)|\A ").search
-        seen: dict[str, tuple] = {}
-
-        def cuts(value: str):
-            """The encodings of a text's cuts, and how long each cut is."""
-            if odd(value):
-                return [encode_text(value)], [len(value)]
-            parts = value.split(" ")
-            found = [encode_text(parts[0])]
-            for part in parts[1:]:
-                known = seen.get(part)
-                if known is None:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    known = encode_text(" " + part)
-                    if len(part) < 64:
-                        seen[part] = known
-                found.append(known)
-            return found, [len(parts[0]), *[len(part) + 1 for part in parts[1:]]]
-
-        def lists(values):
-            ends = list(accumulate(map(len, values), initial=0))
-            flat = pa.array(list(chain.from_iterable(values)), pa.int32())
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        seen: dict[str, bytes] = {}
+
+        def packed(piece: str) -> bytes:
+            return array("i", encode_text(piece)[0]).tobytes()
+
+        def learn(part: str) -> bytes:
+            """The ids of a space and ``part``, without a space or other gap at its start."""
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            if plain and part[-1] in ".,;:" and part[:-1].isalpha():
+                ids = (seen.get(part[:-1]) or learn(part[:-1])) + marks[part[-1]]
+            elif plain and part.isalpha():
+                ids = array("i", encode_word(part)).tobytes()
+            else:
+                ids = packed(" " + part)
+            if len(part) < 64:
+                seen[part] = ids
+            return ids
+
+        plain, encode_word = word_encoder(model_json.value, pattern)
+        marks = {mark: packed(mark) for mark in ".,;:"}
 
         def compute(texts):
-            columns = [[] for _ in names]
+            joined, sizes = [], [0]
             for value in texts.to_pylist():
-                found, sizes = cuts(value) if value else ([], [])
-                columns[0].append(list(chain.from_iterable(x[0] for x in found)))
-                if with_offsets:
-                    begins = list(accumulate(sizes, initial=0))
-                    for k in (1, 2):
-                        columns[k].append([b + offset for x, b in zip(found, begins) for offset in x[k]])
-            return [lists(column) for column in columns]
+                if not value:
+                    sizes.append(sizes[-1])
+                    continue
+                if odd(value):
+                    ids = packed(value)
+                else:
+                    parts = value.split(" ")
+                    ids = packed(parts[0]) + b"".join([seen.get(part) or learn(part) for part in parts[1:]])
+                joined.append(ids)
+                sizes.append(sizes[-1] + len(ids) // 4)
+            flat = pa.Array.from_buffers(pa.int32(), sizes[-1], [None, pa.py_buffer(b"".join(joined))])
+            return [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)]
 
         return compute
 
+    task = offsets_task if with_offsets else ids_task
     return add_columns(docs, [T.StructField(n, numbers, False) for n in names], [text], task)
 
 
@@ -165,10 +195,17 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
 
         byte_of = {c: b for b, c in enumerate(byte_chars())}
         vocabulary = Tokenizer.from_str(model_json.value).get_vocab()
-        table = {i: bytes(byte_of[c] for c in token) for token, i in vocabulary.items()}
+        table = np.full(max(vocabulary.values()) + 2, b"", object)  # the last stands for unknown ids
+        for token, i in vocabulary.items():
+            table[i] = bytes(byte_of[c] for c in token)
 
         def compute(lists):
-            raw = [b"".join([table.get(i, b"") for i in value or ()]) for value in lists.to_pylist()]
+            offsets = lists.offsets.to_numpy()
+            flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+            pieces = table[np.where((flat < 0) | (flat >= len(table)), len(table) - 1, flat)].tolist()
+            offsets = (offsets - offsets[0]).tolist()
+            empty = lists.is_null().to_pylist()
+            raw = [b"" if e else b"".join(pieces[a:b]) for a, b, e in zip(offsets[:-1], offsets[1:], empty)]
             return [pa.array(raw, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())]
 
         return compute

@@ -40,10 +40,18 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*keep)
 
 
+def small_batches(batches, limit: int = 2_000_000):
+    """Cut Arrow batches into pieces of about ``limit`` bytes by their average row; bounds memory per step."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def add_columns(
     df: DataFrame, fields: Sequence[T.StructField], inputs: Sequence[str], fn: Callable[[Callable, Sequence], list]
 ) -> DataFrame:
-    """Add ``fields`` computed per Arrow batch from ``inputs``.
+    """Add ``fields`` computed per Arrow batch, or part of one of a few megabytes, from ``inputs``.
 
     ``fn()`` is called once per task and gives the function from the input arrays to the new ones.
     All other columns pass through; columns with the new names are replaced.
@@ -57,7 +65,7 @@ def add_columns(
 
     def run(batches):
         compute = fn()
-        for batch in batches:
+        for batch in small_batches(batches):
             new = compute(*[batch.column(batch.schema.get_field_index(w)) for w in wanted])
             old = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*old, *new], names=[*kept, *[f.name for f in fields]])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm import byte_bpe
+from partlens.llm import byte_bpe, minhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +37,8 @@ def op7_byte_bpe(spark, folder):
         byte_bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2("decoded_bytes", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op2_minhash_dedup(spark, folder):
+    return minhash_dedup.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
