@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm import byte_bpe, minhash_dedup
+from partlens.llm import byte_bpe, minhash_dedup, secret_scan, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,3 +42,14 @@ def op7_byte_bpe(spark, folder):
 @query
 def op2_minhash_dedup(spark, folder):
     return minhash_dedup.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+
+
+@query
+def op9_secret_scan(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs).drop("text")
+    kinds = [spans.counted(F.col("base_secrets"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select(
+        "doc_id", *kinds, spans.digest(F.col("base_secrets")).alias("base_sha256"),
+        spans.joined(F.col("secrets")).alias("spans"),
+    )
