@@ -33,6 +33,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A list of ids or row keys (8 bytes each) is broadcast up to this many, joined by a shuffle beyond.
+BROADCAST_KEYS = 500_000
+
+
+def with_keys(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """Semi or anti join of ``df`` to a stored list of distinct keys."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, on, how)
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop columns that an operator is about to add, whatever their case."""
     taken = {name.lower() for name in names}

@@ -17,8 +17,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
-from partlens.llm.common import stored
+from partlens.llm.common import stored, with_keys
 from partlens.llm.components import components
 from partlens.llm.shingles import distinct_sets, mix, shingle_hashes, slices
 
@@ -26,8 +27,6 @@ from partlens.llm.shingles import distinct_sets, mix, shingle_hashes, slices
 WIDTH = 3
 #: Chance to miss a single pair that is just similar enough, per collection.
 MISSED = 1e-3
-#: A list of wanted documents is broadcast up to this many ids (8 bytes each), joined by a shuffle beyond.
-BROADCAST_IDS = 500_000
 
 
 def collection_size(percent: int, width: int = WIDTH, missed: float = MISSED) -> int:
@@ -111,12 +110,6 @@ def shingle_sets(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFram
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
-def wanted_rows(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``docs`` whose key is in ``ids`` (a stored table)."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
-
-
 def _similar(shared: Column, size_a: str, size_b: str, percent: int) -> Column:
     return 100 * shared >= percent * (F.col(size_a) + F.col(size_b) - shared)
 
@@ -172,7 +165,7 @@ def links(docs: DataFrame, signed: DataFrame, sets_of: DataFrame, size: int, per
     if ids.isEmpty():
         return None
     sets = stored(
-        shingle_sets(wanted_rows(docs, ids, doc_id), size, doc_id, text)
+        shingle_sets(with_keys(docs, ids, doc_id, "left_semi"), size, doc_id, text)
         .join(members.select("doc", "f").distinct(), ["doc", "f"], "left_semi")
         .dropDuplicates(["doc", "f"]),
         "sets",
@@ -264,3 +257,21 @@ def near_duplicates(
     return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one document of each component; columns as they are.
+
+    The document with the smallest doc_id stays, of rows that repeat a doc_id the one with the smallest text.
+    Rows with a NULL doc_id and texts without words stay.
+    """
+    found = stored(near_duplicates(docs, size, percent, doc_id, text).withColumnRenamed("doc_id", "_id"), "decided")
+    gone = stored(found.where("NOT kept").select("_id").distinct(), "copies")
+    twice = stored(found.where("kept AND _id IS NOT NULL").groupBy("_id").count().where("count > 1").select("_id"), "repeated")
+    named = docs.withColumn("_id", F.col(doc_id))
+    left = with_keys(named, gone, "_id", "left_anti")
+    if not twice.isEmpty():
+        order = Window.partitionBy("_id").orderBy(text, *[c for c in docs.columns if c not in (doc_id, text)])
+        several = with_keys(left, twice, "_id", "left_semi").withColumn("_n", F.row_number().over(order))
+        left = with_keys(left, twice, "_id", "left_anti").unionByName(several.where("_n = 1").drop("_n"))
+    return left.select(*docs.columns)

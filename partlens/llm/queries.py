@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm import byte_bpe, minhash_dedup, secret_scan, spans
+from partlens.llm import byte_bpe, decontaminate, minhash_dedup, quality, secret_scan, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +53,35 @@ def op9_secret_scan(spark, folder):
         "doc_id", *kinds, spans.digest(F.col("base_secrets")).alias("base_sha256"),
         spans.joined(F.col("secrets")).alias("spans"),
     )
+
+
+@query
+def op5_decontaminate(spark, folder):
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLE["op5_decontaminate"] = r"""
+WITH item_words AS (
+  SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+doc_words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+item_set AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3),
+    lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM item_words WHERE len(w) >= 5),
+doc_set AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3),
+    lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM doc_words WHERE len(w) >= 5),
+sizes AS (SELECT item_id, count(*) AS n_item FROM item_set GROUP BY item_id),
+shared AS (
+  SELECT d.doc_id, i.item_id, count(*) AS n_shared FROM doc_set d JOIN item_set i USING (s) GROUP BY d.doc_id, i.item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 80 * n_item
+"""
+
+
+@query
+def op6_quality(spark, folder):
+    scored = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.drop("row_key")
