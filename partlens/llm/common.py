@@ -25,11 +25,14 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the folder that all executors share and read back: lineage ends here and survives lost executors."""
+def stored(df: DataFrame, label: str, records: int = 0) -> DataFrame:
+    """Write to the folder that all executors share and read back: lineage ends here and survives lost executors.
+
+    ``records`` limits the rows of a file, for tables of large rows that readers take in whole batches.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", records).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -229,7 +229,7 @@ def classify(
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
     ).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    blocks = stored(_blocks(rows), "blocks")
+    blocks = stored(_blocks(rows), "blocks", records=8)
     trusted = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(
         F.min(F.coalesce(F.col(label), F.lit(0))).alias("label")
     ).where("label = 1").select("id", F.lit(True).alias("trusted"))

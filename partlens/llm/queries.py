@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm import byte_bpe, decontaminate, minhash_dedup, quality, secret_scan, spans
+from partlens.llm import byte_bpe, decontaminate, hmm_lm, minhash_dedup, quality, secret_scan, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +85,8 @@ FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 def op6_quality(spark, folder):
     scored = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.drop("row_key")
+
+
+@query
+def op1_hmm_lm(spark, folder):
+    return hmm_lm.score(table(spark, folder, "documents"))
