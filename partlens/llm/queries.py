@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm import byte_bpe, decontaminate, hmm_lm, minhash_dedup, quality, secret_scan, spans
+from partlens.llm import (
+    byte_bpe, decontaminate, hmm_lm, minhash_dedup, multi_index, quality, secret_scan, spans,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,3 +92,8 @@ def op6_quality(spark, folder):
 @query
 def op1_hmm_lm(spark, folder):
     return hmm_lm.score(table(spark, folder, "documents"))
+
+
+@query
+def op4_multi_index(spark, folder):
+    return multi_index.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
