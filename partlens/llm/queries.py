@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlens.llm import (
-    byte_bpe, decontaminate, hmm_lm, minhash_dedup, multi_index, quality, secret_scan, spans,
+    byte_bpe, decontaminate, hmm_lm, minhash_dedup, multi_index, pii_labels, quality, secret_scan, spans,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,14 @@ def op1_hmm_lm(spark, folder):
 @query
 def op4_multi_index(spark, folder):
     return multi_index.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op3_pii_labels(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii_labels.find_personal_data(docs, keep_text=False)
+    kinds = [spans.counted(F.col("base_personal"), kind).alias(f"n_{kind}") for kind in pii_labels.KINDS]
+    return found.select(
+        "doc_id", *kinds, spans.digest(F.col("base_personal")).alias("base_sha256"),
+        spans.joined(F.col("personal")).alias("spans"),
+    )
