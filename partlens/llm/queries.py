@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlens.llm import (
-    byte_bpe, decontaminate, hmm_lm, minhash_dedup, multi_index, pii_labels, quality, secret_scan, spans,
+    byte_bpe, decontaminate, hmm_lm, minhash_dedup, multi_index, passages, pii_labels, quality, secret_scan, spans,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,8 @@ def op3_pii_labels(spark, folder):
         "doc_id", *kinds, spans.digest(F.col("base_personal")).alias("base_sha256"),
         spans.joined(F.col("personal")).alias("spans"),
     )
+
+
+@query
+def op8_passages(spark, folder):
+    return passages.shared_passages(table(spark, folder, "documents"))
