@@ -25,6 +25,8 @@ from partlens.llm.shingles import distinct_sets, mix, shingle_hashes, slices
 
 #: Minimum values in one short hash; a table key has twice as many.
 WIDTH = 3
+#: Parts of the hash range in which shared shingles are counted to rule out pairs.
+PARTS = 64
 #: Chance to miss a single pair that is just similar enough, per collection.
 MISSED = 1e-3
 
@@ -155,7 +157,10 @@ def links(docs: DataFrame, signed: DataFrame, sets_of: DataFrame, size: int, per
 
     ``sets_of`` has one row per distinct shingle set: f, g, n, its smallest document ``doc``, u and v.
     """
-    tables = F.flatten(F.transform("u", lambda x, i: F.transform("v", lambda y, j: F.xxhash64(i, j, x, y))))
+    # The low bits of a key name its table: the places of the two short hashes.
+    tables = F.flatten(F.transform("u", lambda x, i: F.transform("v", lambda y, j: (
+        F.shiftleft(F.shiftright(F.xxhash64(i, j, x, y), 16), 16).bitwiseOR((i * 256 + j).cast("bigint"))
+    ))))
     keyed = sets_of.select("doc", "f", F.col("n_shingles").alias("n"), F.explode(tables).alias("key"))
     shared_keys = keyed.groupBy("key").agg(
         F.min(F.struct("doc", "f")).alias("x"), F.max(F.struct("doc", "f")).alias("y")
@@ -175,22 +180,32 @@ def links(docs: DataFrame, signed: DataFrame, sets_of: DataFrame, size: int, per
     found = stored(confirmed(first, sets, percent), "found")
     roots = components(found)
 
-    # What a document shares with no other open one can be in no intersection.
+    # What a document shares with no other open one can be in no intersection. The rest is counted by parts of the
+    # hash range: two documents share at most the sum of the smaller counts.
     rest = stored(_open(_named(members, roots)), "open")
     if rest.isEmpty():
         return roots
-    members_left = rest.select("doc", "f").distinct()
+    open_sets = sets.join(rest.select("doc", "f").distinct(), ["doc", "f"], "left_semi")
+    part = F.pmod("s", F.lit(PARTS))
     alone = (
-        sets.join(members_left, ["doc", "f"], "left_semi").select("doc", "f", F.explode("shingles").alias("s"))
+        open_sets.select("doc", "f", F.explode("shingles").alias("s"))
         .groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct("doc", "f")).alias("d")).where("c = 1")
-        .groupBy("d.doc", "d.f").agg(F.count("*").alias("alone"))
+        .groupBy("d.doc", "d.f").agg(F.array(*[F.count(F.when(part == p, 1)) for p in range(PARTS)]).alias("alone"))
     )
-    rest = rest.join(alone, ["doc", "f"], "left").withColumn("k", F.col("n") - F.coalesce("alone", F.lit(0)))
+    all_parts = F.transform(
+        F.sequence(F.lit(0), F.lit(PARTS - 1)),
+        lambda p: F.size(F.filter("shingles", lambda s: F.pmod(s, F.lit(PARTS)) == p)).cast("bigint"),
+    )
+    none = F.array_repeat(F.lit(0).cast("bigint"), PARTS)
+    shared = open_sets.select("doc", "f", all_parts.alias("parts")).join(alone, ["doc", "f"], "left").select(
+        "doc", "f", F.zip_with("parts", F.coalesce("alone", none), lambda x, y: x - y).alias("parts")
+    ).withColumn("k", F.aggregate("parts", F.lit(0).cast("bigint"), lambda x, y: x + y))
+    rest = rest.join(stored(shared, "shared"), ["doc", "f"])
     smallest = rest.groupBy("key").agg(F.min("n").alias("least"))
     able = rest.join(smallest, "key").where(
         100 * F.col("k") >= percent * (F.col("n") + F.greatest("least", "k") - F.col("k"))
     )
-    rest = stored(_open(able.select("key", "doc", "f", "n", "k", "comp")), "open")
+    rest = stored(_open(able.select("key", "doc", "f", "n", "k", "parts", "comp")), "open")
     if rest.isEmpty():
         return roots
     common = F.max_by(F.struct("doc", "f", "n", "comp", "k"), F.struct(F.col("k") / F.col("n"), F.xxhash64("doc")))
@@ -200,17 +215,33 @@ def links(docs: DataFrame, signed: DataFrame, sets_of: DataFrame, size: int, per
     rest = stored(_open(_named(rest.drop("comp"), roots)), "open")
     if rest.isEmpty():
         return roots
-    left = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("doc", "f", "n", "k", "comp")])
-    right = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc", "f", "n", "k", "comp")])
-    apart = left.join(
-        right,
-        (left["key"] == right["key"]) & (F.col("comp_a") < F.col("comp_b"))
-        & _similar(F.least("k_a", "k_b"), "n_a", "n_b", percent),
+    third = confirmed(_pairs_left(rest, sets_of, percent), sets, percent)
+    return components(stored(found.unionByName(third), "found"))
+
+
+def _pairs_left(rest: DataFrame, sets_of: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open documents of one bucket in different components that the bounds allow, each from one bucket."""
+    rows = rest.join(sets_of.select("doc", "f", "u", "v"), ["doc", "f"])
+    names = ("doc", "f", "n", "k", "parts", "comp", "u", "v")
+    left = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = rows.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in names])
+
+    def first_equal(side: str) -> Column:
+        equal = F.zip_with(f"{side}_a", f"{side}_b", lambda x, y: x == y)
+        return F.array_position(equal, F.lit(True)) - 1
+
+    at_most = F.aggregate(
+        F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda x, y: x + y
+    )
+    # Cheap conditions first; a pair is taken in the first of its common tables only.
+    possible = (
+        (F.col("comp_a") < F.col("comp_b")) & _similar(F.least("k_a", "k_b"), "n_a", "n_b", percent)
+        & (F.col("key").bitwiseAND(F.lit(0xFFFF)) == first_equal("u") * 256 + first_equal("v"))
+        & _similar(at_most, "n_a", "n_b", percent)
     )
-    third = apart.select(
+    return left.join(right, (F.col("key") == F.col("key_b")) & possible).select(
         F.col("doc_a").alias("a"), F.col("f_a").alias("fa"), F.col("doc_b").alias("b"), F.col("f_b").alias("fb")
     ).distinct()
-    return components(stored(found.unionByName(confirmed(third, sets, percent)), "found"))
 
 
 def near_duplicates(
