@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,26 @@ def returned(found: DataFrame, names: Sequence[str]) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("at", *names)))
     grouped = found.groupBy("block").agg(rows.alias("rows"))
     return grouped.select("block", *[F.col(f"rows.{name}").alias(name) for name in names])
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 to 2**32 - 1 as compressed bytes, equal bytes of the numbers side by side."""
+    import pyarrow as pa
+
+    planes = b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays)
+    head = np.array([len(arrays), *map(len, arrays)], "<u4").tobytes()
+    return head + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    import pyarrow as pa
+
+    (count,) = np.frombuffer(data[:4], "<u4").tolist()
+    sizes = np.frombuffer(data[4 : 4 + 4 * count], "<u4").tolist()
+    raw = pa.decompress(data[4 + 4 * count :], 4 * sum(sizes), codec="zstd", asbytes=True)
+    parts, at = [], 0
+    for size in sizes:
+        planes = np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, size)
+        parts.append(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+        at += 4 * size
+    return parts

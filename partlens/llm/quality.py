@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partlens.llm.blocks import numbered, returned, symbols
-from partlens.llm.common import stored
+from partlens.llm.blocks import numbered, pack, returned, symbols, unpack
+from partlens.llm.common import BROADCAST_KEYS, stored
 
 #: Marks before and after a text; a character of that code in a text counts as the mark.
 START, END = 2, 3
@@ -61,14 +61,26 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return grams, ends, np.concatenate(places).astype(np.int32), np.concatenate(counts).astype(np.int32)
 
 
+def _steps(ends: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The rising places of each text as steps from one to the next."""
+    steps = np.diff(places, prepend=0)
+    steps[ends[:-1]] = places[ends[:-1]]
+    return steps
+
+
+def _places(ends: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    along = np.cumsum(steps)
+    return along - np.repeat(along[ends[:-1]] - steps[ends[:-1]], np.diff(ends))
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Block rows of documents (doc_id, lang, row_key, text)."""
-    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+    """Block rows of documents (doc_id, lang, row_key, trusted, text); ``n`` counts the trigrams of trusted texts."""
+    longs = T.ArrayType(T.LongType())
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
         T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("keys", longs),
-        T.StructField("lengths", longs), T.StructField("grams", longs), T.StructField("ends", ints),
-        T.StructField("places", ints), T.StructField("counts", ints),
+        T.StructField("trusted", T.ArrayType(T.BooleanType())), T.StructField("lengths", longs),
+        T.StructField("grams", longs), T.StructField("n", longs), T.StructField("packed", T.BinaryType()),
     ])
 
     def run(batches):
@@ -78,39 +90,20 @@ def _blocks(docs: DataFrame) -> DataFrame:
             return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
         for block, batch in numbered(batches, BLOCK_BYTES):
-            texts = [t or "" for t in batch.column(3).to_pylist()]
+            texts = [t or "" for t in batch.column(4).to_pylist()]
             grams, ends, places, counts = _trigrams(texts)
-            columns = [batch.column(i) for i in range(3)]
+            trusted = np.repeat(batch.column(3).to_numpy(zero_copy_only=False).astype(bool), np.diff(ends))
+            n = np.bincount(places[trusted], counts[trusted], len(grams)).astype(np.int64)
+            columns = [batch.column(i) for i in range(4)]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
             lengths = np.array([len(t) + 1 for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), *lists, one(lengths, pa.int64()), one(grams, pa.int64()),
-                 one(ends, pa.int32()), one(places, pa.int32()), one(counts, pa.int32())],
+                 one(n, pa.int64()), pa.array([pack(ends, _steps(ends, places), counts)], pa.binary())],
                 names=schema.names,
             )
 
-    return docs.select("doc_id", "lang", "row_key", "text").mapInArrow(run, schema)
-
-
-def _trusted_counts(blocks: DataFrame, flags: DataFrame) -> DataFrame:
-    """(gram, n): how often trusted documents hold each trigram; zero rows are left out."""
-    schema = "gram long, n long"
-    joined = blocks.select("block", "grams", "ends", "places", "counts").join(flags, "block")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                grams, ends, places, counts, trusted = (
-                    batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(1, 6)
-                )
-                of = np.repeat(trusted.astype(bool), np.diff(ends))
-                n = np.bincount(places[of], counts[of], len(grams)).astype(np.int64)
-                some = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(grams[some]), pa.array(n[some])], names=["gram", "n"])
-
-    return joined.mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "lang", "row_key", "trusted", "text").mapInArrow(run, schema)
 
 
 def _discounts(counts: DataFrame, n: str) -> dict[int, float]:
@@ -185,31 +178,27 @@ def kneser_ney(trigrams: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def _scores(blocks: DataFrame, values: DataFrame, flags: DataFrame) -> DataFrame:
+def _scores(blocks: DataFrame, values: DataFrame) -> DataFrame:
     """One row per document of each block: ids, language, key, length, log probability, whether trusted."""
     schema = T.StructType([
         T.StructField("doc_id", blocks.schema["doc_ids"].dataType.elementType), T.StructField("lang", T.StringType()),
-        T.StructField("row_key", T.LongType()), T.StructField("n_tokens", T.LongType()),
-        T.StructField("logp", T.DoubleType()), T.StructField("trusted", T.BooleanType()),
+        T.StructField("row_key", T.LongType()), T.StructField("trusted", T.BooleanType()),
+        T.StructField("n_tokens", T.LongType()), T.StructField("logp", T.DoubleType()),
     ])
-    joined = blocks.select("block", "doc_ids", "langs", "keys", "lengths", "ends", "places", "counts").join(
-        values, "block"
-    ).join(flags, "block").drop("block")
+    columns = ["doc_ids", "langs", "keys", "trusted", "lengths", "packed"]
+    joined = blocks.select("block", *columns).join(values, "block").select(*columns, "logp")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, langs, keys, lengths = (batch.column(i)[row].values for i in range(4))
-                ends, places, counts, logp, trusted = (
-                    batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(4, 9)
-                )
+                lists = [batch.column(i)[row].values for i in range(5)]
+                ends, steps, counts = unpack(batch.column(5)[row].as_py())
+                logp = batch.column(6)[row].values.to_numpy(zero_copy_only=False)
                 # Texts have an end mark at least, so no document is without trigrams.
-                total = np.add.reduceat(logp[places] * counts, ends[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [ids, langs, keys, lengths, pa.array(total), pa.array(trusted.astype(bool))], names=schema.names
-                )
+                total = np.add.reduceat(logp[_places(ends, steps)] * counts, ends[:-1])
+                yield pa.RecordBatch.from_arrays([*lists, pa.array(total)], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
@@ -229,23 +218,23 @@ def classify(
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
     ).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    blocks = stored(_blocks(rows), "blocks", records=8)
-    trusted = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(
-        F.min(F.coalesce(F.col(label), F.lit(0))).alias("label")
-    ).where("label = 1").select("id", F.lit(True).alias("trusted"))
-    flags = stored(
-        returned(
-            symbols(blocks, ["doc_ids"]).join(trusted, F.col("doc_ids") == F.col("id"), "left")
-            .withColumn("trusted", F.coalesce("trusted", F.lit(False))),
-            ["trusted"],
-        ),
+    trusted = stored(
+        labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(
+            F.min(F.coalesce(F.col(label), F.lit(0))).alias("label")
+        ).where("label = 1").select("id", F.lit(True).alias("trusted")),
         "trusted",
     )
-    counts = stored(_trusted_counts(blocks, flags), "trigrams")
+    few = trusted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    marked = rows.join(F.broadcast(trusted) if few else trusted, F.col("doc_id") == F.col("id"), "left")
+    blocks = stored(_blocks(marked.withColumn("trusted", F.coalesce("trusted", F.lit(False)))), "blocks", records=8)
+    counts = stored(
+        symbols(blocks, ["grams", "n"]).where("n > 0").groupBy(F.col("grams").alias("gram")).agg(F.sum("n").alias("n")),
+        "trigrams",
+    )
     held = symbols(blocks, ["grams"]).withColumnRenamed("grams", "gram")
     model = stored(kneser_ney(counts, held.select("gram").distinct()), "model")
     values = returned(held.join(model, "gram"), ["logp"])
-    scored = stored(_scores(blocks, values, flags), "scores").withColumn("perplexity", F.exp(-F.col("logp") / F.col("n_tokens")))
+    scored = stored(_scores(blocks, values), "scores").withColumn("perplexity", F.exp(-F.col("logp") / F.col("n_tokens")))
     good = scored.where("trusted")
     cut = F.percentile_approx("perplexity", quantile, 100_000) * margin
     by_lang = good.groupBy(F.col("lang").alias("of")).agg(cut.alias("own"))
