@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from partlens.llm import (
     byte_bpe, decontaminate, hmm_lm, minhash_dedup, multi_index, passages, pii_labels, quality, secret_scan, spans,
+    toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +114,8 @@ def op3_pii_labels(spark, folder):
 @query
 def op8_passages(spark, folder):
     return passages.shared_passages(table(spark, folder, "documents"))
+
+
+@query
+def op10_toxicity(spark, folder):
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
