@@ -237,6 +237,11 @@ def fit(texts: list[str], toxic: list[int]) -> Machine:
     p, q = in_toxic / max(1, n_pos), in_clean / max(1, n_neg)
     sure = (p - q) / np.sqrt((p * (1 - p) + 1e-9) / max(1, n_pos) + q * (1 - q) / max(1, n_neg) + 1e-6)
     marks = (in_toxic >= max(3, COMMON_SHARE * n_pos)) & (sure >= SURE) & (q <= 0.2 * p)
+    # A run of characters that only its marking word brings along marks nothing by itself.
+    longer = [i for i in np.flatnonzero(marks) if len(strings[i]) > STEM]
+    for i in np.flatnonzero(marks):
+        if any(strings[i] in strings[j] and in_toxic[i] <= 1.2 * in_toxic[j] for j in longer if j != i):
+            marks[i] = False
     top: list[str] = []
     for i in sorted(np.flatnonzero(marks).tolist(), key=lambda i: (-sure[i], strings[i])):
         if len(top) < MARKING and (not top or kernels([strings[i]], top).max() < APART):
