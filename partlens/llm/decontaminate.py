@@ -1,11 +1,11 @@
 """Benchmark passages inside documents, by SQL expressions only: size-partitioned MinHash search, then exact check.
 
-Test items fall into partitions by the number of their shingles: partition S holds those with more than S / 2 and up
-to S. For each partition every document is read as windows of 2 * S shingles that begin every S shingles, so any run
-of S shingles lies whole in one window however long the document is, and the window is never much larger than the
-items looked for. A window's MinHash sketch is its ``sketch`` smallest shingle hashes. A window that contains an item
-to the wanted degree shares a known part of its shingles with it, which fixes how unlikely an empty meeting of sketch
-and item is. Documents that meet are checked on their full shingle sets.
+Test items fall into partitions by the number of their shingles: partition S holds those with up to S and more than
+the next smaller one. For each partition every document is read as windows of 2 * S shingles that begin every S
+shingles, so any run of S shingles lies whole in one window however long the document is, and the window is never
+much larger than the items looked for. A window's MinHash sketch is its ``SKETCH`` smallest shingle hashes. A window
+that contains an item to the wanted degree shares a known part of its shingles with it, which fixes how unlikely an
+empty meeting of sketch and item is. Documents that meet an item are checked on their full shingle sets.
 """
 
 from __future__ import annotations
@@ -13,49 +13,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partlens.llm.common import stored, words
+from partlens.llm.common import GAPS, lower_ascii, stored
 
-#: Smallest partition; up to it windows are sketched whole.
-LEAST_PARTITION = 16
-#: Hashes in a window's sketch. At containment 0.8 a window shares at least a fifth of its shingles with a found
-#: item, so all hashes miss with a chance below 0.8 ** 32 = 0.0008, and far below for an item near its partition's size.
-SKETCH = 32
+#: The first partitions, then powers of two. The first is so small that its windows are taken whole.
+FIRST_PARTITIONS = (8, 32, 64)
+#: Hashes in a window's sketch. At containment 0.8 an item of partition 32 shares at least 7 of a window's 64
+#: shingles, one of partition 64 at least 26 of 128: the sketch holds none of them with a chance below 0.001.
+SKETCH = {32: 40, 64: 28}
+LARGE_SKETCH = 32
 #: The item side is broadcast up to this many shingles (20 bytes each), joined by a shuffle beyond.
 BROADCAST_SHINGLES = 200_000
 
 
-def shingles(text: Column, size: int) -> Column:
-    """Hashes of each run of ``size`` words in order; fewer words give none."""
-    runs = F.transform(words(text), lambda w: F.xxhash64(w))
-    n = F.size(runs)
-    # Shifted copies of the word hashes, zipped: one pass, no slice per shingle.
-    out = runs
-    for k in range(1, size):
-        ahead = F.slice(runs, F.lit(k + 1), F.greatest(n, F.lit(1)))
-        out = F.zip_with(out, ahead, lambda a, b: F.xxhash64(a, b))
-    return F.slice(out, F.lit(1), F.greatest(n - (size - 1), F.lit(0)))
+def with_shingles(df: DataFrame, text: str, size: int, name: str) -> DataFrame:
+    """Add ``name``: hashes of each distinct run of ``size`` words (two at least), in order of first occurrence.
+
+    Fewer words give none. Arrays that are read more than once are columns of a step of their own, or each reading
+    would compute them anew.
+    """
+    body = F.btrim(lower_ascii(F.coalesce(F.col(text), F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    out = df.withColumn("_run1", F.transform(F.split(body, GAPS), lambda w: F.xxhash64(w)))
+    words = F.greatest(F.size("_run1"), F.lit(1))
+
+    def longer(first: int, second: int) -> DataFrame:
+        """Runs of ``first`` words joined with the runs of ``second`` words behind them."""
+        ahead = F.slice(f"_run{second}", F.lit(first + 1), words)
+        return out.withColumn(f"_run{first + second}", F.zip_with(f"_run{first}", ahead, lambda a, b: F.xxhash64(a, b)))
+
+    made = 1
+    while made * 2 <= size:
+        out = longer(made, made)
+        made *= 2
+    for part in (1 << k for k in range(size.bit_length() - 2, -1, -1)):
+        if (size - made) & part:
+            out = longer(made, part)
+            made += part
+    runs = F.slice(f"_run{size}", F.lit(1), F.greatest(F.size("_run1") - (size - 1), F.lit(0)))
+    return out.withColumn(name, F.array_distinct(runs)).drop(*[c for c in out.columns if c.startswith("_run")])
 
 
 def item_shingles(items: DataFrame, size: int, item_id: str, text: str) -> DataFrame:
     """Per item: item_id, its distinct shingles, their number and its partition. Items under ``size`` words have no row."""
-    sets = items.select(F.col(item_id).alias("item_id"), F.array_distinct(shingles(F.col(text), size)).alias("item"))
-    sets = sets.where("item_id IS NOT NULL AND size(item) > 0").withColumn("n_item", F.size("item").cast("bigint"))
-    width = F.greatest(F.lit(LEAST_PARTITION), F.pow(F.lit(2), F.ceil(F.log2(F.col("n_item").cast("double")))).cast("int"))
-    return sets.withColumn("part", width.cast("int"))
+    named = items.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text"))
+    sets = with_shingles(named, "text", size, "item").drop("text").where("item_id IS NOT NULL AND size(item) > 0").withColumn("n_item", F.size("item").cast("bigint"))
+    large = F.pow(F.lit(2), F.ceil(F.log2(F.col("n_item").cast("double")))).cast("int")
+    for part in reversed(FIRST_PARTITIONS):
+        large = F.when(F.col("n_item") <= part, part).otherwise(large)
+    return sets.withColumn("part", large.cast("int"))
 
 
-def window_sketches(hashes: Column, part: int, sketch: int) -> Column:
-    """The distinct hashes in the sketches of all windows of one partition."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - part - 1, F.lit(0)), F.lit(part))
-    sketches = F.transform(
-        starts, lambda s: F.slice(F.sort_array(F.array_distinct(F.slice(hashes, s + 1, F.lit(2 * part)))), 1, sketch)
-    )
-    return F.flatten(sketches)
+def window_sketches(hashes: Column, part: int) -> Column:
+    """The hashes in the sketches of all windows of one partition."""
+    if part == FIRST_PARTITIONS[0]:
+        return hashes
+    sketch = SKETCH.get(part, LARGE_SKETCH)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - part, F.lit(1)), F.lit(part))
+    return F.flatten(F.transform(starts, lambda s: F.slice(F.sort_array(F.slice(hashes, s, F.lit(2 * part))), 1, sketch)))
 
 
 def contaminated(
     docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id",
-    text: str = "text", item_id: str = "item_id", item_text: str = "text", sketch: int = SKETCH,
+    text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row per document and item whose shingles it holds: doc_id, item_id, n_shared, n_item, containment.
 
@@ -67,26 +85,20 @@ def contaminated(
     wanted = stored(item_shingles(items, size, item_id, item_text), "items")
     parts = sorted(row["part"] for row in wanted.select("part").distinct().collect())  # powers of two: a few dozen
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    keyed = wanted.select("item_id", "part", F.explode("item").alias("hash"))
+    keyed = wanted.select("item_id", F.explode("item").alias("hash"))
     total = keyed.count()
     if not parts:
         return wanted.where("false").join(named.limit(0), F.lit(False)).select(
             "doc_id", "item_id", F.col("n_item").alias("n_shared"), "n_item", F.lit(0.0).alias("containment")
         )
-    hashed = named.select("doc_id", shingles(F.col("text"), size).alias("hashes"))
-    per_part = F.array(*[
-        F.struct(F.lit(part).alias("part"), window_sketches(F.col("hashes"), part, sketch).alias("sketch"))
-        for part in parts
-    ])
-    probes = hashed.select("doc_id", F.explode(per_part).alias("p")).select(
-        "doc_id", F.col("p.part").alias("part"), F.explode("p.sketch").alias("hash")
-    )
-    found = probes.join(F.broadcast(keyed) if total <= BROADCAST_SHINGLES else keyed, ["part", "hash"])
+    # Each shingle once, where the document first has it.
+    hashed = with_shingles(named, "text", size, "hashes")
+    probes = hashed.select("doc_id", F.explode(F.concat(*[window_sketches(F.col("hashes"), p) for p in parts])).alias("hash"))
+    found = probes.join(F.broadcast(keyed) if total <= BROADCAST_SHINGLES else keyed, "hash")
     candidates = stored(found.select("doc_id", "item_id").distinct(), "meetings")
     ids = candidates.select(F.col("doc_id").alias("found_id")).distinct()
-    full = named.join(ids, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_semi").select(
-        "doc_id", F.array_distinct(shingles(F.col("text"), size)).alias("set")
-    )
+    holders = named.join(ids, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_semi")
+    full = with_shingles(holders, "text", size, "set").select("doc_id", "set")
     checked = (
         candidates.withColumnRenamed("doc_id", "found_id")
         .join(full, F.col("doc_id").eqNullSafe(F.col("found_id")))
