@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -22,9 +21,9 @@ def label_list(packed: Column) -> Column:
 
 
 def has_label_word(packed: Column, labels: Iterable[str]) -> Column:
-    """Any label present as a whole word."""
-    pattern = "|".join(rf"\b{re.escape(label)}\b" for label in labels)
-    return F.coalesce(packed, F.lit("")).rlike(pattern)
+    """Any label present as a whole word; labels are quoted the way Java patterns are."""
+    quoted = ["\\Q" + label.replace("\\E", "\\E\\\\E\\Q") + "\\E" for label in labels]
+    return F.coalesce(packed, F.lit("")).rlike("\\b(?:" + "|".join(quoted) + ")\\b")
 
 
 def has_label_text(packed: Column, labels: Iterable[str]) -> Column:

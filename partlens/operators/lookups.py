@@ -15,6 +15,19 @@ def first_match(dim: DataFrame, key: str, values: Sequence[str], order: str) ->
     return keep_first(dim, [key], [F.col(order)], list(values))
 
 
+def join_lookups(facts: DataFrame, lookups: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """Left joins of ``facts`` to ``lookups``, each with one row per its keys.
+
+    The hash of the keys is one more join column on both sides. A lookup grouped on the same keys would
+    otherwise be joined in the partitions of its group-by, and the engine splits hot keys only where both
+    sides of a join are shuffled for it.
+    """
+    for lookup, keys in lookups:
+        hashed = facts.withColumn("_h", F.xxhash64(*keys))
+        facts = hashed.join(lookup.withColumn("_h", F.xxhash64(*keys)), ["_h", *keys], "left").drop("_h")
+    return facts
+
+
 def known_modules(man_modules: DataFrame) -> DataFrame:
     """One row per module name, so that joining it never multiplies rows."""
     return keep_first(man_modules, ["module_name"], [], ["man_id", "module_id", "run_flag"])

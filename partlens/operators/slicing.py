@@ -9,27 +9,20 @@ from pyspark.sql import functions as F
 
 from partlens.session import scratch_path
 
-# Up to this position the slice is a page and Spark's bounded top-k serves it.
-PAGE_LIMIT = 100_000
 # monotonically_increasing_id keeps the row's place inside its partition in the low 33 bits.
 PLACE_BITS = 33
 
 
-def positional_slice(
-    df: DataFrame, start: int, end: int, order: Sequence[str], page_limit: int = PAGE_LIMIT
-) -> DataFrame:
-    """The slice, or everything when ``start < 0`` or ``start > end``.
+def positional_slice(df: DataFrame, start: int, end: int, order: Sequence[str]) -> DataFrame:
+    """The slice in order, or everything when ``start < 0`` or ``start > end``.
 
-    ``order`` must be a total order. A slice reaching beyond ``page_limit`` is
-    numbered in place of being gathered: the rows are range-partitioned and
-    sorted once into a scratch table, partition sizes (one row each) give the
-    offsets, and only the asked positions are kept.
+    ``order`` must be a total order. Near or far, rows are numbered in place of
+    being gathered: they are range-partitioned and sorted once into a scratch
+    table, partition sizes (one row each) give the offsets, and only the asked
+    positions are kept.
     """
     if start < 0 or start > end:
         return df
-    if end < page_limit:
-        return df.orderBy(*order).offset(start).limit(end - start + 1)
-
     spark = df.sparkSession
     path = scratch_path(spark, "slice")
     (
@@ -45,4 +38,5 @@ def positional_slice(
     offsets = sizes.select("_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     place = F.col("_before") + F.col("_mid").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     # Broadcast bound: one row of two longs per partition of the scratch table.
-    return placed.join(F.broadcast(offsets), "_piece").where(place.between(start, end)).select(*df.columns)
+    asked = placed.join(F.broadcast(offsets), "_piece").where(place.between(start, end))
+    return asked.orderBy(place).select(*df.columns)

@@ -12,7 +12,7 @@ from partlens.functions import classify
 from partlens.functions.dates import EPOCH_1970, days_before, is_expired, or_sentinel
 from partlens.operators.dedup import largest_null_first, latest_per_key
 from partlens.operators.filters import RegistryFilter, filter_registry
-from partlens.operators.heavy import join_lookups
+from partlens.operators.lookups import join_lookups
 
 # The priority buckets of the daily summary.
 PRIORITY_BUCKETS = (
@@ -98,7 +98,7 @@ def registry_base(registry: DataFrame, marks: DataFrame) -> DataFrame:
     """
     lc_rows = F.coalesce(F.col("lc_rows"), F.lit(0))
     key = ["pn", "man_id"]
-    return join_lookups(registry, [(marks, key)], by=key).select(
+    return join_lookups(registry, [(marks, key)]).select(
         "pn", "man_id", "mod_id", "prty", "cs",
         or_sentinel(F.col("lrd"), EPOCH_1970).alias("lrd2"),
         or_sentinel(F.col("v_notfound_dat"), EPOCH_1970).alias("v_notfound_dat2"),

@@ -13,8 +13,7 @@ from partlens.functions.dates import EARLIEST_RUN, EPOCH_1900, FAR_FUTURE, is_ex
 from partlens.functions.figures import count_where
 from partlens.functions.text import upload_priority
 from partlens.operators.dedup import newest_values
-from partlens.operators.heavy import join_lookups
-from partlens.operators.lookups import known_modules
+from partlens.operators.lookups import join_lookups, known_modules
 from partlens.operators.merge import update_where
 
 NOT_REGISTERED = "not SE part"
@@ -119,7 +118,7 @@ def _looked_up(
         (registered_parts(registry), ["part", "new_man_id"]),
         (key_facts(registry, feed), LOOKUP_KEY),
     ]
-    return join_lookups(with_modules(parts, man_modules), [*lookups, *more], by=LOOKUP_KEY)
+    return join_lookups(with_modules(parts, man_modules), [*lookups, *more])
 
 
 def _computed() -> dict[str, Column]:
@@ -224,7 +223,7 @@ def found_source(
     lookup = _feature_lookup(features, has_names)
     extra = ["new_features"] if has_names else []
     key = ["part", "key_man_id", "key_module_id"]
-    return join_lookups(rows, [(lookup, key)], by=key).where("has_feature").select(
+    return join_lookups(rows, [(lookup, key)]).where("has_feature").select(
         "id", "part", *extra, "new_last_run_date"
     )
 
@@ -256,7 +255,7 @@ def merge_found(
     """Found merge over the whole parts table; every module of the files in one join."""
     rows = _with_scope(parts, files, man_modules, scope)
     key = ["part", "key_man_id", "key_module_id"]
-    joined = join_lookups(rows, [(_feature_lookup(features, has_names), key)], by=key)
+    joined = join_lookups(rows, [(_feature_lookup(features, has_names), key)])
     hit = F.col("in_scope") & F.col("has_feature")
     return update_where(joined, hit, found_rules(has_names)).select(*parts.columns)
 
@@ -274,9 +273,7 @@ def run_status(
 ) -> DataFrame:
     """Both merges as one plan: the parts table after a status run.
 
-    The parts are read once. They meet the key facts and the features on the
-    same three columns, so one shuffle of the parts serves both joins. Module
-    names and files do not change in the first merge, so the scope of the
+    Module names and files do not change in the first merge, so the scope of the
     second is known from the start.
     """
     due = eligible_files(files, as_of, names, ignore_check_date)

@@ -7,9 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Joins carry no broadcast hint anywhere in the package: the measured size of a
-# side decides (autoBroadcastJoinThreshold and AQE), and beyond it the
-# sort-merge join with skew splitting takes over.
+# The measured size of a side decides how a join runs (autoBroadcastJoinThreshold and AQE), and beyond it
+# the sort-merge join with skew splitting takes over. Hints stand only on sides of a proven bound.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -45,7 +44,8 @@ def shared_folder(spark: SparkSession) -> str:
     )
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="partlens-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -118,18 +118,24 @@ def read_direct_feed(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("row_no", F.monotonically_increasing_id())
 
 
-def read_process_logs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """All process logs of a folder as one table.
+def _process_records(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.csv(path, header=True, schema=PROCESS_LOG, escape='"', multiLine=True, mode="PERMISSIVE")
+    return rows.withColumn("_time", parse_timestamp(F.col("timestamp")))
 
-    By default lines are read one by one, so a huge log splits: the further
-    lines of a quoted traceback carry no timestamp and drop out, and its
-    ``details`` keeps the first line. ``multi_line`` keeps whole details, at
-    the price of one task per file.
+
+def read_process_logs(spark: SparkSession, path: str) -> DataFrame:
+    """All process logs of a folder as one table, with whole details: a quoted traceback may span lines.
+
+    A file is read by one task, as a quoted line end can't be told from a record's in the middle of a file.
+    Records whose time can't be read are in ``rejected_process_logs``.
     """
-    rows = spark.read.csv(
-        path, header=True, schema=PROCESS_LOG, escape='"', multiLine=multi_line, mode="PERMISSIVE"
-    )
-    return rows.withColumn("timestamp", parse_timestamp(F.col("timestamp"))).where(F.col("timestamp").isNotNull())
+    rows = _process_records(spark, path).where(F.col("_time").isNotNull())
+    return rows.withColumn("timestamp", F.col("_time")).drop("_time")
+
+
+def rejected_process_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the folder's logs that have no readable time, as they stand."""
+    return _process_records(spark, path).where(F.col("_time").isNull()).drop("_time")
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:

@@ -77,15 +77,16 @@ def test_dimensions(spark, tmp_path):
     assert (row["modules"], row["running_status"], row["old"]) == ("m", 'say "hi"', None)
 
 
-def test_process_logs_by_line_and_whole(spark, tmp_path):
+def test_process_logs_keep_whole_details_and_rejects(spark, tmp_path):
     head = "timestamp,parent_process,subprocess,level,message,details\n"
     trace = '"Traceback\n  File x, line 1\nboom"'
     put(tmp_path, "one.csv", head + f"2024-01-01 10:00:00,one,s,ERROR,ERROR in a: b,{trace}\n")
     put(tmp_path, "two.csv", head + '2024-01-01 11:00:00,two,s,INFO,"STEP: a, b",\n')
-    lines = {r["parent_process"]: r for r in readers.read_process_logs(spark, str(tmp_path)).collect()}
-    assert set(lines) == {"one", "two"} and lines["two"]["message"] == "STEP: a, b"
-    whole = readers.read_process_logs(spark, str(tmp_path), multi_line=True)
-    assert "boom" in {r["parent_process"]: r["details"] for r in whole.collect()}["one"]
+    put(tmp_path, "three.csv", head + "2024-01-01T11:00:00Z!,three,s,INFO,x,\n")
+    rows = {r["parent_process"]: r for r in readers.read_process_logs(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"one", "two"} and rows["two"]["message"] == "STEP: a, b"
+    assert "boom" in rows["one"]["details"]
+    assert [r["parent_process"] for r in readers.rejected_process_logs(spark, str(tmp_path)).collect()] == ["three"]
 
 
 def test_empty_columns(spark):

@@ -53,7 +53,7 @@ def feed(man: str, mod: str) -> str:
     return f"""SELECT CAST(l_orderkey AS VARCHAR) AS mpn, {man} AS man_id, {mod} AS mod_id,
       CASE WHEN l_linenumber <> 6 THEN CAST(l_shipdate AS DATE) + 3 END AS check_date,
       {text_at('l_partkey + l_linenumber')} AS status
-    FROM lineitem WHERE l_returnflag <> 'R'"""
+    FROM lineitem"""
 
 
 def site(column: str) -> str:
@@ -669,11 +669,11 @@ ORACLE["recon_pivot"] = f"""{COUNTS} SELECT date,
 DAY = "CAST(o_orderdate AS DATE)"
 ORACLE["calendar_gaps"] = f"""SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(
   TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-01', INTERVAL 1 DAY)) AS d)
-  WHERE CAST(d AS DATE) NOT IN (SELECT {DAY} FROM orders WHERE o_totalprice > 450000)"""
+  WHERE CAST(d AS DATE) NOT IN (SELECT {DAY} FROM orders)"""
 ORACLE["calendar_day_members"] = """SELECT event_id, CAST(ts AS DATE) AS date FROM events
   WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-10'"""
 ORACLE["expected_exports"] = f"""SELECT d AS date, 'Export_' || t || 'Feed_' || strftime(d, '%d-%b-%Y') || '_00_AM.txt'
-  AS file_name FROM (SELECT DISTINCT {DAY} AS d FROM orders WHERE o_totalprice > 450000),
+  AS file_name FROM (SELECT DISTINCT {DAY} AS d FROM orders),
   (VALUES ('NotFound_'), ('')) AS v(t)"""
 ORACLE["retention_survivors"] = f"""SELECT o_orderkey, {DAY} AS download_date FROM orders
   QUALIFY dense_rank() OVER (ORDER BY {DAY} DESC) <= 7"""

@@ -427,7 +427,7 @@ def watch_slice_page(spark, folder):
 def watch_slice_far(spark, folder):
     """A slice in the numbered way, as for positions beyond a page."""
     rows = result_rows(spark, folder).select("id", "part", "module", "status")
-    return positional_slice(rows, 500, 6999, ["module", "id"], page_limit=0)
+    return positional_slice(rows, 500, 6999, ["module", "id"])
 
 
 @query
@@ -574,7 +574,7 @@ def recon_reports_between(spark, folder):
 
 
 def busy_days(spark: SparkSession, folder: str) -> DataFrame:
-    rows = b.table(spark, folder, "orders").where(F.col("o_totalprice") > 450000)
+    rows = b.table(spark, folder, "orders")
     return rows.select(F.col("o_orderdate").cast("date").alias("date"))
 
 
