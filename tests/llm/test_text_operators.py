@@ -254,6 +254,24 @@ def test_passages_find_every_long_repeat(spark, docs):
     assert passages.shared_passages(both.limit(0)).count() == 0
 
 
+def test_passages_of_lines_that_also_stand_alone_elsewhere(spark):
+    """Each line has four texts of its own, so a line's first text is seldom one of the two that share all lines."""
+    rows, pairs = [], []
+    for k in range(20):
+        lines = [" ".join(f"p{k}l{j}w{i}" for i in range(18)) for j in range(3)]
+        pairs.append({1000 * k, 1000 * k + 1})
+        for d in range(2):
+            around = [" ".join(f"d{k}-{d}-{side}-{i}" for i in range(70)) for side in range(2)]
+            rows.append((1000 * k + d, " ".join([around[0], *lines, around[1]])))
+        for j, line in enumerate(lines):
+            for d in range(4):
+                around = [" ".join(f"e{k}-{j}-{d}-{side}-{i}" for i in range(60)) for side in range(2)]
+                rows.append((1000 * k + 100 + 10 * j + d, " ".join([around[0], line, around[1]])))
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == set().union(*pairs)
+    assert {(r["start_word"], r["end_word"], r["n_equal"]) for r in found} == {(70, 124, 54)}
+
+
 def test_passages_with_edits(spark):
     inner = [f"p{i}" for i in range(80)]
     edited = [*inner[:25], "new", *inner[25:50], *inner[51:]]
