@@ -31,3 +31,10 @@ def join_lookups(facts: DataFrame, lookups: Sequence[tuple[DataFrame, Sequence[s
 def known_modules(man_modules: DataFrame) -> DataFrame:
     """One row per module name, so that joining it never multiplies rows."""
     return keep_first(man_modules, ["module_name"], [], ["man_id", "module_id", "run_flag"])
+
+
+def module_pairs(man_modules: DataFrame) -> DataFrame:
+    """Every (man_id, module_id) of a module name, once each."""
+    return man_modules.select("module_name", "man_id", "module_id").where(
+        F.col("man_id").isNotNull() & F.col("module_id").isNotNull()
+    ).distinct()

@@ -13,12 +13,13 @@ from partlens.functions.dates import EARLIEST_RUN, EPOCH_1900, FAR_FUTURE, is_ex
 from partlens.functions.figures import count_where
 from partlens.functions.text import upload_priority
 from partlens.operators.dedup import newest_values
-from partlens.operators.lookups import join_lookups, known_modules
+from partlens.operators.lookups import join_lookups, known_modules, module_pairs
 from partlens.operators.merge import update_where
 
 NOT_REGISTERED = "not SE part"
 FEATURE_KEY = ("man_id", "module_id", "part")
 LOOKUP_KEY = ("part", "new_man_id", "new_module_id")
+FEATURE_LOOKUP_KEY = ("part", "module")
 
 
 def _named(names: Sequence[str] | None) -> Column:
@@ -102,6 +103,35 @@ def with_modules(parts: DataFrame, man_modules: DataFrame) -> DataFrame:
     return parts.join(dim, "module", "left")
 
 
+def chosen_pairs(man_modules: DataFrame, registry: DataFrame, feed: DataFrame) -> DataFrame:
+    """The pair that decides a part's status, per (part, module) whose name has several pairs.
+
+    The newest feed record decides, then the newest registry date, then whether the registry knows the part, then the
+    smallest pair. Parts that no table knows under any pair have no row.
+    """
+    pairs = module_pairs(man_modules)
+    several = pairs.groupBy(F.col("module_name").alias("module")).agg(
+        F.collect_list(F.struct("man_id", "module_id")).alias("pairs")
+    ).where(F.size("pairs") > 1).select("module", F.explode("pairs").alias("p")).select(
+        "module", F.col("p.man_id").alias("new_man_id"), F.col("p.module_id").alias("new_module_id")
+    )
+    known = registered_parts(registry).join(several, "new_man_id")
+    facts = key_facts(registry, feed).join(several, ["new_man_id", "new_module_id"])
+    candidates = facts.select("part", "module", "new_man_id", "new_module_id", "check_date", "seen").unionByName(
+        known.select("part", "module", "new_man_id", "new_module_id", "registered"), allowMissingColumns=True
+    )
+    merged = candidates.groupBy("part", "module", "new_man_id", "new_module_id").agg(
+        F.max("check_date").alias("check_date"), F.max("seen").alias("seen"), F.bool_or("registered").alias("registered")
+    )
+    rank = F.struct(
+        or_sentinel(F.col("check_date"), EPOCH_1900).alias("checked"), "seen",
+        F.coalesce("registered", F.lit(False)).alias("registered"),
+        (-F.col("new_man_id")).alias("man"), (-F.col("new_module_id")).alias("mod"),
+    )
+    pair = F.struct(F.col("new_man_id").alias("man_id"), F.col("new_module_id").alias("module_id"))
+    return merged.groupBy("part", "module").agg(F.max_by(pair, rank).alias("_pair"))
+
+
 def _looked_up(
     parts: DataFrame,
     man_modules: DataFrame,
@@ -118,7 +148,11 @@ def _looked_up(
         (registered_parts(registry), ["part", "new_man_id"]),
         (key_facts(registry, feed), LOOKUP_KEY),
     ]
-    return join_lookups(with_modules(parts, man_modules), [*lookups, *more])
+    chosen = chosen_pairs(man_modules, registry, feed)
+    rows = join_lookups(with_modules(parts, man_modules), [(chosen, ["part", "module"])])
+    for name, field in (("new_man_id", "man_id"), ("new_module_id", "module_id")):
+        rows = rows.withColumn(name, F.when(F.col("_pair").isNotNull(), F.col(f"_pair.{field}")).otherwise(F.col(name)))
+    return join_lookups(rows.drop("_pair"), [*lookups, *more])
 
 
 def _computed() -> dict[str, Column]:
@@ -166,11 +200,9 @@ def merge_status(
 
 
 def modules_of(parts: DataFrame, files: DataFrame, man_modules: DataFrame) -> DataFrame:
-    """Known modules that occur in the given files."""
+    """Known modules that occur in the given files, with every pair of ids."""
     used = in_files(parts, files).select(F.col("module").alias("module_name")).distinct()
-    return known_modules(man_modules).join(used, "module_name").where(
-        F.col("man_id").isNotNull() & F.col("module_id").isNotNull()
-    ).select("module_name", "man_id", "module_id")
+    return module_pairs(man_modules).join(used, "module_name").select("module_name", "man_id", "module_id")
 
 
 def newest_features(features: DataFrame, has_names: bool = True) -> DataFrame:
@@ -185,29 +217,23 @@ def newest_features(features: DataFrame, has_names: bool = True) -> DataFrame:
 def _with_scope(
     parts: DataFrame, files: DataFrame, man_modules: DataFrame, scope: str
 ) -> DataFrame:
-    """Parts with ``in_scope`` and their module ids as the key of the feature lookup.
-
-    Parts out of scope keep their part number in the key, so they spread over
-    the shuffle in place of piling up on a NULL key.
-    """
-    ids = modules_of(parts, files, man_modules).select(
-        F.col("module_name").alias("module"), F.col("man_id").alias("key_man_id"),
-        F.col("module_id").alias("key_module_id"),
-    )
-    rows = parts.join(ids, "module", "left")
+    """Parts with ``in_scope``."""
     if scope == "module":
-        return rows.withColumn("in_scope", F.col("key_man_id").isNotNull())
+        used = modules_of(parts, files, man_modules).select(F.col("module_name").alias("module")).distinct()
+        rows = parts.join(used.withColumn("_used", F.lit(True)), "module", "left")
+        return rows.withColumn("in_scope", F.coalesce("_used", F.lit(False))).drop("_used")
     if scope != "file":
         raise ValueError(f"unknown scope: {scope}")
     due = files.select(F.col("id").alias("file_id"), F.lit(True).alias("_due"))
-    return rows.join(due, "file_id", "left").withColumn("in_scope", F.coalesce("_due", F.lit(False)))
+    return parts.join(due, "file_id", "left").withColumn("in_scope", F.coalesce("_due", F.lit(False)))
 
 
-def _feature_lookup(features: DataFrame, has_names: bool) -> DataFrame:
-    newest = newest_features(features, has_names)
-    return newest.withColumnsRenamed({"man_id": "key_man_id", "module_id": "key_module_id"}).withColumn(
-        "has_feature", F.lit(True)
-    )
+def _feature_lookup(features: DataFrame, man_modules: DataFrame, has_names: bool) -> DataFrame:
+    """Newest features per part and module name: of a name's pairs the one with the newest date, dated before undated."""
+    values = ["new_last_run_date", *(["new_features"] if has_names else [])]
+    named = newest_features(features, has_names).join(module_pairs(man_modules), ["man_id", "module_id"])
+    newest = named.groupBy("part", F.col("module_name").alias("module")).agg(F.max(F.struct(*values)).alias("_newest"))
+    return newest.select("part", "module", *[F.col(f"_newest.{v}").alias(v) for v in values], F.lit(True).alias("has_feature"))
 
 
 def found_source(
@@ -220,10 +246,9 @@ def found_source(
 ) -> DataFrame:
     """The rows the found merge would bring: parts with feature records."""
     rows = _with_scope(parts, files, man_modules, scope).where("in_scope")
-    lookup = _feature_lookup(features, has_names)
+    lookup = _feature_lookup(features, man_modules, has_names)
     extra = ["new_features"] if has_names else []
-    key = ["part", "key_man_id", "key_module_id"]
-    return join_lookups(rows, [(lookup, key)]).where("has_feature").select(
+    return join_lookups(rows, [(lookup, FEATURE_LOOKUP_KEY)]).where("has_feature").select(
         "id", "part", *extra, "new_last_run_date"
     )
 
@@ -254,8 +279,7 @@ def merge_found(
 ) -> DataFrame:
     """Found merge over the whole parts table; every module of the files in one join."""
     rows = _with_scope(parts, files, man_modules, scope)
-    key = ["part", "key_man_id", "key_module_id"]
-    joined = join_lookups(rows, [(_feature_lookup(features, has_names), key)])
+    joined = join_lookups(rows, [(_feature_lookup(features, man_modules, has_names), FEATURE_LOOKUP_KEY)])
     hit = F.col("in_scope") & F.col("has_feature")
     return update_where(joined, hit, found_rules(has_names)).select(*parts.columns)
 
@@ -279,13 +303,11 @@ def run_status(
     due = eligible_files(files, as_of, names, ignore_check_date)
     used = modules_of(parts, due, man_modules).select(
         F.col("module_name").alias("module"), F.lit(True).alias("in_scope")
-    )
+    ).distinct()
     flags = due.select(F.col("id").alias("file_id"), F.lit(True).alias("is_due"))
     rows = parts.join(flags, "file_id", "left").join(used, "module", "left")
-    lookup = _feature_lookup(features, True).withColumnsRenamed(
-        {"key_man_id": "new_man_id", "key_module_id": "new_module_id"}
-    )
-    joined = _looked_up(rows, man_modules, registry, feed, [(lookup, LOOKUP_KEY)])
+    lookup = _feature_lookup(features, man_modules, True)
+    joined = _looked_up(rows, man_modules, registry, feed, [(lookup, FEATURE_LOOKUP_KEY)])
     checked = update_where(joined, F.col("is_due"), _computed())
     merged = update_where(checked, F.col("in_scope") & F.col("has_feature"), found_rules())
     return merged.select(*parts.columns)

@@ -143,6 +143,44 @@ def test_found_merge_and_scope(spark):
     assert unnamed[5] == ("found", "before")
 
 
+def test_every_pair_of_a_module_name_counts(spark):
+    _, files, _, *_ = tables(spark)
+    names = ["second", "both", "plain", "unknown"]
+    rows = [(i, part, "Maker", "m", 1, None, None, None, None, None, "watch", None, None, None) for i, part in enumerate(names)]
+    parts = spark.createDataFrame(rows, schemas.PARTS)
+    modules = spark.createDataFrame([("m", 1, 10, 1), ("m", 2, 20, 0), ("m", 2, 20, 1)], schemas.MAN_MODULES)
+    registry = spark.createDataFrame(
+        [
+            ("second", 2, 20, "P1", None, date(2024, 1, 1), date(2024, 2, 1)),
+            ("both", 1, 10, "P2", None, date(2024, 3, 1), None),
+            ("both", 2, 20, "P3", None, None, date(2024, 1, 1)),
+            ("plain", 2, 99, "P4", None, None, None),
+        ],
+        schemas.PRIORITY_PARTS,
+    )
+    feed = spark.createDataFrame(
+        [("second", 2, 20, date(2024, 2, 1), "lost"), ("both", 2, 20, date(2024, 4, 1), "gone"), ("both", 1, 10, date(2024, 1, 1), "old")],
+        schemas.NOTFOUND_FEED,
+    )
+    due = watch_status.eligible_files(files, AS_OF)
+    merged = watch_status.merge_status(parts, due, modules, registry, feed)
+    assert by_id(merged, "table_name", "status", "prty", "man_id", "module_id") == {
+        0: ("not found", "lost", "P1", 2, 20),
+        1: ("not found", "gone", "P3", 2, 20),
+        2: ("not found", None, None, 2, 20),
+        3: ("not SE part", None, None, 1, 10),
+    }
+    features = spark.createDataFrame(
+        [(2, 20, "second", "a", date(2024, 5, 1)), (1, 10, "both", "x", date(2024, 5, 1)), (2, 20, "both", "y", date(2024, 5, 2))],
+        schemas.FEATURES,
+    )
+    found = by_id(watch_status.merge_found(merged, due, modules, features), "status", "features", "last_run_date")
+    assert found[0] == ("found", "a|", date(2024, 5, 1)) and found[1] == ("found", "y|", date(2024, 5, 2))
+    run = watch_status.run_status(parts, files, modules, registry, feed, features, AS_OF)
+    assert by_id(run, "status", "features", "last_run_date") == found
+    assert sorted(tuple(r) for r in watch_status.modules_of(parts, due, modules).collect()) == [("m", 1, 10), ("m", 2, 20)]
+
+
 def test_second_run_changes_nothing(spark):
     parts, files, modules, registry, feed, features = tables(spark)
     once = watch_status.run_status(parts, files, modules, registry, feed, features, AS_OF)
