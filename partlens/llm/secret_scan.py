@@ -2,7 +2,8 @@
 
 The second part slides a window over candidate strings of a character class. Character counts change by one character
 in and one out per step, and with them the sum of c * log2(c) that the window's Shannon entropy needs. Windows at or
-above the class's threshold are joined to spans. Strings on the allow list are passed over.
+above the class's threshold are joined to spans. What the allow list matches is cut out of a candidate, the pieces on
+both sides are searched; rules with ^ or $ pass over the whole candidate.
 """
 
 from __future__ import annotations
@@ -97,21 +98,39 @@ def suspect_windows(value: Column, characters: str, threshold: float, window: in
 
 
 def _entropy_spans(body: Column, characters: str, pattern: str, threshold: float, allowed: Sequence[str]) -> Column:
-    """Suspect windows of one character class, outside strings on the allow list."""
+    """Suspect windows of one character class that touch nothing the allow list matches."""
+    whole = [rule for rule in allowed if "^" in rule or "$" in rule]
+    parts = "|".join(f"(?:{rule})" for rule in allowed if rule not in whole)
 
     def listed(match):
-        return F.lit(False) if not allowed else F.array_max(F.array(*[match["value"].rlike(rule) for rule in allowed]))
+        return F.lit(False) if not whole else F.array_max(F.array(*[match["value"].rlike(rule) for rule in whole]))
+
+    def pieces(match):
+        begin, value = match["start"], match["value"]
+        if not parts:
+            return F.array(F.struct(begin.alias("start"), value.alias("value")))
+        cut = matches(value, parts)
+        zero, size = F.lit(0).cast("bigint"), F.char_length(value).cast("bigint")
+        between = F.zip_with(
+            F.concat(F.array(zero), F.transform(cut, lambda c: c["end"])),
+            F.concat(F.transform(cut, lambda c: c["start"]), F.array(size)),
+            lambda a, b: F.struct(
+                (begin + a).alias("start"), F.substr(value, (a + 1).cast("int"), (b - a).cast("int")).alias("value")
+            ),
+        )
+        return F.filter(between, lambda piece: F.char_length(piece["value"]) >= WINDOW)
 
-    def placed(match):
+    def placed(piece):
         return F.transform(
-            suspect_windows(match["value"], characters, threshold),
+            suspect_windows(piece["value"], characters, threshold),
             lambda s: F.struct(
-                (match["start"] + s["start"]).alias("start"), F.lit(3).alias("rank"), F.lit("entropy").alias("kind"),
-                (match["start"] + s["end"]).alias("end"),
+                (piece["start"] + s["start"]).alias("start"), F.lit(3).alias("rank"), F.lit("entropy").alias("kind"),
+                (piece["start"] + s["end"]).alias("end"),
             ),
         )
 
-    return F.flatten(F.transform(F.filter(matches(body, pattern), lambda m: ~listed(m)), placed))
+    candidates = F.filter(matches(body, pattern), lambda m: ~listed(m))
+    return F.flatten(F.transform(F.flatten(F.transform(candidates, pieces)), placed))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", allowed: Sequence[str] = ALLOWED) -> DataFrame:

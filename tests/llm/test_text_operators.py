@@ -121,6 +121,22 @@ def test_secrets_against_a_plain_version(spark, docs):
         assert row["masked"] == out + text[at:]
 
 
+def test_secrets_beside_allowed_strings(spark):
+    key = "Zq8xT2vLp0Wn5KdR7yBj"
+    rows = [
+        (1, f"see data/samples/{key} \U0001F600"), (2, f"\U0001F600 {key}=example"), (3, f"dummy_{key}"),
+        (4, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+        (5, "123e4567-e89b-12d3-a456-426614174000"), (6, "your-key-example-1234567890"),
+    ]
+    found = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    for row in found:
+        at = row["text"].find(key)
+        covered = {i for s in row["secrets"] for i in range(s["start"], s["end"])}
+        assert (at >= 0) == bool(covered) and covered >= set(range(at, at + len(key) if at >= 0 else at))
+    bare = secret_scan.find_secrets(spark.createDataFrame(rows[2:3], "doc_id int, text string"), allowed=()).first()
+    assert [(s["start"], s["end"]) for s in bare["secrets"]] == [(0, 26)]
+
+
 def luhn(number):
     figures = [int(c) for c in reversed(number)]
     return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(figures)) % 10 == 0
