@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,11 @@ def with_keys(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(keys) if few else keys, on, how)
 
 
+def constant(values, kind: str) -> Column:
+    """A list known to the driver as one literal of type ``kind``; short to plan however many items it has."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop columns that an operator is about to add, whatever their case."""
     taken = {name.lower() for name in names}

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlens.llm import (
-    byte_bpe, decontaminate, hmm_lm, minhash_dedup, multi_index, passages, pii_labels, quality, secret_scan, spans,
-    toxicity,
+    byte_bpe, decontaminate, filter_audit, hmm_lm, importance, minhash_dedup, multi_index, passages, pii_labels,
+    quality, secret_scan, spans, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,53 @@ def op8_passages(spark, folder):
 @query
 def op10_toxicity(spark, folder):
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op11_filter_audit(spark, folder):
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+ORACLE["op11_filter_audit"] = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+bits AS (
+  SELECT doc_id, part,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS b
+  FROM split),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+  max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+sets AS (
+  SELECT part, b, count(*) AS docs, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM bits LEFT JOIN marks USING (doc_id) GROUP BY part, b),
+f(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bs
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (
+  SELECT filter_order, step, bs[step] AS this, coalesce(list_sum(bs[1:step - 1]), 0)::INT AS before
+  FROM (SELECT filter_order, bs, unnest(range(1, 6))::INT AS step FROM orders)),
+figures AS (
+  SELECT part, filter_order, step, this,
+    sum(CASE WHEN (b & (this | before)) = 0 THEN docs ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN (b & this) <> 0 AND (b & before) = 0 THEN docs ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN (b & this) <> 0 AND (b & before) <> 0 THEN docs ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN b = this THEN docs ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN (b & this) <> 0 AND (b & before) = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN (b & this) <> 0 AND (b & before) = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM sets, steps GROUP BY part, filter_order, step, this)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, this)::BIGINT AS shapley
+FROM figures
+"""
+
+
+@query
+def op13_importance(spark, folder):
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
