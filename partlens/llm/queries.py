@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from partlens.llm import (
     byte_bpe, decontaminate, filter_audit, hmm_lm, importance, minhash_dedup, multi_index, passages, pii_labels,
-    quality, secret_scan, spans, toxicity,
+    quality, secret_scan, spans, token_machine, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +166,17 @@ FROM figures
 """
 
 
+@query
+def op12_token_machine(spark, folder):
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    counted = token_machine.count_tokens(
+        docs.withColumn("n_bytes", token_machine.utf8_bytes(F.col("text"))), public_tokenizers.path("word_bpe_49k.json")
+    )
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 @query
 def op13_importance(spark, folder):
     return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
