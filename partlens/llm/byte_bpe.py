@@ -188,16 +188,15 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """
     import pyarrow as pa
 
-    model_json = df.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(ranks_path)))
+    ranks = read_ranks(ranks_path)
+    by_id = [b""] * (max(ranks.values()) + 2)  # the last stands for unknown ids
+    for token, i in ranks.items():
+        by_id[i] = token
+    known = df.sparkSession.sparkContext.broadcast(by_id)
 
     def task():
-        from tokenizers import Tokenizer
-
-        byte_of = {c: b for b, c in enumerate(byte_chars())}
-        vocabulary = Tokenizer.from_str(model_json.value).get_vocab()
-        table = np.full(max(vocabulary.values()) + 2, b"", object)  # the last stands for unknown ids
-        for token, i in vocabulary.items():
-            table[i] = bytes(byte_of[c] for c in token)
+        table = np.empty(len(known.value), object)
+        table[:] = known.value
 
         def compute(lists):
             offsets = lists.offsets.to_numpy()

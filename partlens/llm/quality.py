@@ -18,31 +18,49 @@ from partlens.llm.common import BROADCAST_KEYS, stored
 
 #: Marks before and after a text; a character of that code in a text counts as the mark.
 START, END = 2, 3
-#: Text per block.
-BLOCK_BYTES = 4_000_000
+#: Text per block, and characters that are counted at once.
+BLOCK_BYTES, PIECE = 4_000_000, 500_000
+#: Up to so many possible trigrams of the characters in use are counted by position, beyond that by sorting.
+BY_PLACE = 1 << 22
 #: Share of a language's trusted documents at or under its threshold, and the factor put on that perplexity.
 QUANTILE = 0.99
 MARGIN = 1.5
 
 
-def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct trigrams, then per text: offsets, places of its distinct trigrams, their counts)."""
-    sizes = np.array([len(t) + 3 for t in texts], np.int64)
-    framed = "".join([f"\x02\x02{t}\x03" for t in texts])
-    code = np.frombuffer(framed.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
+def _pieces(texts: list[str]):
+    """Runs of (text number, part of the framed text) of about ``PIECE`` characters.
+
+    Parts of a longer text overlap by two characters, so each of its trigrams begins in one part.
+    """
+    run, size = [], 0
+    for i, text in enumerate(texts):
+        framed = f"\x02\x02{text}\x03"
+        for begin in range(0, len(framed) - 2, PIECE):
+            run.append((i, framed[begin : begin + PIECE + 2]))
+            size += len(run[-1][1])
+            if size >= PIECE:
+                yield run
+                run, size = [], 0
+    if run:
+        yield run
+
+
+def _counted(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct trigrams, then per part: number, places and counts of its distinct trigrams)."""
+    sizes = np.array([len(part) for part in parts], np.int64)
+    code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     # Dense numbers for the few characters in use keep trigrams countable by position.
-    used = np.flatnonzero(np.bincount(code, minlength=4))
+    used = np.flatnonzero(np.bincount(code))
     dense = np.zeros(used[-1] + 1, np.int64)
     dense[used] = np.arange(len(used))
     d, k = dense[code], len(used)
     gram = d[:-2] * (k * k) + d[1:-1] * k + d[2:]
+    ends = np.cumsum(sizes)
     inside = np.ones(len(code), bool)
-    inside[offsets[1:] - 1] = False
-    inside[offsets[1:] - 2] = False
+    inside[ends - 1] = inside[ends - 2] = False
     gram = gram[inside[: len(gram)]]
-    if k**3 <= 1 << 24:
-        present = np.flatnonzero(np.bincount(gram, minlength=1))
+    if k**3 <= BY_PLACE:
+        present = np.flatnonzero(np.bincount(gram))
         place = np.zeros(present[-1] + 1, np.int32)
         place[present] = np.arange(len(present))
         at = place[gram]
@@ -50,15 +68,39 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         present, at = np.unique(gram, return_inverse=True)
     at = at.astype(np.uint16 if len(present) <= 1 << 16 else np.int32)
     bounds = np.concatenate([[0], np.cumsum(sizes - 2)])
-    places, counts = [], []
+    held, places, counts = [], [], []
     for a, b in zip(bounds[:-1], bounds[1:]):
         own = np.sort(at[a:b], kind="stable")
         edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        held.append(len(edge))
         places.append(own[edge])
         counts.append(np.diff(np.append(edge, len(own))))
     grams = (used[present // (k * k)] << 42) | (used[present // k % k] << 21) | used[present % k]
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in places])])
-    return grams, ends, np.concatenate(places).astype(np.int32), np.concatenate(counts).astype(np.int32)
+    return grams, np.array(held), np.concatenate(places).astype(np.int32), np.concatenate(counts).astype(np.int32)
+
+
+def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct trigrams, then per text: offsets, places of its distinct trigrams, their counts).
+
+    Counting goes piece by piece, so memory follows the distinct trigrams of the texts and not their characters.
+    """
+    owners, found = [], []
+    for run in _pieces(texts):
+        owners.append(np.array([i for i, _ in run]))
+        found.append(_counted([part for _, part in run]))
+    grams = np.unique(np.concatenate([g for g, _, _, _ in found]))
+    places = np.concatenate([np.searchsorted(grams, g)[p].astype(np.int32) for g, _, p, _ in found])
+    counts = np.concatenate([c for _, _, _, c in found])
+    owner = np.repeat(np.concatenate(owners), np.concatenate([held for _, held, _, _ in found]))
+    if any(len(text) + 1 > PIECE for text in texts):
+        # Parts of one text may share trigrams: put each text's in order and add up equal ones.
+        order = np.lexsort((places, owner))
+        owner, places, counts = owner[order], places[order], counts[order]
+        first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (places[1:] != places[:-1])])
+        counts = np.add.reduceat(counts, np.flatnonzero(first)).astype(np.int32)
+        owner, places = owner[first], places[first]
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return grams, ends, places, counts
 
 
 def _steps(ends: np.ndarray, places: np.ndarray) -> np.ndarray:

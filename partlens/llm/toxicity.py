@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from partlens.llm.common import stored
 from partlens.llm.shingles import slices, tokens
 
 #: The kernel: characters per subsequence, the weight per character spanned, and the power that sharpens it.
@@ -42,7 +43,7 @@ WHOLE, STEM = 12, 5
 ROUNDS, COST = 3, 1000.0
 #: What a missed witness weighs against a clean string taken for toxic: a document has many strings and few witnesses.
 MISSED = 4.0
-#: Strings whose decision a task remembers; the table starts anew when full.
+#: Strings whose decision a worker remembers; the table starts anew when full.
 REMEMBERED = 300_000
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
@@ -139,6 +140,10 @@ def _self_kernels(strings: list[str]) -> np.ndarray:
     return (equal * before).sum((1, 2)).astype(float)
 
 
+#: What a machine consists of.
+FIELDS = ("landmarks", "whiten", "weights", "bias", "slope", "offset")
+
+
 class Machine:
     """Landmarks, their whitening, the weights of the linear machine and the logistic curve."""
 
@@ -149,6 +154,17 @@ class Machine:
         self.weights, self.bias = np.zeros(len(landmarks)), -1.0
         self.slope, self.offset = 4.0, 0.0
 
+    def plain(self) -> dict:
+        """The machine as lists, arrays and numbers."""
+        return {name: getattr(self, name) for name in FIELDS}
+
+    @classmethod
+    def of_plain(cls, fields: dict) -> "Machine":
+        machine = cls.__new__(cls)
+        for name in FIELDS:
+            setattr(machine, name, fields[name])
+        return machine
+
     def features(self, strings: list[str]) -> np.ndarray:
         return kernels(strings, self.landmarks) @ self.whiten
 
@@ -298,10 +314,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn) -> tuple[list[str
         F.max("toxic").alias("toxic")
     )
     short = docs.where(learn & (F.char_length("text") <= SAMPLE_CHARS))
+    # Texts that are too long leave before the ids are limited, so they do not shrink the sample.
+    able = stored(short.select("doc_id").distinct().join(known.where(learn), "doc_id"), "labelled")
     parts = []
     for label in (1, 0):
-        # The list of ids is a few times the sample, so the join is to a bounded table.
-        ids = known.where(learn & (F.col("toxic") == label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE)
+        ids = able.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         rows = short.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE)
         parts += [(row["text"], label) for row in rows.select("text").collect()]
     return [t for t, _ in parts], [l for _, l in parts]
@@ -318,7 +335,9 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     held = F.coalesce(held_out if held_out is not None else F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     machine = fit(*training_sample(rows, labels.select("doc_id", "toxic"), ~held))
-    sent = rows.sparkSession.sparkContext.broadcast(machine)
+    # Plain arrays travel, so executors need no copy of the classes. Decisions that a worker has made stay with its
+    # copy for its later tasks.
+    sent = rows.sparkSession.sparkContext.broadcast({**machine.plain(), "seen": {}})
     schema = T.StructType([
         rows.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()),
         T.StructField("predicted", T.IntegerType()), T.StructField("worst_word", T.StringType()),
@@ -327,8 +346,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     def run(batches):
         import pyarrow as pa
 
-        model = sent.value
-        seen: dict[str, float] = {}
+        model, seen = Machine.of_plain(sent.value), sent.value["seen"]
 
         def decisions(strings: list[str]) -> None:
             new = sorted({s for s in strings if s not in seen})
