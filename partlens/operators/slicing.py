@@ -4,39 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from partlens.operators.pages import store_pages
 from partlens.session import scratch_path
 
-# monotonically_increasing_id keeps the row's place inside its partition in the low 33 bits.
-PLACE_BITS = 33
-
 
 def positional_slice(df: DataFrame, start: int, end: int, order: Sequence[str]) -> DataFrame:
     """The slice in order, or everything when ``start < 0`` or ``start > end``.
 
-    ``order`` must be a total order. Near or far, rows are numbered in place of
-    being gathered: they are range-partitioned and sorted once into a scratch
-    table, partition sizes (one row each) give the offsets, and only the asked
-    positions are kept.
+    ``order`` must be a total order. The order is stored for this one slice; where several pages of one order are
+    wanted, keep the ``store_pages`` result and ask it for each.
     """
     if start < 0 or start > end:
         return df
-    spark = df.sparkSession
-    path = scratch_path(spark, "slice")
-    (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_piece", F.shiftright("_mid", PLACE_BITS))
-        .write.parquet(path)
-    )
-    placed = spark.read.parquet(path)
-    sizes = placed.groupBy("_piece").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    place = F.col("_before") + F.col("_mid").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    # Broadcast bound: one row of two longs per partition of the scratch table.
-    asked = placed.join(F.broadcast(offsets), "_piece").where(place.between(start, end))
-    return asked.orderBy(place).select(*df.columns)
+    return store_pages(df, order, scratch_path(df.sparkSession, "slice")).page(start, end)

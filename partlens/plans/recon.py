@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from partlens.functions import classify
 from partlens.functions.dates import parse_date
 from partlens.operators.align import align_sides, provenance
+from partlens.operators.lookups import join_lookups
 
 MATCH_KEY = ("date", "mpn", "man", "module")
 REPORT_COLUMNS = ("part_number", "module_name", "status", "auto_import_status", "category", "date")
@@ -34,12 +35,42 @@ def _feed(feed: DataFrame) -> DataFrame:
     return feed.withColumn("date", parse_date(F.col("check_date"))).where(F.col("date").isNotNull())
 
 
+def file_days(details: DataFrame) -> DataFrame:
+    """The day of every details file, as (file, date): all its rows are of one delivery, whatever their own dates say.
+
+    Of rows with a priority each part counts once, found before not found, then by its place in the file. The first of
+    them by part, maker and module (NULL last) that has a readable date gives the day; a file without any takes the
+    day of its name. Both steps combine on the map side, and the second has one row per part.
+    """
+    code = F.when(F.lower(F.col("status")) == "found", 0).otherwise(1)
+    key = ["mpn", "man", "module"]
+    first = F.min(F.struct(code.alias("code"), "file_place", parse_date(F.col("sys_date")).alias("day"))).alias("first")
+    parts = details.where(F.col("priority").isNotNull()).groupBy("file", *key).agg(
+        first, F.min("file_date").alias("file_date")
+    )
+    order = F.struct(*[c for name in key for c in (F.col(name).isNull(), F.col(name))])
+    return parts.groupBy("file").agg(
+        F.coalesce(F.min_by("first.day", F.when(F.col("first.day").isNotNull(), order)), F.min("file_date")).alias("date")
+    )
+
+
+def dated_by_file(details: DataFrame) -> DataFrame:
+    """Details rows with the day of their file as ``date``."""
+    return join_lookups(details, [(file_days(details), ["file"])])
+
+
 def _details(details: DataFrame) -> DataFrame:
-    """Details with a priority and a date; the file's own date stands in for a missing one."""
-    day = parse_date(F.col("sys_date"))
-    if "file_date" in details.columns:
-        day = F.coalesce(day, F.col("file_date"))
-    return details.where(F.col("priority").isNotNull()).withColumn("date", day).where(F.col("date").isNotNull())
+    """Details with a priority and a date: that of their file where it is known, else their own.
+
+    Tables that were not read from files have no file; there the row's date counts, and ``file_date`` stands in for a
+    missing one.
+    """
+    if "date" not in details.columns:
+        day = parse_date(F.col("sys_date"))
+        if "file_date" in details.columns:
+            day = F.coalesce(day, F.col("file_date"))
+        details = details.withColumn("date", day)
+    return details.where(F.col("priority").isNotNull() & F.col("date").isNotNull())
 
 
 def match(found_feed: DataFrame, notfound_feed: DataFrame, details: DataFrame) -> DataFrame:

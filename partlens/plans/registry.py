@@ -206,3 +206,9 @@ def priority_summary(registry: DataFrame, as_of: date | datetime) -> DataFrame:
 def summary_timeline(history: DataFrame) -> DataFrame:
     """The summary history in date order."""
     return history.orderBy("summary_date")
+
+
+def timeline_export(history: DataFrame) -> DataFrame:
+    """The summary history as it is downloaded: dates in order, and the number of listed parts of each."""
+    total = sum((F.col(f"`{bucket}`") for bucket in PRIORITY_BUCKETS), F.lit(0))
+    return history.select(F.col("summary_date").alias("Date"), total.alias("Count")).orderBy("Date")

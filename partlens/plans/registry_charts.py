@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from partlens.functions.dates import days_before
 from partlens.functions.figures import percentage, sum_where, total
 from partlens.functions.text import label_list
+from partlens.operators.options import distinct_options
 
 # Fixed value: how a missing name, priority or status is shown.
 MISSING = "(none)"
@@ -163,21 +164,18 @@ def timeline_range(snapshot: DataFrame, as_of: date) -> DataFrame:
 
 def filter_options(snapshot: DataFrame) -> DataFrame:
     """Every value each filter can take, as ``(option, value)``."""
-    plain = {
+    makers = {
         "man_names": _shown("man_name"),
         "module_names": _shown("module_name"),
+        "run_flags": F.col("run_flag").cast("string"),
+    }
+    states = {
         "priorities": _shown("prty"),
         "statuses": _shown("status"),
-        "run_flags": F.col("run_flag").cast("string"),
         "lc_outdated": F.col("lc_outdated").cast("string"),
         "error_status": F.nullif(F.col("error_status"), F.lit("")),
     }
-    bars = F.array(*[F.struct(F.lit(name).alias("option"), c.alias("value")) for name, c in plain.items()])
-    labels = F.transform(
-        label_list(F.col("cs")), lambda x: F.struct(F.lit("cs_labels").alias("option"), x.alias("value"))
-    )
-    # Expanded in memory and made distinct on the map side: only the few values are shuffled.
-    return snapshot.select(F.inline(F.concat(bars, labels))).where(F.col("value").isNotNull()).distinct()
+    return distinct_options(snapshot, [makers, states, {"cs_labels": F.col("cs")}], {"cs_labels": label_list})
 
 
 def table(snapshot: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from partlens.functions.dates import days_before, in_period, is_done
 from partlens.functions.figures import distinct_with_null, percentage, sum_where, total
 from partlens.functions.text import or_dash, unquoted
 from partlens.operators.lookups import first_match
+from partlens.operators.options import distinct_options
 
 CUBE_KEYS = (
     "man", "module", "file_id", "status", "last_run_date", "table_name", "prty", "file_name", "is_expired",
@@ -257,13 +258,11 @@ def validation(stats: DataFrame) -> DataFrame:
 
 def filter_options(grouped: DataFrame) -> DataFrame:
     """Distinct values per filter as ``(option, value)``, NULL left out, plus the fixed run states."""
-    plain = {
-        "teams": "module", "status": "status", "files": "file_name",
-        "manufacturers": "man", "priorities": "prty", "table_name": "table_name",
-    }
-    bars = F.array(*[F.struct(F.lit(name).alias("option"), F.col(c).alias("value")) for name, c in plain.items()])
-    # Expanded in memory and made distinct on the map side: only the values are shuffled.
-    return grouped.select(F.inline(bars)).where(F.col("value").isNotNull()).distinct()
+    groups = [
+        {"files": "file_name"}, {"teams": "module", "manufacturers": "man"},
+        {"status": "status", "priorities": "prty", "table_name": "table_name"},
+    ]
+    return distinct_options(grouped, [{name: F.col(c) for name, c in group.items()} for group in groups])
 
 
 def run_states(spark) -> DataFrame:

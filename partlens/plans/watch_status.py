@@ -18,7 +18,6 @@ from partlens.operators.merge import update_where
 
 NOT_REGISTERED = "not SE part"
 FEATURE_KEY = ("man_id", "module_id", "part")
-LOOKUP_KEY = ("part", "new_man_id", "new_module_id")
 FEATURE_LOOKUP_KEY = ("part", "module")
 
 
@@ -56,7 +55,7 @@ def key_facts(registry: DataFrame, feed: DataFrame) -> DataFrame:
     Stands in for four correlated subqueries (never run, found later than not
     found, newest date, priority of the newest row) and for ranking the feed:
     both tables are combined on the map side and meet in one group-by, so the
-    parts are joined once on this key. A missing feed date counts as 1900.
+    parts are joined to what it gives. A missing feed date counts as 1900.
     """
     found = or_sentinel(F.col("lrd"), EPOCH_1900)
     missing = or_sentinel(F.col("v_notfound_dat"), EPOCH_1900)
@@ -87,10 +86,18 @@ def key_facts(registry: DataFrame, feed: DataFrame) -> DataFrame:
     )
 
 
-def registered_parts(registry: DataFrame) -> DataFrame:
-    """(part, man_id) pairs the registry knows, whatever the module."""
-    return registry.groupBy(F.col("pn").alias("part"), F.col("man_id").alias("new_man_id")).agg(
-        F.lit(True).alias("registered")
+def part_facts(registry: DataFrame, feed: DataFrame) -> DataFrame:
+    """Per (part, man_id): whether the registry knows it, and the facts of each of its modules as a map by module.
+
+    ``key_facts`` reads both tables once and combines them on the map side. What is grouped again is one row per key,
+    and a map holds at most the modules of one maker. So a part needs one join, for any of its module's pairs.
+    """
+    values = ["never_run", "found_later", "seen", "new_prty", "check_date", "feed_status"]
+    known = key_facts(registry, feed).where(F.col("part").isNotNull() & F.col("new_man_id").isNotNull())
+    entry = F.struct(F.col("new_module_id"), F.struct(*values))
+    return known.groupBy("part", "new_man_id").agg(
+        F.max(F.when(F.col("never_run").isNotNull(), True)).alias("registered"),
+        F.map_from_entries(F.collect_list(F.when(F.col("new_module_id").isNotNull(), entry))).alias("_modules"),
     )
 
 
@@ -103,33 +110,37 @@ def with_modules(parts: DataFrame, man_modules: DataFrame) -> DataFrame:
     return parts.join(dim, "module", "left")
 
 
-def chosen_pairs(man_modules: DataFrame, registry: DataFrame, feed: DataFrame) -> DataFrame:
-    """The pair that decides a part's status, per (part, module) whose name has several pairs.
-
-    The newest feed record decides, then the newest registry date, then whether the registry knows the part, then the
-    smallest pair. Parts that no table knows under any pair have no row.
-    """
+def several_pairs(man_modules: DataFrame) -> DataFrame:
+    """Every pair of the module names that have more than one, as (module, new_man_id, new_module_id)."""
     pairs = module_pairs(man_modules)
-    several = pairs.groupBy(F.col("module_name").alias("module")).agg(
+    return pairs.groupBy(F.col("module_name").alias("module")).agg(
         F.collect_list(F.struct("man_id", "module_id")).alias("pairs")
     ).where(F.size("pairs") > 1).select("module", F.explode("pairs").alias("p")).select(
         "module", F.col("p.man_id").alias("new_man_id"), F.col("p.module_id").alias("new_module_id")
     )
-    known = registered_parts(registry).join(several, "new_man_id")
-    facts = key_facts(registry, feed).join(several, ["new_man_id", "new_module_id"])
-    candidates = facts.select("part", "module", "new_man_id", "new_module_id", "check_date", "seen").unionByName(
-        known.select("part", "module", "new_man_id", "new_module_id", "registered"), allowMissingColumns=True
-    )
-    merged = candidates.groupBy("part", "module", "new_man_id", "new_module_id").agg(
-        F.max("check_date").alias("check_date"), F.max("seen").alias("seen"), F.bool_or("registered").alias("registered")
-    )
+
+
+def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows with the facts of their part under their pair of ids; every part and maker is one row of ``facts``."""
+    joined = join_lookups(rows, [(facts, ["part", "new_man_id"])])
+    return joined.withColumn("_facts", F.try_element_at("_modules", F.col("new_module_id"))).drop("_modules")
+
+
+def chosen_pairs(keys: DataFrame, several: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pair that decides, per (part, module) of ``keys`` whose name has several pairs, with its facts.
+
+    The newest feed record decides, then the newest registry date, then whether the registry knows the part, then the
+    smallest pair. Pairs are joined on the module, so a part meets the pairs of its own module only.
+    """
+    candidates = _with_facts(keys.join(several, "module"), facts)
     rank = F.struct(
-        or_sentinel(F.col("check_date"), EPOCH_1900).alias("checked"), "seen",
+        or_sentinel(F.col("_facts.check_date"), EPOCH_1900).alias("checked"), F.col("_facts.seen").alias("seen"),
         F.coalesce("registered", F.lit(False)).alias("registered"),
         (-F.col("new_man_id")).alias("man"), (-F.col("new_module_id")).alias("mod"),
     )
-    pair = F.struct(F.col("new_man_id").alias("man_id"), F.col("new_module_id").alias("module_id"))
-    return merged.groupBy("part", "module").agg(F.max_by(pair, rank).alias("_pair"))
+    found = ["new_man_id", "new_module_id", "registered", "_facts"]
+    best = candidates.groupBy("part", "module").agg(F.max_by(F.struct(*found), rank).alias("_best"))
+    return best.select("part", "module", "_best.*")
 
 
 def _looked_up(
@@ -141,18 +152,26 @@ def _looked_up(
 ) -> DataFrame:
     """Parts with every value the status rules read, one row per part.
 
-    Every lookup is unique on its key, so no join multiplies rows and the
-    newest feed record needs no window over the parts.
+    Every lookup is unique on its key, so no join multiplies rows and the newest feed record needs no window over the
+    parts. Parts of module names with several pairs, where the dimension has such names, are looked up under each pair
+    first; both ways read the same facts.
     """
-    lookups = [
-        (registered_parts(registry), ["part", "new_man_id"]),
-        (key_facts(registry, feed), LOOKUP_KEY),
-    ]
-    chosen = chosen_pairs(man_modules, registry, feed)
-    rows = join_lookups(with_modules(parts, man_modules), [(chosen, ["part", "module"])])
-    for name, field in (("new_man_id", "man_id"), ("new_module_id", "module_id")):
-        rows = rows.withColumn(name, F.when(F.col("_pair").isNotNull(), F.col(f"_pair.{field}")).otherwise(F.col(name)))
-    return join_lookups(rows.drop("_pair"), [*lookups, *more])
+    facts, several = part_facts(registry, feed), several_pairs(man_modules)
+    rows = with_modules(parts, man_modules)
+    if several.isEmpty():
+        looked = _with_facts(rows, facts)
+    else:
+        many = several.select("module").distinct()
+        one = _with_facts(rows.join(many, "module", "left_anti"), facts)
+        others = rows.join(many, "module", "left_semi")
+        chosen = chosen_pairs(others.select("part", "module").distinct(), several, facts)
+        ids = ["new_man_id", "new_module_id"]
+        found = chosen.withColumnsRenamed({name: f"_{name}" for name in ids})
+        joined = join_lookups(others, [(found, ["part", "module"])])
+        # A part without a name meets no key and keeps the smallest pair.
+        best = joined.withColumns({name: F.coalesce(f"_{name}", name) for name in ids})
+        looked = one.unionByName(best.drop(*[f"_{name}" for name in ids]))
+    return join_lookups(looked.select("*", "_facts.*").drop("_facts"), more)
 
 
 def _computed() -> dict[str, Column]:

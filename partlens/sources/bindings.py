@@ -223,7 +223,7 @@ def lifecycle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 # Event side: both feeds, part details, and the logs.
 
-_EVENT_KEY = (
+EVENT_KEY = (
     "CASE WHEN user_id % 50 != 0 THEN concat('U', user_id) END AS mpn",
     "concat('M', user_id % 5) AS man",
     "concat('X', user_id % 3) AS module",
@@ -234,7 +234,7 @@ def import_feed(spark: SparkSession, folder: str, event_type: str) -> DataFrame:
     """The found feed (``view``) or the not-found feed (``signup``)."""
     place = f"(floor(value) % {len(IMPORT_TEXTS) + 1})"
     return table(spark, folder, "events").where(f"event_type = '{event_type}'").selectExpr(
-        *_EVENT_KEY,
+        *EVENT_KEY,
         "CASE WHEN value >= 0.5D THEN date_format(ts, 'yyyy-MM-dd') END AS check_date",
         f"{_pick(IMPORT_TEXTS, place)} AS auto_imp_status",
     )
@@ -243,7 +243,7 @@ def import_feed(spark: SparkSession, folder: str, event_type: str) -> DataFrame:
 def part_details(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").where("event_type IN ('click', 'purchase', 'error')")
     return events.selectExpr(
-        *_EVENT_KEY,
+        *EVENT_KEY,
         "CASE WHEN value >= 1 THEN 'P1' END AS priority",
         "props AS online_link",
         f"{_pick(('Found', 'not found', 'FOUND'), '(event_id % 4)')} AS status",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from partlens.functions.text import day_of_name
 from partlens.schemas import (
     DIRECT_FEED, FEED_EXPORT, MATRIX, PART_DETAILS, PROCESS_LOG, WATCHLIST_LEADING, WATCHLIST_OPTIONAL,
 )
+from partlens.sources.quoted import parsed_records, quoted_records
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,36 +27,69 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def watchlist_columns(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
-    """Column names of one watch list: three leading ones, then the optional ones it has.
+def watchlist_catalog(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> DataFrame:
+    """What each watch list's first line says: file, file_name, header, columns, problem.
 
-    The leading three may have any name; a file with another number of them is rejected.
+    ``columns`` holds the three leading names and then the optional ones in the file's order. A list has exactly three
+    leading columns of any name before its optional ones; ``problem`` tells why a file is rejected and is NULL for an
+    accepted one. A file without any line has no row. First lines are found where the files are read, one row per task
+    and file goes to the group-by.
     """
-    header = spark.read.csv(path, sep="\t", header=True, encoding=encoding).columns
-    optional = [name for name in header if name in WATCHLIST_OPTIONAL]
-    leading = [name for name in header if name not in WATCHLIST_OPTIONAL]
-    if len(leading) != len(WATCHLIST_LEADING) or header[: len(leading)] != leading:
-        raise ValueError(f"{path}: a watch list starts with exactly three columns, got {header}")
-    return [*WATCHLIST_LEADING, *optional]
+    lines = spark.read.option("encoding", encoding).text(path if isinstance(path, str) else list(path)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value",
+    )
+    # Only first blocks can hold a first line; the text of the smallest place is kept on the map side.
+    first = lines.where("block = 0").groupBy("file", "file_name").agg(F.min_by("value", "line").alias("first"))
+    text = F.regexp_replace("first", "^\ufeff|\r$", "")
+    names = F.transform(F.split(text, "\t"), lambda n: F.regexp_replace(n, '^"(.*)"$', "$1"))
+    optional = F.array(*[F.lit(name) for name in WATCHLIST_OPTIONAL])
+    listed = first.select("file", "file_name", names.alias("header"))
+    known = F.transform("header", lambda n: F.array_contains(optional, n))
+    leading = F.coalesce(F.nullif(F.array_position(known, True), F.lit(0)), F.size("header") + 1) - 1
+    tail = F.slice("header", F.lit(len(WATCHLIST_LEADING) + 1), F.size("header"))
+    problem = (
+        F.when(leading < len(WATCHLIST_LEADING), "too few leading columns")
+        .when(leading > len(WATCHLIST_LEADING), "too many leading columns")
+        .when(F.exists(tail, lambda n: ~F.array_contains(optional, n)), "unknown column")
+        .when(F.size(F.array_distinct(tail)) < F.size(tail), "repeated column")
+    )
+    columns = F.concat(F.array(*[F.lit(name) for name in WATCHLIST_LEADING]), tail)
+    return listed.withColumn("problem", problem).select(
+        "file", "file_name", "header", F.when(F.col("problem").isNull(), columns).alias("columns"), "problem"
+    )
+
+
+def rejected_watchlists(catalog: DataFrame) -> DataFrame:
+    """How many files of a catalogue each problem rejects."""
+    return catalog.where(F.col("problem").isNotNull()).groupBy("problem").agg(F.count("*").alias("files"))
 
 
 def read_watchlists(
-    spark: SparkSession,
-    path: str | Sequence[str],
-    columns: Sequence[str] = (*WATCHLIST_LEADING, *WATCHLIST_OPTIONAL),
-    encoding: str = "UTF-8",
+    spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8", catalog: DataFrame | None = None
 ) -> DataFrame:
-    """Rows of watch lists with ``file_name``; optional columns a file lacks are NULL.
+    """Rows of all accepted watch lists with ``file_name``; optional columns a file lacks are NULL.
 
-    A folder may mix short and full files, as missing trailing fields are NULL.
-    For files with only some optional columns give ``columns`` from
-    ``watchlist_columns``.
+    Files are grouped by their header (``catalog``, by default that of ``path``): every layout is read with its own
+    schema, and the layouts are united by name. The driver holds the paths of the files, as the file listing of any
+    read does; the layouts are the few orders in which the optional columns occur.
     """
+    known = watchlist_catalog(spark, path, encoding) if catalog is None else catalog
+    layouts: dict[tuple, list[str]] = {}
+    for row in known.where(F.col("problem").isNull()).select("columns", "file").collect():
+        layouts.setdefault(tuple(row["columns"]), []).append(unquote(row["file"]))
+    parts = [_watchlist_rows(spark, sorted(files), names, encoding) for names, files in sorted(layouts.items())]
+    if not parts:
+        names = (*WATCHLIST_LEADING, "status", "cm_date", "table_name", "features", "monitor_features", "file_name")
+        return spark.createDataFrame([], ", ".join(f"{n} string" for n in names) + ", last_run_date date").select(
+            *names[:5], "last_run_date", *names[5:]
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _watchlist_rows(spark: SparkSession, files: list[str], columns: Sequence[str], encoding: str) -> DataFrame:
     schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-    rows = spark.read.csv(
-        path if isinstance(path, str) else list(path),
-        sep="\t", header=True, schema=schema, encoding=encoding, escape='"', mode="PERMISSIVE",
-    )
+    rows = spark.read.csv(files, sep="\t", header=True, schema=schema, encoding=encoding, escape='"', mode="PERMISSIVE")
 
     def optional(name: str):
         return F.col(f"`{name}`") if name in columns else F.lit(None).cast("string")
@@ -72,14 +108,14 @@ def read_watchlists(
 
 def read_all_text(
     spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t", encoding: str = "UTF-8",
-    header: bool = True,
+    header: bool = True, places: bool = False,
 ) -> DataFrame:
     """All-string rows; lines with too many fields are skipped, short ones padded with NULL.
 
     Lines whose field count is off arrive whole in ``_line``; their separators
     outside quotes tell short from long. Parsing stays per line, so files
     split freely. Columns are not pruned while parsing, as that would hide
-    surplus fields.
+    surplus fields. With ``places`` every row has its file's path as ``file`` and its place in it as ``file_place``.
     """
     rows = spark.read.option("columnPruning", "false").csv(
         path, sep=sep, header=header, encoding=encoding, escape='"', mode="PERMISSIVE", enforceSchema=True,
@@ -90,8 +126,11 @@ def read_all_text(
     separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit("")))
     # A short line always lacks its last field.
     short = F.col(schema.names[-1]).isNull() & (separators < len(schema.names))
+    # A block's first byte, then a number that grows inside the block.
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    placed = [F.col("_metadata.file_path").alias("file"), place.alias("file_place")] if places else []
     return rows.where(F.col("_line").isNull() | short).select(
-        *schema.names, F.col("_metadata.file_name").alias("file_name")
+        *schema.names, F.col("_metadata.file_name").alias("file_name"), *placed
     )
 
 
@@ -101,8 +140,8 @@ def read_feed(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
 
 
 def read_part_details(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Part details; ``file_date`` is the day in the file's own name."""
-    rows = read_all_text(spark, path, PART_DETAILS, encoding=encoding)
+    """Part details; ``file_date`` is the day in the file's own name, ``file`` and ``file_place`` tell where a row stood."""
+    rows = read_all_text(spark, path, PART_DETAILS, encoding=encoding, places=True)
     return rows.withColumn("file_date", day_of_name(F.col("file_name")))
 
 
@@ -119,15 +158,15 @@ def read_direct_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _process_records(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.csv(path, header=True, schema=PROCESS_LOG, escape='"', multiLine=True, mode="PERMISSIVE")
+    rows = parsed_records(quoted_records(spark, path), PROCESS_LOG).drop("file")
     return rows.withColumn("_time", parse_timestamp(F.col("timestamp")))
 
 
 def read_process_logs(spark: SparkSession, path: str) -> DataFrame:
     """All process logs of a folder as one table, with whole details: a quoted traceback may span lines.
 
-    A file is read by one task, as a quoted line end can't be told from a record's in the middle of a file.
-    Records whose time can't be read are in ``rejected_process_logs``.
+    One large file is read by many tasks (``quoted_records``). Records whose time can't be read are in
+    ``rejected_process_logs``.
     """
     rows = _process_records(spark, path).where(F.col("_time").isNotNull())
     return rows.withColumn("timestamp", F.col("_time")).drop("_time")

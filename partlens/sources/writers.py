@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partlens.functions.dates import moment
+from partlens.plans.activity import KEPT_ENTRIES, recent_entries
+from partlens.sources.versions import KEEP, VersionedTable
+
+#: Versions of the recent log entries kept for a batch that is done again.
+LOG_VERSIONS = 3
 
 
 def write_text(df: DataFrame, path: str, sep: str = ",") -> None:
@@ -40,23 +46,57 @@ def write_report(rows: DataFrame, path: str) -> None:
     _replace_partitions(rows.withColumn("report_date", F.col("date")), path, "report_date")
 
 
-def append_log(entries: DataFrame, path: str) -> None:
-    """Log entries added to the event table by day; views of the last entries read it back."""
-    by_day = entries.withColumn("day", F.to_date("timestamp"))
-    by_day.write.mode("append").partitionBy("day").parquet(path)
+def append_log(entries: DataFrame, path: str, batch: int, keep: int = KEPT_ENTRIES) -> None:
+    """Log entries added as batch ``batch``; doing a batch again replaces it in place of adding it twice.
+
+    ``<path>/entries`` has one folder per batch. ``<path>/recent`` has the newest ``keep`` entries as a version per
+    batch, made from the version before the batch and its own entries. Only where that version is gone, as for an old
+    batch done again, are the entries up to the batch read.
+    """
+    spark = entries.sparkSession
+    entries.write.mode("overwrite").parquet(f"{path}/entries/batch={batch}")
+    stored = spark.read.schema(entries.schema).parquet(f"{path}/entries/batch={batch}")
+    recent = VersionedTable(spark, f"{path}/recent")
+    before = [version for version in recent.versions() if int(version.key) < batch]
+    if before:
+        rows = recent.read(before[-1]).unionByName(stored)
+    else:
+        rows = read_log(spark, path, entries.schema, batch)
+    # Versions are ordered by the batch's number, whenever it was written.
+    recent.write(recent_entries(rows, keep), str(batch), datetime(1970, 1, 1) + timedelta(seconds=batch), LOG_VERSIONS)
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType, last_batch: int | None = None) -> DataFrame:
+    """All entries, or those of the batches up to ``last_batch``."""
+    batched = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    rows = spark.read.schema(batched).parquet(f"{path}/entries")
+    return (rows if last_batch is None else rows.where(F.col("batch") <= last_batch)).drop("batch")
+
+
+def read_recent_log(spark: SparkSession, path: str) -> DataFrame:
+    """The newest entries, as the last batch left them; the log itself is not read."""
+    return VersionedTable(spark, f"{path}/recent").read()
+
+
+def store_snapshot(df: DataFrame, path: str, taken_at: datetime, keep: int = KEEP) -> None:
+    """Registry snapshot of a day as a version; writing the day again replaces it, the newest ``keep`` days stay."""
+    stamped = df.withColumn("download_timestamp", moment(taken_at)).withColumn("download_date", F.lit(taken_at.date()))
+    VersionedTable(df.sparkSession, path).write(stamped, taken_at.date().isoformat(), taken_at, keep)
+
+
+def read_snapshot(spark: SparkSession, path: str, as_of: datetime) -> DataFrame:
+    """The newest snapshot, with ``stale`` set when it is a day old or older; opens the files of one day only."""
+    return VersionedTable(spark, path).read_newest(as_of)
 
 
-def write_parts(parts: DataFrame, path: str, version: date | datetime) -> None:
+def write_parts(parts: DataFrame, path: str, version: datetime) -> None:
     """A merged parts table as a new version, beside the one that was read."""
-    name = version.strftime("%Y%m%d%H%M%S")
-    parts.write.mode("overwrite").parquet(f"{path}/version={name}")
+    VersionedTable(parts.sparkSession, path).write(parts, version.isoformat(), version)
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of the parts table."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == F.lit(newest)).drop("version")
+    return VersionedTable(spark, path).read()
 
 
 def _replace_partitions(df: DataFrame, path: str, column: str) -> None:

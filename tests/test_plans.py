@@ -12,7 +12,10 @@ from partlens.operators.lookups import join_lookups
 from partlens.plans import registry, watch_status
 
 FOLDER = "/root/testdata/sf0.001"
-WRITES = {"summary_history", "snapshot_store", "recon_reports_between", "parts_versions"}
+WRITES = {
+    "summary_history", "snapshot_store", "recon_reports_between", "parts_versions", "snapshot_refreshed", "activity_appended",
+    "activity_appended_counts", "activity_stream_hours", "ingest_mixed_watchlists", "watchlist_problems", "summary_export",
+}
 
 
 def plan_of(df):

@@ -2,12 +2,9 @@
 
 from datetime import date, datetime
 
-import pytest
 from pyspark.sql import functions as F
 
-from partlens import schemas
 from partlens.plans import feed_calendar
-from partlens.plans.activity import recent_entries
 from partlens.session import scratch_path, shared_folder
 from partlens.sources import readers, writers
 
@@ -29,20 +26,41 @@ def test_watchlists_of_mixed_length(spark, tmp_path):
     assert rows["http://b"]["module"] is None
 
 
-def test_watchlist_columns(spark, tmp_path):
-    some = put(tmp_path, "some.txt", "a\tb\tc\tFeatures\nP\tm\tx\tf|\n")
-    columns = readers.watchlist_columns(spark, some)
-    assert columns == ["part", "man", "module", "Features"]
-    row = readers.read_watchlists(spark, some, columns).first()
-    assert row["features"] == "f|" and row["status"] is None
-    for name, header in {"two": "a\tb", "four": "a\tb\tc\td", "mixed": "a\tSTATUS\tb\tc"}.items():
-        with pytest.raises(ValueError):
-            readers.watchlist_columns(spark, put(tmp_path, name, header + "\n"))
+def test_watchlists_of_mixed_headers(spark, tmp_path):
+    put(tmp_path, "some list.txt", "a\tb\tc\tFeatures\r\nP\tm\tx\tf|\r\n")
+    put(tmp_path, "turned.txt", "a\tb\tc\tmonitor features\tSTATUS\nQ\tm\tx\tall\tfound\nshort\tm\n")
+    put(tmp_path, "quoted.txt", '"a"\t"b"\t"c"\t"STATUS"\nR\tm\tx\tgone\n')
+    put(tmp_path, "no_rows.txt", "a\tb\tc")
+    put(tmp_path, "nothing.txt", "")
+    bad = {
+        "two.txt": ("a\tb", "too few leading columns"), "four.txt": ("a\tb\tc\td", "too many leading columns"),
+        "mixed.txt": ("a\tSTATUS\tb\tc", "too few leading columns"),
+        "other.txt": ("a\tb\tc\tSTATUS\tnote", "unknown column"),
+        "twice.txt": ("a\tb\tc\tSTATUS\tSTATUS", "repeated column"),
+    }
+    for name, (header, _) in bad.items():
+        put(tmp_path, name, header + "\nx\ty\n")
+    rows = {r["part"]: r for r in readers.read_watchlists(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"P", "Q", "R", "short"}
+    assert (rows["P"]["features"], rows["P"]["status"], rows["P"]["file_name"]) == ("f|", None, "some%20list.txt")
+    assert (rows["Q"]["status"], rows["Q"]["monitor_features"], rows["R"]["status"]) == ("found", "all", "gone")
+    assert rows["short"]["module"] is None and rows["short"]["status"] is None
+    catalog = readers.watchlist_catalog(spark, str(tmp_path))
+    problems = {r["file_name"]: r["problem"] for r in catalog.where("problem IS NOT NULL").collect()}
+    assert problems == {name: problem for name, (_, problem) in bad.items()}
+    counted = {r["problem"]: r["files"] for r in readers.rejected_watchlists(catalog).collect()}
+    assert counted["too few leading columns"] == 2 and sum(counted.values()) == len(bad)
+
+
+def test_no_watchlist_at_all(spark, tmp_path):
+    put(tmp_path, "two.txt", "a\tb\nx\ty\n")
+    rows = readers.read_watchlists(spark, str(tmp_path))
+    assert rows.count() == 0 and rows.columns[:4] == ["part", "man", "module", "status"]
 
 
 def test_other_encoding(spark, tmp_path):
     path = put(tmp_path, "latin.txt", "a\tb\tc\nµA741\tm\tx\n", "latin-1")
-    rows = readers.read_watchlists(spark, path, schemas.WATCHLIST_LEADING, encoding="ISO-8859-1")
+    rows = readers.read_watchlists(spark, path, encoding="ISO-8859-1")
     assert rows.first()["part"] == "µA741"
 
 
@@ -133,13 +151,29 @@ def test_snapshots(spark, tmp_path):
 
 
 def test_log_entries_add_up(spark, tmp_path):
-    path = str(tmp_path / "log")
-    for hour in (1, 2):
-        entries = spark.createDataFrame([(datetime(2024, 1, hour, hour), "u", "LOGIN")],
-                                        "timestamp timestamp_ntz, username string, action string")
-        writers.append_log(entries.select("*", F.lit("").alias("details")), path)
-    kept = recent_entries(spark.read.parquet(path), 1).first()
-    assert kept["timestamp"] == datetime(2024, 1, 2, 2) and kept["day"] == date(2024, 1, 2)
+    path, schema = str(tmp_path / "log"), "timestamp timestamp_ntz, username string, action string, details string"
+
+    def batch(number, *hours):
+        rows = [(datetime(2024, 1, 1, hour), f"u{hour}", "LOGIN", "") for hour in hours]
+        writers.append_log(spark.createDataFrame(rows, schema), path, number, keep=3)
+
+    def recent():
+        return [r["username"] for r in writers.read_recent_log(spark, path).orderBy("timestamp").collect()]
+
+    batch(0, 1, 2)
+    assert recent() == ["u1", "u2"]
+    batch(1, 9, 4, 5)
+    assert recent() == ["u4", "u5", "u9"]
+    batch(1, 9, 4, 5)
+    assert recent() == ["u4", "u5", "u9"]
+    for number in range(2, 8):
+        batch(number, 10 + number)
+    batch(7, 17)
+    assert recent() == ["u15", "u16", "u17"]
+    schema = writers.read_recent_log(spark, path).schema
+    assert writers.read_log(spark, path, schema).count() == 11
+    batch(0, 1, 2)  # its version is long gone: made from the entries up to it, and older than all others
+    assert recent() == ["u15", "u16", "u17"] and writers.read_log(spark, path, schema).count() == 11
 
 
 def test_parts_versions(spark, tmp_path):

@@ -23,6 +23,7 @@ def big(expression: str) -> str:
     return f"CAST(COALESCE({expression}, 0) AS BIGINT)"
 
 
+# The priority buckets, and one status text per branch of the classes.
 BUCKETS = [
     "NDF<14", "NotF<90", "P6", "P8", "NDF<7", "P5", "P2", "NDF<60", "NotF<60", "P1", "P3",
     "NotF<7", "P10", "NDF<30", "updated", "P7", "NotF<30", "NDF<90", "NotF<14",
@@ -560,6 +561,17 @@ ORACLE["watch_slice_page"] = f"""{RESULTS} SELECT id, part, module, status FROM
   QUALIFY row_number() OVER (ORDER BY id) BETWEEN 26 AND 125"""
 ORACLE["watch_slice_far"] = f"""{RESULTS} SELECT id, part, module, status FROM results
   QUALIFY row_number() OVER (ORDER BY module, id) BETWEEN 501 AND 7000"""
+ORACLE["watch_slice_pages"] = f"""{RESULTS} SELECT id, part, module, status,
+  CASE WHEN n <= 100 THEN 'first' ELSE 'middle' END AS page FROM (
+    SELECT *, row_number() OVER (ORDER BY module, id) AS n FROM results)
+  WHERE n <= 100 OR n BETWEEN 701 AND 1200"""
+ORACLE["watch_download_filtered"] = ORACLE["watch_filter_rows"]
+ORACLE["registry_download_filtered"] = f"""SELECT man_name, module_name, prty, status, lr_date, "count" FROM (
+  {ORACLE["registry_filter_word_label"]})"""
+ORACLE["summary_export"] = "SELECT summary_date AS date, " + " + ".join(f'"{bucket}"' for bucket in BUCKETS) + f""" AS n
+  FROM ({ORACLE["summary_history"]})"""
+ORACLE["run_export_copies"] = f"""{RESULTS} SELECT id, part, man, nullif(status, '') AS status, file_name,
+  last_run_date, '2001-06-01__06_05_04' AS run_at, place FROM results, (VALUES ('own'), ('shared')) AS v(place)"""
 ORACLE["direct_feed_flag"] = f"""{RESULTS} SELECT id, man, module, CASE WHEN {FED} THEN 1 ELSE 0 END AS direct_feed
   FROM results"""
 
@@ -572,7 +584,8 @@ ORACLE["classify_watch"] = f"""WITH {PARTS}, {CHECKED} SELECT id, {watch_class('
 ORACLE["classify_simple"] = f"""WITH {PARTS}, {CHECKED} SELECT id, COALESCE({simple_class('status')}, '-') AS "class"
   FROM checked"""
 ORACLE["classify_documents"] = f"""SELECT doc_id, {watch_class('text')} AS watch,
-  COALESCE(contains(text, '403') OR contains(text, 'Error'), false) AS flagged FROM documents"""
+  md5(COALESCE({simple_class('text')}, '-')) AS simple, COALESCE({simple_class('text')} <> text, false) AS flagged
+  FROM documents"""
 ORACLE["classify_running"] = f"""WITH {REG}, {DIMS} SELECT {run_state('run_flag')} AS running_status, count(*) AS n
   FROM reg JOIN dims USING (man_id, mod_id) GROUP BY 1"""
 ORACLE["classify_registry_dates"] = f"""WITH {REG}, s AS (SELECT CASE WHEN v_notfound_dat2 > lrd2 THEN 'not found'
@@ -664,6 +677,21 @@ ORACLE["recon_pivot"] = f"""{COUNTS} SELECT date,
   {big("max(not_received_count) FILTER (WHERE \"table\" = 'notfound')")} AS not_received_not_found
   FROM reported GROUP BY date"""
 
+# One file a day: its day is the first date of its parts in order, where a third of the users give none and others
+# give the day after.
+FILE_DAYS = """file_days AS (SELECT day, first(sys_date ORDER BY no_mpn, mpn, man, module) AS date FROM (
+    SELECT DISTINCT CAST(ts AS DATE) AS day, user_id % 50 = 0 AS no_mpn, 'U' || CAST(user_id AS VARCHAR) AS mpn,
+      'M' || CAST(user_id % 5 AS VARCHAR) AS man, 'X' || CAST(user_id % 3 AS VARCHAR) AS module,
+      CASE WHEN user_id % 7 = 0 THEN CAST(ts AS DATE) + 1 ELSE CAST(ts AS DATE) END AS sys_date
+    FROM events WHERE event_type IN ('click', 'purchase', 'error') AND value >= 1 AND user_id % 3 <> 0) GROUP BY day)"""
+ORACLE["recon_file_days"] = ORACLE["recon_counts"].replace("WITH ff AS", f"WITH {FILE_DAYS}, ff AS", 1).replace(
+    """CAST(ts AS DATE) AS date,
+      (['Found', 'not found', 'FOUND'])[CAST(event_id % 4 AS INTEGER) + 1] AS status
+    FROM events WHERE""",
+    """file_days.date AS date, CASE WHEN event_id % 4 IN (0, 2) THEN 'Found' ELSE 'no' END AS status
+    FROM events JOIN file_days ON CAST(ts AS DATE) = file_days.day WHERE""",
+)
+
 # Calendar and retention ----------------------------------------------------
 
 DAY = "CAST(o_orderdate AS DATE)"
@@ -691,6 +719,9 @@ ORACLE["snapshot_store"] = f"""{SNAP} SELECT man_name, module_name, prty, status
 ORACLE["snapshot_store"] = f"""{SNAP.replace('prty, cs, lc_outdated, lrd2', 'prty, NULL AS cs, lc_outdated, lrd2')}
   SELECT man_name, module_name, prty, status, lr_date, "count", DATE '2001-06-02' AS download_date, false AS stale
   FROM snap"""
+ORACLE["snapshot_refreshed"] = f"""{ORACLE["registry_table"].replace(" FROM snap GROUP BY", ", step, built FROM snap, "
+  "(VALUES (1, 1), (2, 1), (3, 3), (4, 3)) AS v(step, built) GROUP BY")}, step, built"""
+ORACLE["snapshot_refreshed"] = f"SELECT *, step = 4 AS stale FROM ({ORACLE['snapshot_refreshed']})"
 SLOT = "strftime(ts, '%d-%b-%Y_%I_%p')"
 ORACLE["report_slots"] = f"""SELECT DISTINCT {SLOT} AS slot, CAST(ts AS DATE) AS report_date,
   CAST(hour(ts) AS INTEGER) AS report_hour FROM events WHERE event_type NOT IN ('view', 'error')"""
@@ -708,6 +739,21 @@ ORACLE["cascade_delete"] = """SELECT 'file' AS kind, c_custkey AS id FROM custom
 ORACLE["ingest_watchlists"] = f"""WITH {PARTS} SELECT part, man, module, CAST(NULL AS VARCHAR) AS status,
   CAST(NULL AS VARCHAR) AS cm_date, CAST(NULL AS DATE) AS last_run_date, CAST(NULL AS VARCHAR) AS table_name,
   CAST(NULL AS VARCHAR) AS features, CAST(NULL AS VARCHAR) AS monitor_features FROM parts"""
+# Layout of a part by its id; the columns that the layout has.
+MIXED = {
+    "status": (1, 2, 4), "cm_date": (2, 3), "last_run_date": (1, 2), "table_name": (2, 4), "features": (2, 3),
+    "monitor_features": (2, 4),
+}
+ORACLE["ingest_mixed_watchlists"] = f"""WITH {PARTS} SELECT part, man, module, {", ".join(
+    f"CASE WHEN id % 8 IN {layouts} THEN {name} END AS {name}" for name, layouts in MIXED.items()
+)} FROM parts WHERE id % 8 < 5"""
+ORACLE["watchlist_problems"] = """SELECT * FROM (VALUES ('part,man', 'too few leading columns', 5),
+  ('part,man,module,STATUS,NOTE', 'unknown column', 6), ('part,man,module,NOTE,STATUS', 'too many leading columns', 7))
+  AS v(header, problem, layout) SEMI JOIN (SELECT o_orderkey % 8 AS layout FROM orders) USING (layout)"""
+ORACLE["watchlist_problems"] = f"SELECT header, problem FROM ({ORACLE['watchlist_problems']})"
+ORACLE["folder_files"] = """SELECT DISTINCT 'segment=' || c_mktsegment || '.txt' AS file_name FROM customer
+  WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING')"""
+ORACLE["dimension_files"] = ORACLE["watch_module_stats"]
 ORACLE["feed_surplus_fields"] = f"""SELECT {EVENT_KEY}, CASE WHEN value >= 0.5 THEN strftime(ts, '%Y-%m-%d') END
   AS check_date, {IMPORT_TEXT} AS auto_imp_status FROM events
   WHERE event_type = 'view' AND {IMPORT_TEXT} IS DISTINCT FROM 'Done'"""
@@ -730,6 +776,9 @@ ORACLE["activity_active_users"] = f"""WITH {ACTIVITY} SELECT date_trunc('hour',
 RECENT = """SELECT * FROM log ORDER BY "timestamp" DESC, username, action, details"""
 ORACLE["activity_recent"] = f"WITH {ACTIVITY} {RECENT} LIMIT 50"
 ORACLE["activity_kept"] = f"WITH {ACTIVITY} {RECENT} LIMIT 1000"
+ORACLE["activity_appended"] = ORACLE["activity_kept"]
+ORACLE["activity_appended_counts"] = f"WITH {ACTIVITY} SELECT action, count(*) AS n FROM log GROUP BY action"
+ORACLE["activity_stream_hours"] = ORACLE["activity_active_users"]
 PROCESS = """plog AS (SELECT ts, 'proc_' || CAST(user_id % 12 AS VARCHAR) AS parent_process,
   'job' || CAST(user_id % 3 AS VARCHAR) AS subject, event_type, value FROM events)"""
 RUNS = f"""WITH {PROCESS}, marks AS (SELECT *, lead(ts) OVER w AS next_ts, lead(event_type) OVER w AS next_type FROM plog
@@ -753,3 +802,8 @@ ORACLE["process_log_files"] = ORACLE["process_messages"]
 ORACLE["process_step_seconds"] = f"""WITH {PROCESS}, t AS (SELECT parent_process, CAST(value AS DECIMAL(18, 2)) AS s
   FROM plog WHERE event_type = 'signup') SELECT parent_process, count(*) AS timed_steps,
   CAST(sum(s) AS DECIMAL(28, 2)) AS total_seconds, max(s) AS longest_seconds FROM t GROUP BY parent_process"""
+TRACE = """'Traceback "x",' || chr(10) || '  File ' || props || chr(13) || chr(10) || chr(10) || '"boom"'"""
+ORACLE["process_log_details"] = f"""WITH t AS (SELECT 'proc_' || CAST(user_id % 12 AS VARCHAR) AS parent_process,
+  COALESCE(CASE WHEN event_id % 3 = 0 THEN {TRACE} ELSE props END, '') AS details FROM events)
+  SELECT parent_process, count(*) AS records, CAST(sum(length(details)) AS BIGINT) AS characters,
+  count(*) FILTER (WHERE details LIKE '%' || chr(10) || chr(10) || '"boom"') AS whole FROM t GROUP BY parent_process"""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partlens.functions import classify
 from partlens.functions.dates import is_done, is_expired, parse_date, slot_label, versioned_name
@@ -15,6 +17,7 @@ from partlens.operators.filters import (
     RegistryFilter, WatchFilter, filter_grouped, filter_registry, filter_rows,
 )
 from partlens.operators.merge import merge_update
+from partlens.operators.pages import store_pages
 from partlens.operators.slicing import positional_slice
 from partlens.plans import (
     activity, feed_calendar, ingest, recon, registry, registry_charts, watch_stats, watch_status,
@@ -22,6 +25,8 @@ from partlens.plans import (
 from partlens.session import scratch_path
 from partlens.sources import bindings as b
 from partlens.sources import readers, writers
+from partlens.sources.versions import VersionedTable
+from partlens.streaming.activity_windows import start_hourly_activity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -430,6 +435,56 @@ def watch_slice_far(spark, folder):
     return positional_slice(rows, 500, 6999, ["module", "id"])
 
 
+@query
+def watch_slice_pages(spark, folder):
+    """Three pages of one stored order."""
+    rows = result_rows(spark, folder).select("id", "part", "module", "status")
+    pages = store_pages(rows, ["module", "id"], scratch_path(spark, "pages"))
+    asked = {"first": (0, 99), "middle": (700, 1199), "behind": (10**12, 10**12 + 9)}
+    return reduce(DataFrame.unionByName, [
+        pages.page(*span).withColumn("page", F.lit(name)) for name, span in asked.items()
+    ])
+
+
+@query
+def watch_download_filtered(spark, folder):
+    """The filtered rows as a download, read back as a client would."""
+    path, rows = scratch_path(spark, "download"), watch_filter_rows(spark, folder)
+    writers.write_text(rows, path)
+    return spark.read.csv(path, header=True, schema=rows.schema, escape='"')
+
+
+@query
+def registry_download_filtered(spark, folder):
+    """The filtered registry rows as a download with upper-case names, read back."""
+    path = scratch_path(spark, "download")
+    rows = filter_registry(snapshot(spark, folder), REQUEST, "word").select("man_name", "module_name", "prty", "status", "lr_date", "count")
+    writers.write_text(registry.upper_names(rows), path)
+    return spark.read.csv(path, header=True, schema=rows.schema, escape='"')
+
+
+@query
+def summary_export(spark, folder):
+    """The summary history as a download of dates and counts, read back."""
+    path = scratch_path(spark, "history")
+    writers.write_text(registry.timeline_export(summary_history(spark, folder)), path)
+    return spark.read.csv(path, header=True, schema="Date date, Count long").withColumnsRenamed({"Date": "date", "Count": "n"})
+
+
+@query
+def run_export_copies(spark, folder):
+    """Results of a run written under its time in two places, and both read back; a file has no empty text but NULL."""
+    path = scratch_path(spark, "exports")
+    rows = result_rows(spark, folder).select("id", "part", "man", "status", "file_name", "last_run_date")
+    run_at = datetime(2001, 6, 1, 6, 5, 4)
+    writers.write_run_export(rows, f"{path}/own", run_at, copy_to=f"{path}/shared")
+    schema = T.StructType([*rows.schema.fields, T.StructField("run_at", T.StringType())])
+    return reduce(DataFrame.unionByName, [
+        spark.read.csv(f"{path}/{place}", header=True, schema=schema, escape='"').withColumn("place", F.lit(place))
+        for place in ("own", "shared")
+    ])
+
+
 @query
 def direct_feed_flag(spark, folder):
     rows = result_rows(spark, folder).select("id", "man", "module")
@@ -459,12 +514,12 @@ def classify_simple(spark, folder):
 
 @query
 def classify_documents(spark, folder):
-    """The text rules over whole documents."""
-    rows = b.table(spark, folder, "documents")
-    return rows.select(
-        "doc_id", classify.watch_class(F.col("text")).alias("watch"), classify.simple_category(
-            F.when(F.col("text").contains("403") | F.col("text").contains("Error"), F.col("text"))
-        ).isNotNull().alias("flagged"),
+    """The text rules over whole documents; what is neither class stays the text, shown as its digest."""
+    text = F.col("text")
+    simple = classify.simple_class(text)
+    return b.table(spark, folder, "documents").select(
+        "doc_id", classify.watch_class(text).alias("watch"), F.md5(simple.cast("binary")).alias("simple"),
+        F.coalesce(classify.simple_category(text) != text, F.lit(False)).alias("flagged"),
     )
 
 
@@ -552,6 +607,25 @@ def recon_missed(spark, folder):
     return recon.missed_report(recon_rows(spark, folder))
 
 
+@query
+def recon_file_days(spark, folder):
+    """Details delivered as one file a day, with stray and empty dates, reconciled by the day of their file."""
+    path = scratch_path(spark, "details")
+    day, stray = F.col("ts").cast("date"), F.date_format(F.date_add(F.col("ts").cast("date"), 1), "dd-MMM-yyyy")
+    events = b.table(spark, folder, "events").where("event_type IN ('click', 'purchase', 'error')")
+    rows = events.selectExpr("*", *b.EVENT_KEY).select(
+        day.alias("day"), "mpn", "man", "module", F.expr("CASE WHEN value >= 1 THEN 'P1' END").alias("priority"),
+        F.col("props").alias("online_link"), F.expr("CASE WHEN event_id % 4 IN (0, 2) THEN 'Found' ELSE 'no' END").alias("status"),
+        F.lit(None).cast("string").alias("found_part"),
+        F.when(F.col("user_id") % 3 == 0, F.lit(None).cast("string")).when(F.col("user_id") % 7 == 0, stray)
+        .otherwise(F.date_format(day, "dd-MMM-yyyy")).alias("sys_date"),
+    )
+    rows.repartition("day").write.partitionBy("day").csv(path, sep="\t", header=True, escape='"')
+    details = recon.dated_by_file(readers.read_part_details(spark, f"{path}/*"))
+    found, notfound, _ = recon_inputs(spark, folder)
+    return recon.counts(recon.match(found, notfound, details))
+
+
 @query
 def recon_counts(spark, folder):
     return recon.counts(recon.match(*recon_inputs(spark, folder)))
@@ -638,11 +712,30 @@ def snapshot_store(spark, folder):
     path = scratch_path(spark, "snapshots")
     rows = snapshot(spark, folder, with_labels=False).drop("download_date")
     for taken in (datetime(2001, 6, 1, 5), datetime(2001, 6, 2, 5), datetime(2001, 6, 2, 7)):
-        writers.write_snapshot(rows, path, taken)
-    kept = feed_calendar.newest_snapshot(spark.read.parquet(path), datetime(2001, 6, 3, 6))
+        writers.store_snapshot(rows, path, taken)
+    kept = writers.read_snapshot(spark, path, datetime(2001, 6, 3, 6))
     return kept.select("man_name", "module_name", "prty", "status", "lr_date", "count", "download_date", "stale")
 
 
+@query
+def snapshot_refreshed(spark, folder):
+    """A stored table read while fresh, built anew once it is a day old, and read as it is where building fails."""
+    store = VersionedTable(spark, scratch_path(spark, "refreshed"))
+    rows = registry_charts.table(live(spark, folder))
+
+    def built(day: int):
+        return lambda: rows.withColumn("built", F.lit(day))
+
+    def fails():
+        raise RuntimeError("the source is away")
+
+    steps = [
+        store.read_fresh(datetime(2001, 6, 1, 5), built(1)), store.read_fresh(datetime(2001, 6, 2, 4, 59), built(2)),
+        store.read_fresh(datetime(2001, 6, 2, 5), built(3)), store.read_fresh(datetime(2001, 6, 4), fails),
+    ]
+    return reduce(DataFrame.unionByName, [step.withColumn("step", F.lit(i)) for i, step in enumerate(steps, 1)])
+
+
 @query
 def report_slots(spark, folder):
     return feed_calendar.report_slots(export_names(spark, folder))
@@ -700,6 +793,65 @@ def ingest_watchlists(spark, folder):
     return readers.read_watchlists(spark, path).drop("file_name")
 
 
+def mixed_watchlists(spark: SparkSession, folder: str) -> str:
+    """Watch lists in five layouts, and lists that are none; the last digit of a part decides its layout."""
+    path, rows = scratch_path(spark, "mixed"), b.parts(spark, folder)
+    leading = ["part", "man", "module"]
+    layouts = [
+        leading,
+        ["part AS PN", "man AS MAKER", "module AS MOD", "status AS STATUS", "cast(last_run_date as string) AS LAST_RUN_DATE"],
+        [*leading, "status AS STATUS", "cm_date AS CM_DATE", "date_format(last_run_date, 'dd-MMM-yyyy') AS LAST_RUN_DATE",
+         "table_name AS TABLE_NAME", "features AS Features", "monitor_features AS `monitor features`"],
+        [*leading, "features AS Features", "cm_date AS CM_DATE"],
+        [*leading, "monitor_features AS `monitor features`", "table_name AS TABLE_NAME", "status AS STATUS"],
+        ["part", "man"],
+        [*leading, "status AS STATUS", "cm_date AS NOTE"],
+        [*leading, "cm_date AS NOTE", "status AS STATUS"],
+    ]
+    for i, columns in enumerate(layouts):
+        kept = rows.where(F.col("id") % len(layouts) == i)
+        writers.write_text(kept.selectExpr(*columns), f"{path}/layout{i}", sep="\t")
+    return f"{path}/*"
+
+
+@query
+def ingest_mixed_watchlists(spark, folder):
+    return readers.read_watchlists(spark, mixed_watchlists(spark, folder)).drop("file_name")
+
+
+@query
+def watchlist_problems(spark, folder):
+    """The kinds of files that are no watch lists, with the first lines they have."""
+    catalog = readers.watchlist_catalog(spark, mixed_watchlists(spark, folder))
+    return catalog.where("problem IS NOT NULL").select(F.array_join("header", ",").alias("header"), "problem").distinct()
+
+
+@query
+def folder_files(spark, folder):
+    """One customer list per market segment, written and listed; the first two segments are registered already."""
+    path = scratch_path(spark, "lists")
+    rows = b.table(spark, folder, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("value"))
+    rows.repartition("segment").write.partitionBy("segment").text(path)
+    listed = readers.list_files(spark, f"{path}/*")
+    names = listed.where("bytes > 0").select(F.concat(F.element_at(F.split("path", "/"), -2), F.lit(".txt")).alias("file_name"))
+    known = spark.createDataFrame([("segment=AUTOMOBILE.txt",), ("segment=BUILDING.txt",)], "file_name string")
+    return ingest.new_files(names, known)
+
+
+@query
+def dimension_files(spark, folder):
+    """Module matrix and supplier list written as files, read back in their order, and used for the module figures."""
+    path = scratch_path(spark, "dimensions")
+    matrix, direct = b.matrix(spark), b.direct_feed(spark, folder)
+    # Dimension files are one file each, as their order counts.
+    writers.write_text(matrix.orderBy("row_no").drop("row_no").coalesce(1), f"{path}/matrix")
+    writers.write_text(direct.orderBy("row_no").drop("row_no").coalesce(1), f"{path}/direct")
+    return watch_stats.module_stats(
+        live_watch(spark, folder), readers.read_matrix(spark, f"{path}/matrix"),
+        readers.read_direct_feed(spark, f"{path}/direct"), b.AS_OF,
+    )
+
+
 @query
 def feed_surplus_fields(spark, folder):
     """Feed lines, a fifth with a surplus field (skipped), a fifth too short (padded)."""
@@ -756,6 +908,44 @@ def activity_recent(spark, folder):
     return activity.recent_entries(b.activity_log(spark, folder))
 
 
+@query
+def activity_appended(spark, folder):
+    """The log appended in four batches, two of them done again; the newest entries as the last batch left them."""
+    path, log = scratch_path(spark, "activity"), b.activity_log(spark, folder)
+    for batch in (0, 1, 1, 2, 0, 3):
+        part = F.pmod(F.xxhash64("username"), F.lit(4)) == batch
+        writers.append_log(log.where(part), path, batch)
+    return writers.read_recent_log(spark, path)
+
+
+@query
+def activity_appended_counts(spark, folder):
+    """All entries of an appended log by action, one batch done twice."""
+    path, log = scratch_path(spark, "activity"), b.activity_log(spark, folder)
+    for batch in (0, 1, 0):
+        writers.append_log(log.where(F.dayofmonth("timestamp") % 2 == batch), path, batch)
+    return writers.read_log(spark, path, log.schema).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query
+def activity_stream_hours(spark, folder):
+    """Hourly figures as a stream: the whole log, then one later entry that closes its last hour."""
+    path, log = scratch_path(spark, "hours"), b.activity_log(spark, folder)
+    later = F.make_interval(hours=F.lit(48))
+    last = log.agg(F.max("timestamp").alias("timestamp")).select(
+        (F.col("timestamp") + later).alias("timestamp"), F.lit("closing").alias("username"),
+        *[F.lit("").alias(name) for name in ("action", "details", "ip_address")],
+    )
+    schema = log.schema.simpleString().replace("timestamp_ntz", "timestamp")[len("struct<"):-1].replace(":", " ")
+    for entries in (log, last):
+        entries.withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.mode("append").parquet(f"{path}/log")
+        stream = spark.readStream.schema(schema).parquet(f"{path}/log")
+        start_hourly_activity(stream, f"{path}/figures", f"{path}/checkpoint").awaitTermination()
+    figures = "hour timestamp, total_logs long, security_events long, active_users long"
+    rows = spark.read.schema(figures).parquet(f"{path}/figures")
+    return rows.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
 @query
 def activity_kept(spark, folder):
     return activity.recent_entries(b.activity_log(spark, folder), activity.KEPT_ENTRIES)
@@ -789,3 +979,22 @@ def process_log_files(spark, folder):
     stamped = rows.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
     writers.write_text(stamped, path)
     return activity.message_counts(readers.read_process_logs(spark, path))
+
+
+@query
+def process_log_details(spark, folder):
+    """Logs whose details span lines and hold quotes, read back whole: lines, characters and last lines per process."""
+    path = scratch_path(spark, "traces")
+    trace = F.concat(F.lit('Traceback "x",\n  File '), F.col("props"), F.lit('\r\n\n"boom"'))
+    rows = b.table(spark, folder, "events").select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        F.concat(F.lit("proc_"), F.col("user_id") % 12).alias("parent_process"), F.col("event_type").alias("subprocess"),
+        F.lit("INFO").alias("level"), F.lit("a, b").alias("message"),
+        F.when(F.col("event_id") % 3 == 0, trace).otherwise(F.col("props")).alias("details"),
+    )
+    writers.write_text(rows, path)
+    details = F.coalesce("details", F.lit(""))
+    return readers.read_process_logs(spark, path).groupBy("parent_process").agg(
+        F.count("*").alias("records"), F.sum(F.length(details)).alias("characters"),
+        F.count_if(details.endswith('\n\n"boom"')).alias("whole"),
+    )
