@@ -43,10 +43,10 @@ WHOLE, STEM = 12, 5
 ROUNDS, COST = 3, 1000.0
 #: What a missed witness weighs against a clean string taken for toxic: a document has many strings and few witnesses.
 MISSED = 4.0
-#: Strings whose decision a worker remembers; the table starts anew when full.
-REMEMBERED = 300_000
-#: Score from which a document is predicted toxic.
-THRESHOLD = 0.7
+#: Strings besides the runs whose decision a worker remembers; the table starts anew when full.
+REMEMBERED = 400_000
+#: Score from which a document is predicted toxic, and the decision on a text without strings.
+THRESHOLD, LOWEST = 0.7, -2.0
 
 # Characters that stand for letters.
 LEET = str.maketrans("013457@$!|", "oieastasil")
@@ -308,6 +308,61 @@ def fit(texts: list[str], toxic: list[int]) -> Machine:
     return machine
 
 
+class Judge:
+    """Decisions on strings and words, from the plain fields of a machine; decisions made are kept beside them.
+
+    Runs of ``STEM`` letters a to z are numbered, and their decisions stand in a table by number, as most strings are
+    such runs; other strings are remembered by themselves, to a bound.
+    """
+
+    def __init__(self, fields: dict):
+        self.machine = Machine.of_plain(fields)
+        learned = fields["learned"]
+        self.seen = learned.setdefault("seen", {})
+        if "runs" not in learned:
+            learned["runs"] = np.full(26**STEM, np.nan, np.float32)
+        self.runs = learned["runs"]
+
+    def strings(self, strings: list[str]) -> np.ndarray:
+        seen = self.seen
+        new = sorted({s for s in strings if s not in seen})
+        if len(seen) + len(new) > REMEMBERED:
+            seen.clear()
+            new = sorted(set(strings))
+        seen.update(zip(new, self.machine.decide(new).astype(np.float32).tolist()))
+        return np.array([seen[s] for s in strings], float)
+
+    def words(self, forms: list[str]) -> np.ndarray:
+        """The worst decision among the pieces of each word."""
+        code = np.frombuffer("\n".join([*forms, ""]).encode("utf-32-le", "replace"), np.uint32).astype(np.int64) - ord("a")
+        code[(code < 0) | (code > 25)] = -1
+        sizes = np.array([len(form) for form in forms], np.int64)
+        ends = np.cumsum(sizes + 1)
+        owner = np.repeat(np.arange(len(forms)), sizes + 1)
+        out = np.full(len(forms), LOWEST)
+        # Words with other letters go string by string, and of the others the whole words.
+        other = np.zeros(len(forms), bool)
+        inner = np.ones(len(code), bool)
+        inner[ends - 1] = False
+        other[owner[inner & (code < 0)]] = True
+        singles = [(i, p) for i, form in enumerate(forms) for p in (pieces(form) if other[i] else pieces(form)[:1] if LENGTH <= sizes[i] <= WHOLE else [])]
+        if len(code) >= STEM:
+            windows = np.lib.stride_tricks.sliding_window_view(code, STEM)
+            begin = np.flatnonzero((windows >= 0).all(1) & (sizes[owner[: len(windows)]] > STEM) & ~other[owner[: len(windows)]])
+            number = windows[begin] @ (26 ** np.arange(STEM - 1, -1, -1))
+            missing = np.unique(number[np.isnan(self.runs[number])])
+            if len(missing):
+                letters = missing[:, None] // 26 ** np.arange(STEM - 1, -1, -1) % 26 + ord("a")
+                self.runs[missing] = self.machine.decide(["".join(map(chr, row)) for row in letters.tolist()])
+            if len(begin):
+                whose = owner[begin]
+                first = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
+                out[whose[first]] = np.maximum(out[whose[first]], np.maximum.reduceat(self.runs[number].astype(float), first))
+        if singles:
+            np.maximum.at(out, [i for i, _ in singles], self.strings([p for _, p in singles]))
+        return out
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, learn) -> tuple[list[str], list[int]]:
     """At most ``SAMPLE`` labelled texts per label that ``learn`` (a condition on doc_id) admits, by hash order."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
@@ -337,7 +392,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     machine = fit(*training_sample(rows, labels.select("doc_id", "toxic"), ~held))
     # Plain arrays travel, so executors need no copy of the classes. Decisions that a worker has made stay with its
     # copy for its later tasks.
-    sent = rows.sparkSession.sparkContext.broadcast({**machine.plain(), "seen": {}})
+    sent = rows.sparkSession.sparkContext.broadcast({**machine.plain(), "learned": {}})
     schema = T.StructType([
         rows.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()),
         T.StructField("predicted", T.IntegerType()), T.StructField("worst_word", T.StringType()),
@@ -346,14 +401,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     def run(batches):
         import pyarrow as pa
 
-        model, seen = Machine.of_plain(sent.value), sent.value["seen"]
-
-        def decisions(strings: list[str]) -> None:
-            new = sorted({s for s in strings if s not in seen})
-            if len(seen) + len(new) > REMEMBERED:
-                seen.clear()
-                new = sorted(set(strings))
-            seen.update(zip(new, model.decide(new).tolist()))
+        judge = Judge(sent.value)
 
         for batch in batches:
             begin = 0
@@ -362,7 +410,6 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                 begin += len(texts)
                 dictionary, index, offsets = tokens(texts)
                 forms = [plain(t) for t in dictionary.to_pylist()]
-                cut = [pieces(form) for form in forms]
                 # Words spelled letter by letter, per document.
                 single = np.array([len(form) == 1 for form in forms], bool)
                 letters = single[index] if len(index) else np.zeros(0, bool)
@@ -375,9 +422,9 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                         b += 1
                     if b - a >= LENGTH:
                         spelled += [(int(of[a]), p) for p in pieces("".join(forms[i] for i in index[a:b].tolist()))]
-                decisions([p for parts in cut for p in parts] + [p for _, p in spelled])
-                per_form = np.array([max((seen[p] for p in parts), default=-2.0) for parts in cut] or [-2.0])
-                worst = np.full(len(texts), -2.0)
+                per_form = judge.words(forms) if forms else np.array([LOWEST])
+                of_spelled = judge.strings([p for _, p in spelled]).tolist()
+                worst = np.full(len(texts), LOWEST)
                 some = np.diff(offsets) > 0
                 at = np.full(len(texts), -1)
                 if some.any():
@@ -386,10 +433,10 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                     hit = np.flatnonzero(values == worst[of])
                     at[of[hit][::-1]] = index[hit][::-1]
                 words = [forms[i] if i >= 0 else None for i in at.tolist()]
-                for d, p in spelled:
-                    if seen[p] > worst[d]:
-                        worst[d], words[d] = seen[p], p
-                score = model.score(np.maximum(worst, -2.0))
+                for (d, p), worth in zip(spelled, of_spelled):
+                    if worth > worst[d]:
+                        worst[d], words[d] = worth, p
+                score = judge.machine.score(np.maximum(worst, LOWEST))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)),
                      pa.array(words, pa.string())],
