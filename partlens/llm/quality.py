@@ -1,9 +1,14 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
+"""Quality classifier: perplexities under interpolated modified Kneser-Ney models of trusted text.
 
-The model predicts characters from the two before them (a text has two start marks and one end mark). Every order is
-a table of counts that joins by n-gram give discounts, back-off weights and probabilities; no table goes to a driver
-or a task whole. Documents are scored in blocks: a block's distinct n-grams are joined to the probabilities.
-Each language has its own threshold, a quantile of the perplexities of its trusted documents.
+A text is seen in two ways, each with a trigram model of its own: as its characters, and as the shapes of its words
+(length, case, what it ends with, and whether it is the word before it once more). The first knows spelling, the second
+running text: a word that is looped has ordinary characters and an improbable row of shapes. A sequence has two start
+marks and one end mark. Every order is a table of counts that joins by n-gram give discounts, back-off weights and
+probabilities; no table goes to a driver or a task whole. Documents are scored in blocks: a block's distinct n-grams
+are joined to the probabilities.
+
+Thresholds are quantiles of trusted documents that the models were not trained on, per language and length, as short
+texts vary more.
 """
 
 from __future__ import annotations
@@ -22,19 +27,63 @@ START, END = 2, 3
 BLOCK_BYTES, PIECE = 4_000_000, 500_000
 #: Up to so many possible trigrams of the characters in use are counted by position, beyond that by sorting.
 BY_PLACE = 1 << 22
-#: Share of a language's trusted documents at or under its threshold, and the factor put on that perplexity.
-QUANTILE = 0.99
-MARGIN = 1.5
-
-
-def _pieces(texts: list[str]):
-    """Runs of (text number, part of the framed text) of about ``PIECE`` characters.
-
-    Parts of a longer text overlap by two characters, so each of its trigrams begins in one part.
+#: Share of trusted documents at or under their threshold, in each view.
+QUANTILE = 0.998
+#: One trusted document in so many is left out of training and used for the thresholds.
+LEFT_OUT = 5
+#: Tokens at which a text counts as longer, and trusted documents that a group needs for a threshold of its own.
+BANDS, LEAST = (64, 256, 1024), 100
+# What a document is to the models: learned from, left out to judge by, or neither.
+LEARN, JUDGE, OTHERS = 0, 1, 2
+#: Shapes of words: once more the word before it, the word two before it, and all others from here on.
+AGAIN, SECOND, SHAPES = 4, 5, 6
+
+
+def shape(word: str) -> int:
+    """The shape of a word: length class, case, what it ends with, whether odd characters stand inside."""
+    size = len(word)
+    length = size if size < 5 else 5 if size < 7 else 6 if size < 10 else 7 if size < 15 else 8
+    case = 1 if word.islower() else 3 if word.isupper() and size > 1 else 2 if word.istitle() else 4 if word.isalpha() else 0
+    last = word[-1]
+    end = 0 if last.isalpha() else 1 if last in ".!?" else 2 if last in ",;:" else 3 if last.isdigit() else 4
+    odd = any(not (c.isalnum() or c in "'-.,") for c in word[:-1])
+    return SHAPES + ((length * 5 + case) * 5 + end) * 2 + odd
+
+
+def _characters(texts: list[str]) -> list[np.ndarray]:
+    return [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+
+
+def _shapes(texts: list[str]) -> list[np.ndarray]:
+    known: dict[str, int] = {}
+    number: dict[str, int] = {}
+    out = []
+    for text in texts:
+        words = text.split()
+        index = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+        for w in words:
+            if w not in known:
+                known[w] = shape(w)
+        codes = np.array([known[w] for w in words], np.uint32)
+        codes[2:][index[2:] == index[:-2]] = SECOND
+        codes[1:][index[1:] == index[:-1]] = AGAIN
+        out.append(codes)
+    return out
+
+
+#: How a text becomes the numbers that are predicted, by the name of the view.
+VIEWS = {"characters": _characters, "shapes": _shapes}
+
+
+def _pieces(sequences: list[np.ndarray]):
+    """Runs of (text number, part of the framed sequence) of about ``PIECE`` symbols.
+
+    Parts of a longer sequence overlap by two symbols, so each of its trigrams begins in one part.
     """
     run, size = [], 0
-    for i, text in enumerate(texts):
-        framed = f"\x02\x02{text}\x03"
+    marks = np.array([START, START, END], np.uint32)
+    for i, sequence in enumerate(sequences):
+        framed = np.concatenate([marks[:2], sequence, marks[2:]])
         for begin in range(0, len(framed) - 2, PIECE):
             run.append((i, framed[begin : begin + PIECE + 2]))
             size += len(run[-1][1])
@@ -45,11 +94,11 @@ def _pieces(texts: list[str]):
         yield run
 
 
-def _counted(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct trigrams, then per part: number, places and counts of its distinct trigrams)."""
     sizes = np.array([len(part) for part in parts], np.int64)
-    code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    # Dense numbers for the few characters in use keep trigrams countable by position.
+    code = np.concatenate(parts)
+    # Dense numbers for the few symbols in use keep trigrams countable by position.
     used = np.flatnonzero(np.bincount(code))
     dense = np.zeros(used[-1] + 1, np.int64)
     dense[used] = np.arange(len(used))
@@ -79,27 +128,27 @@ def _counted(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return grams, np.array(held), np.concatenate(places).astype(np.int32), np.concatenate(counts).astype(np.int32)
 
 
-def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _trigrams(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct trigrams, then per text: offsets, places of its distinct trigrams, their counts).
 
-    Counting goes piece by piece, so memory follows the distinct trigrams of the texts and not their characters.
+    Counting goes piece by piece, so memory follows the distinct trigrams of the texts and not their length.
     """
     owners, found = [], []
-    for run in _pieces(texts):
+    for run in _pieces(sequences):
         owners.append(np.array([i for i, _ in run]))
         found.append(_counted([part for _, part in run]))
     grams = np.unique(np.concatenate([g for g, _, _, _ in found]))
     places = np.concatenate([np.searchsorted(grams, g)[p].astype(np.int32) for g, _, p, _ in found])
     counts = np.concatenate([c for _, _, _, c in found])
     owner = np.repeat(np.concatenate(owners), np.concatenate([held for _, held, _, _ in found]))
-    if any(len(text) + 1 > PIECE for text in texts):
+    if any(len(sequence) + 1 > PIECE for sequence in sequences):
         # Parts of one text may share trigrams: put each text's in order and add up equal ones.
         order = np.lexsort((places, owner))
         owner, places, counts = owner[order], places[order], counts[order]
         first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (places[1:] != places[:-1])])
         counts = np.add.reduceat(counts, np.flatnonzero(first)).astype(np.int32)
         owner, places = owner[first], places[first]
-    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    ends = np.searchsorted(owner, np.arange(len(sequences) + 1))
     return grams, ends, places, counts
 
 
@@ -115,13 +164,13 @@ def _places(ends: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return along - np.repeat(along[ends[:-1]] - steps[ends[:-1]], np.diff(ends))
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """Block rows of documents (doc_id, lang, row_key, trusted, text); ``n`` counts the trigrams of trusted texts."""
+def _blocks(docs: DataFrame, view: str) -> DataFrame:
+    """Block rows of documents (doc_id, lang, row_key, role, text); ``n`` counts the trigrams of texts to learn from."""
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
         T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("keys", longs),
-        T.StructField("trusted", T.ArrayType(T.BooleanType())), T.StructField("lengths", longs),
+        T.StructField("roles", T.ArrayType(T.IntegerType())), T.StructField("lengths", longs),
         T.StructField("grams", longs), T.StructField("n", longs), T.StructField("packed", T.BinaryType()),
     ])
 
@@ -132,20 +181,20 @@ def _blocks(docs: DataFrame) -> DataFrame:
             return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
         for block, batch in numbered(batches, BLOCK_BYTES):
-            texts = [t or "" for t in batch.column(4).to_pylist()]
-            grams, ends, places, counts = _trigrams(texts)
-            trusted = np.repeat(batch.column(3).to_numpy(zero_copy_only=False).astype(bool), np.diff(ends))
-            n = np.bincount(places[trusted], counts[trusted], len(grams)).astype(np.int64)
+            sequences = VIEWS[view]([t or "" for t in batch.column(4).to_pylist()])
+            grams, ends, places, counts = _trigrams(sequences)
+            learned = np.repeat(batch.column(3).to_numpy(zero_copy_only=False) == LEARN, np.diff(ends))
+            n = np.bincount(places[learned], counts[learned], len(grams)).astype(np.int64)
             columns = [batch.column(i) for i in range(4)]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-            lengths = np.array([len(t) + 1 for t in texts], np.int64)
+            lengths = np.array([len(sequence) + 1 for sequence in sequences], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), *lists, one(lengths, pa.int64()), one(grams, pa.int64()),
                  one(n, pa.int64()), pa.array([pack(ends, _steps(ends, places), counts)], pa.binary())],
                 names=schema.names,
             )
 
-    return docs.select("doc_id", "lang", "row_key", "trusted", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "lang", "row_key", "role", "text").mapInArrow(run, schema)
 
 
 def _discounts(counts: DataFrame, n: str) -> dict[int, float]:
@@ -162,9 +211,9 @@ def _discount(n: str, d: dict[int, float]) -> Column:
 
 
 def kneser_ney(trigrams: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, logp) with the natural log probability of the last character for every trigram in ``wanted`` (gram).
+    """(gram, logp) with the natural log probability of the last symbol for every trigram in ``wanted`` (gram).
 
-    ``trigrams`` has the trusted counts (gram, n) and may be empty: then all characters are equally likely.
+    ``trigrams`` has the trusted counts (gram, n) and may be empty: then all symbols are equally likely.
     """
     code = 1 << 21
     third = trigrams.select(
@@ -221,13 +270,13 @@ def kneser_ney(trigrams: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _scores(blocks: DataFrame, values: DataFrame) -> DataFrame:
-    """One row per document of each block: ids, language, key, length, log probability, whether trusted."""
+    """One row per document of each block: ids, language, key, role, length, log probability."""
     schema = T.StructType([
         T.StructField("doc_id", blocks.schema["doc_ids"].dataType.elementType), T.StructField("lang", T.StringType()),
-        T.StructField("row_key", T.LongType()), T.StructField("trusted", T.BooleanType()),
+        T.StructField("row_key", T.LongType()), T.StructField("role", T.IntegerType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("logp", T.DoubleType()),
     ])
-    columns = ["doc_ids", "langs", "keys", "trusted", "lengths", "packed"]
+    columns = ["doc_ids", "langs", "keys", "roles", "lengths", "packed"]
     joined = blocks.select("block", *columns).join(values, "block").select(*columns, "logp")
 
     def run(batches):
@@ -245,17 +294,67 @@ def _scores(blocks: DataFrame, values: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def _viewed(docs: DataFrame, view: str) -> DataFrame:
+    """Rows of ``docs`` (doc_id, lang, text, row_key, role) with n_tokens and logp in one view."""
+    blocks = stored(_blocks(docs, view), "blocks", records=8)
+    counts = stored(
+        symbols(blocks, ["grams", "n"]).where("n > 0").groupBy(F.col("grams").alias("gram")).agg(F.sum("n").alias("n")),
+        "trigrams",
+    )
+    held = symbols(blocks, ["grams"]).withColumnRenamed("grams", "gram")
+    model = stored(kneser_ney(counts, held.select("gram").distinct()), "model")
+    values = returned(held.join(model, "gram"), ["logp"])
+    return stored(_scores(blocks, values), "scores").withColumn("perplexity", F.exp(-F.col("logp") / F.col("n_tokens")))
+
+
+def _with_threshold(scored: DataFrame, quantile: float) -> DataFrame:
+    """Scores with ``threshold``: the quantile of trusted documents of the language and length.
+
+    In a group with ``LEAST`` documents left out of training these decide, else all trusted ones if they are so many.
+    A smaller group takes the larger of its own quantile and that of the next wider one: length within language,
+    language, all. Without trusted documents there is none.
+    """
+    band = sum(((F.col("n_tokens") >= edge).cast("int") for edge in BANDS), F.lit(0))
+    scored = scored.withColumn("band", band)
+    good = scored.where(F.col("role") != OTHERS)
+    judged = F.when(F.col("role") == JUDGE, F.col("perplexity"))
+    parts = {
+        "cut": F.when(F.count(judged) >= LEAST, F.percentile_approx(judged, quantile, 100_000)).otherwise(
+            F.percentile_approx("perplexity", quantile, 100_000)
+        ),
+        "many": F.count("*") >= LEAST,
+    }
+
+    def groups(name: str, *keys: str) -> DataFrame:
+        # One row per language and length class.
+        return good.groupBy(*[F.col(key).alias(f"{key}_{name}") for key in keys]).agg(
+            *[part.alias(f"{of}_{name}") for of, part in parts.items()]
+        )
+
+    fine, wide = groups("fine", "lang", "band"), groups("wide", "lang")
+    overall = F.lit(good.agg(parts["cut"].alias("cut")).first()["cut"]).cast("double")
+    joined = scored.join(
+        fine, F.col("lang").eqNullSafe(F.col("lang_fine")) & (F.col("band") == F.col("band_fine")), "left"
+    ).join(wide, F.col("lang").eqNullSafe(F.col("lang_wide")), "left")
+    of_language = F.when(F.col("many_wide"), F.col("cut_wide")).otherwise(F.greatest("cut_wide", overall))
+    return joined.withColumn(
+        "threshold", F.when(F.col("many_fine"), F.col("cut_fine")).otherwise(F.greatest("cut_fine", of_language))
+    ).select(*scored.columns, "threshold")
+
+
 def classify(
-    docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, doc_id: str = "doc_id",
+    docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, left_out: int = LEFT_OUT, doc_id: str = "doc_id",
     text: str = "text", lang: str = "lang", label_id: str = "doc_id", label: str = "quality",
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang, n_tokens, log10_prob, perplexity, threshold, kept, row_key.
-
-    Trusted text is that of documents whose every label is 1. Tokens are the characters and the end of a text; NULL
-    counts as the empty text, whose only token is the end. A document is kept if its perplexity is at most its
-    language's threshold: ``margin`` times the ``quantile`` of the trusted documents of the language (NULL is a
-    language of its own), or of all trusted documents where the language has none. Without trusted documents all
-    are kept. Repeated rows get equal results. ``row_key`` hashes id and text, to tell rows of one doc_id apart.
+    """One row per row of ``docs``: doc_id, lang, n_tokens, log10_prob, perplexity, threshold, kept, row_key,
+    shape_perplexity, shape_threshold.
+
+    Trusted text is that of documents whose every label is 1; of these one in ``left_out`` (by hash of the id; 0: none)
+    is not learned from and used for the thresholds. Tokens are the characters and the end of a text; NULL counts as
+    the empty text, whose only token is the end. A document is kept if in both views its perplexity is at most its
+    threshold. Languages are compared as they are, NULL is one of its own. Without trusted documents all are kept.
+    Repeated rows get equal results. Texts may be of any length, an empty table gives no rows, and other columns are
+    not read, whatever their names. ``row_key`` hashes id and text, to tell rows of one doc_id apart.
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
@@ -268,24 +367,15 @@ def classify(
     )
     few = trusted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     marked = rows.join(F.broadcast(trusted) if few else trusted, F.col("doc_id") == F.col("id"), "left")
-    blocks = stored(_blocks(marked.withColumn("trusted", F.coalesce("trusted", F.lit(False)))), "blocks", records=8)
-    counts = stored(
-        symbols(blocks, ["grams", "n"]).where("n > 0").groupBy(F.col("grams").alias("gram")).agg(F.sum("n").alias("n")),
-        "trigrams",
+    out = F.pmod(F.xxhash64("doc_id"), F.lit(left_out)) == 0 if left_out else F.lit(False)
+    role = F.when(~F.coalesce("trusted", F.lit(False)), OTHERS).when(out, JUDGE).otherwise(LEARN)
+    marked = marked.withColumn("role", role).select("doc_id", "lang", "text", "row_key", "role")
+    spelled = _with_threshold(_viewed(marked, "characters"), quantile)
+    shaped = _with_threshold(_viewed(marked, "shapes"), quantile).groupBy(F.col("row_key").alias("shape_key")).agg(
+        F.max("perplexity").alias("shape_perplexity"), F.max("threshold").alias("shape_threshold")
     )
-    held = symbols(blocks, ["grams"]).withColumnRenamed("grams", "gram")
-    model = stored(kneser_ney(counts, held.select("gram").distinct()), "model")
-    values = returned(held.join(model, "gram"), ["logp"])
-    scored = stored(_scores(blocks, values), "scores").withColumn("perplexity", F.exp(-F.col("logp") / F.col("n_tokens")))
-    good = scored.where("trusted")
-    cut = F.percentile_approx("perplexity", quantile, 100_000) * margin
-    by_lang = good.groupBy(F.col("lang").alias("of")).agg(cut.alias("own"))
-    overall = good.agg(cut.alias("any")).first()["any"]
-    return (
-        scored.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
-        .withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
-        .select(
-            "doc_id", "lang", "n_tokens", (F.col("logp") / F.log(F.lit(10.0))).alias("log10_prob"), "perplexity",
-            "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"), "row_key",
-        )
+    kept = (F.col("perplexity") <= F.col("threshold")) & (F.col("shape_perplexity") <= F.col("shape_threshold"))
+    return spelled.join(shaped, F.col("row_key") == F.col("shape_key"), "left").select(
+        "doc_id", "lang", "n_tokens", (F.col("logp") / F.log(F.lit(10.0))).alias("log10_prob"), "perplexity",
+        "threshold", F.coalesce(kept, F.lit(True)).alias("kept"), "row_key", "shape_perplexity", "shape_threshold",
     )
