@@ -52,6 +52,23 @@ def constant(values, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it where a column of ``df`` is called so, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns of these names (whatever their case) under free ones, and the names to give back."""
+    wanted, back = {name.lower() for name in names}, {}
+    for name in [c for c in df.columns if c.lower() in wanted]:
+        other = free_name(df, f"{name}_")
+        df, back[other] = df.withColumnRenamed(name, other), name
+    return df, back
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop columns that an operator is about to add, whatever their case."""
     taken = {name.lower() for name in names}

@@ -17,9 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
-from partlens.llm.common import stored, with_keys
+from partlens.llm.common import free_name, stored, with_keys
 from partlens.llm.components import components
 from partlens.llm.shingles import distinct_sets, mix, shingle_hashes, slices
 
@@ -296,13 +295,15 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     The document with the smallest doc_id stays, of rows that repeat a doc_id the one with the smallest text.
     Rows with a NULL doc_id and texts without words stay.
     """
-    found = stored(near_duplicates(docs, size, percent, doc_id, text).withColumnRenamed("doc_id", "_id"), "decided")
-    gone = stored(found.where("NOT kept").select("_id").distinct(), "copies")
-    twice = stored(found.where("kept AND _id IS NOT NULL").groupBy("_id").count().where("count > 1").select("_id"), "repeated")
-    named = docs.withColumn("_id", F.col(doc_id))
-    left = with_keys(named, gone, "_id", "left_anti")
+    key = free_name(docs, "_id")
+    found = stored(near_duplicates(docs, size, percent, doc_id, text).withColumnRenamed("doc_id", key), "decided")
+    gone = stored(found.where("NOT kept").select(key).distinct(), "copies")
+    twice = stored(found.where(F.col("kept") & F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
+    left = with_keys(docs.withColumn(key, F.col(doc_id)), gone, key, "left_anti")
     if not twice.isEmpty():
-        order = Window.partitionBy("_id").orderBy(text, *[c for c in docs.columns if c not in (doc_id, text)])
-        several = with_keys(left, twice, "_id", "left_semi").withColumn("_n", F.row_number().over(order))
-        left = with_keys(left, twice, "_id", "left_anti").unionByName(several.where("_n = 1").drop("_n"))
+        # The smallest row of an id, found on the map side however often the id is repeated.
+        order = [text, *[c for c in docs.columns if c not in (doc_id, text)]]
+        first = with_keys(left, twice, key, "left_semi").groupBy(key).agg(F.min(F.struct(*order)).alias("row"))
+        rows = first.select(F.col(key).alias(doc_id), *[F.col("row").getField(c).alias(c) for c in order])
+        left = with_keys(left, twice, key, "left_anti").select(*docs.columns).unionByName(rows.select(*docs.columns))
     return left.select(*docs.columns)
