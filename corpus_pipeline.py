@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, folder of the tables) and returns a DataFrame; all but the last return the columns of
 ``docs``. Between stages the documents are written to the shared folder and read again.
+
+The same holds for every stage: NULL and empty texts pass, except that the quality model may reject an empty one as it
+does any other; rows with a NULL doc_id are never near copies of others and are judged by their text; rows that repeat
+id and text are judged alike (of rows that repeat an id, near-copy removal keeps the one with the smallest text);
+texts may be of any length; an empty table stays empty; extra columns of any name and of orderable types pass
+unchanged. The last stage replaces columns called ids, n_tokens and round_trip.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlens.llm import byte_bpe, decontaminate, minhash_dedup, quality, secret_scan, spans
-from partlens.llm.common import stored, with_keys
+from partlens.llm.common import free_name, set_aside, stored, with_keys
 
 #: What stands for a secret in a kept text.
 MASK = "[SECRET]"
@@ -22,8 +28,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Drop the rows whose hash of id and text is in ``keys`` (row_key)."""
-    gone = stored(keys.select(F.col("row_key").alias("_row")).distinct(), "dropped")
-    return with_keys(docs.withColumn("_row", F.xxhash64("doc_id", "text")), gone, "_row", "left_anti").select(*docs.columns)
+    key = free_name(docs, "_row")
+    gone = stored(keys.select(F.col("row_key").alias(key)).distinct(), "dropped")
+    return with_keys(docs.withColumn(key, F.xxhash64("doc_id", "text")), gone, key, "left_anti").select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +53,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts; ``n_chars`` follows where a text changed."""
-    found = secret_scan.find_secrets(docs)
+    aside, back = set_aside(docs, ["secrets", "base_secrets", "_more"])
+    found = secret_scan.find_secrets(aside)
     changed = F.size("secrets") > 0
     new = found.withColumn("text", F.when(changed, spans.masked(F.col("text"), F.col("secrets"), MASK)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         new = new.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
-    return new.select(*docs.columns)
+    return new.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in aside.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +68,11 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_offsets=False), ranks)
+    aside, back = set_aside(docs, ["decoded", "decoded_bytes"])
+    coded = byte_bpe.decode(byte_bpe.encode(aside, ranks, public_tokenizers.PATTERN, with_offsets=False), ranks)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same).drop(
-        "decoded", "decoded_bytes"
-    )
+    new = coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same)
+    return new.drop("decoded", "decoded_bytes").withColumnsRenamed(back)
 
 
 STAGES = [

@@ -107,7 +107,7 @@ def with_modules(parts: DataFrame, man_modules: DataFrame) -> DataFrame:
         F.col("module_name").alias("module"), F.lit(True).alias("module_known"),
         F.col("man_id").alias("new_man_id"), F.col("module_id").alias("new_module_id"),
     )
-    return parts.join(dim, "module", "left")
+    return join_lookups(parts, [(dim, ["module"])])
 
 
 def several_pairs(man_modules: DataFrame) -> DataFrame:
