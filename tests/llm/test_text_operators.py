@@ -295,3 +295,53 @@ def test_passages_with_edits(spark):
     found = {r["doc_id"]: r for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(found) == {1, 2}
     assert (found[1]["start_word"], found[1]["end_word"]) == (90, 170) and (found[2]["start_word"], found[2]["end_word"]) == (0, 80)
+
+
+def test_passages_recall_under_edits(spark):
+    """Passages of 100 words with words replaced at random: of the pairs that keep 80 % equal words, 9 of 10 are found."""
+    import random
+
+    draw = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+
+    def some(n):
+        return [draw.choice(vocabulary) for _ in range(n)]
+
+    rows, truth = [], {}
+    line = some(20)  # a stock line that 80 more texts hold: too short for a passage
+    for percent in (0, 5, 10, 15, 18):
+        for _ in range(40):
+            inner = some(100)
+            edited = [draw.choice(vocabulary) if draw.random() < percent / 100 else w for w in inner]
+            first = len(rows)
+            rows.append((first, " ".join(some(draw.randint(50, 200)) + inner + some(100))))
+            rows.append((first + 1, " ".join(some(draw.randint(50, 200)) + edited + some(100))))
+            if sum(x == y for x, y in zip(inner, edited)) >= 80:
+                truth[first] = percent
+    rows += [(10_000 + i, " ".join(some(60) + line + some(60))) for i in range(80)]
+    found = {
+        min(r["doc_id"], r["source_id"])
+        for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        if r["doc_id"] != r["source_id"]
+    }
+    assert found <= set(truth) | set(range(400))
+    for percent in (0, 5, 10, 15, 18):
+        wanted = {first for first, p in truth.items() if p == percent}
+        assert len(wanted & found) >= 0.9 * len(wanted), percent
+
+
+def test_places_of_repeated_seeds():
+    seeds = [1, 2, 3] * 60 + [9, 1, 8]
+    every = {(3 * i, 3 * j) for i in range(len(seeds)) for j in range(len(seeds)) if seeds[i] == seeds[j]}
+    places = [3 * i for i in range(len(seeds))]
+    found = set(passages.common(seeds, places, seeds, places))
+    assert found <= every
+    assert {p for p, _ in found} == set(places) == {q for _, q in found}
+    assert (3 * 181, 3 * 181) in found and (3 * 180, 3 * 180) in found
+
+
+def test_alignment_keeps_the_best_stretch():
+    a = [*range(100, 140), *range(60), *range(200, 240)]
+    b = [*range(300, 330), *range(20), 999, *range(21, 40), *range(41, 60), *range(400, 450)]
+    start, end, their_start, their_end, equal = passages.align(a, b, [(40, 30), (70, 60)])
+    assert (start, end, their_start, their_end, equal) == (40, 100, 30, 89, 58)
