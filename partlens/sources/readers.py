@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,16 @@ from partlens.schemas import (
 from partlens.sources.quoted import parsed_records, quoted_records
 
 
+def _name(encoded) -> Column:
+    """A file name or path as it is written; Spark's metadata has it as part of a URI."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
+def exact_path(path: str) -> str:
+    """The path as a pattern that only this file matches."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files of a folder; contents are not read."""
     listed = spark.read.format("binaryFile").load(folder)
@@ -36,7 +46,7 @@ def watchlist_catalog(spark: SparkSession, path: str | Sequence[str], encoding:
     and file goes to the group-by.
     """
     lines = spark.read.option("encoding", encoding).text(path if isinstance(path, str) else list(path)).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"),
+        _name(F.col("_metadata.file_path")).alias("file"), _name(F.col("_metadata.file_name")).alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value",
     )
     # Only first blocks can hold a first line; the text of the smallest place is kept on the map side.
@@ -77,7 +87,7 @@ def read_watchlists(
     known = watchlist_catalog(spark, path, encoding) if catalog is None else catalog
     layouts: dict[tuple, list[str]] = {}
     for row in known.where(F.col("problem").isNull()).select("columns", "file").collect():
-        layouts.setdefault(tuple(row["columns"]), []).append(unquote(row["file"]))
+        layouts.setdefault(tuple(row["columns"]), []).append(exact_path(row["file"]))
     parts = [_watchlist_rows(spark, sorted(files), names, encoding) for names, files in sorted(layouts.items())]
     if not parts:
         names = (*WATCHLIST_LEADING, "status", "cm_date", "table_name", "features", "monitor_features", "file_name")
@@ -102,7 +112,7 @@ def _watchlist_rows(spark: SparkSession, files: list[str], columns: Sequence[str
         optional("TABLE_NAME").alias("table_name"),
         optional("Features").alias("features"),
         optional("monitor features").alias("monitor_features"),
-        F.col("_metadata.file_name").alias("file_name"),
+        _name(F.col("_metadata.file_name")).alias("file_name"),
     )
 
 
@@ -130,7 +140,7 @@ def read_all_text(
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     placed = [F.col("_metadata.file_path").alias("file"), place.alias("file_place")] if places else []
     return rows.where(F.col("_line").isNull() | short).select(
-        *schema.names, F.col("_metadata.file_name").alias("file_name"), *placed
+        *schema.names, _name(F.col("_metadata.file_name")).alias("file_name"), *placed
     )
 
 

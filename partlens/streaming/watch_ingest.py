@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from partlens.plans.ingest import next_id, register_files, register_parts
 from partlens.session import scratch_path
-from partlens.sources.readers import read_watchlists, watchlist_catalog
+from partlens.sources.readers import exact_path, read_watchlists, watchlist_catalog
 
 # A file enters a stream once, so its id follows from the name alone.
 STREAM_STAMP = datetime(1970, 1, 1)
@@ -43,7 +43,7 @@ def start_ingest(
     def load(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         arrived = batch.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "path", "modified")
-        paths = [row["path"] for row in arrived.select("path").collect()]
+        paths = [exact_path(row["path"]) for row in arrived.select("path").collect()]
         if not paths:
             return
         catalog = _stored_catalog(session, paths)

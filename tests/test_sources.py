@@ -27,7 +27,7 @@ def test_watchlists_of_mixed_length(spark, tmp_path):
 
 
 def test_watchlists_of_mixed_headers(spark, tmp_path):
-    put(tmp_path, "some list.txt", "a\tb\tc\tFeatures\r\nP\tm\tx\tf|\r\n")
+    put(tmp_path, "some [1]+{list}.txt", "a\tb\tc\tFeatures\r\nP\tm\tx\tf|\r\n")
     put(tmp_path, "turned.txt", "a\tb\tc\tmonitor features\tSTATUS\nQ\tm\tx\tall\tfound\nshort\tm\n")
     put(tmp_path, "quoted.txt", '"a"\t"b"\t"c"\t"STATUS"\nR\tm\tx\tgone\n')
     put(tmp_path, "no_rows.txt", "a\tb\tc")
@@ -42,7 +42,7 @@ def test_watchlists_of_mixed_headers(spark, tmp_path):
         put(tmp_path, name, header + "\nx\ty\n")
     rows = {r["part"]: r for r in readers.read_watchlists(spark, str(tmp_path)).collect()}
     assert set(rows) == {"P", "Q", "R", "short"}
-    assert (rows["P"]["features"], rows["P"]["status"], rows["P"]["file_name"]) == ("f|", None, "some%20list.txt")
+    assert (rows["P"]["features"], rows["P"]["status"], rows["P"]["file_name"]) == ("f|", None, "some [1]+{list}.txt")
     assert (rows["Q"]["status"], rows["Q"]["monitor_features"], rows["R"]["status"]) == ("found", "all", "gone")
     assert rows["short"]["module"] is None and rows["short"]["status"] is None
     catalog = readers.watchlist_catalog(spark, str(tmp_path))

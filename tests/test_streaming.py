@@ -60,10 +60,10 @@ def test_lists_of_any_header_enter_and_others_are_listed(spark, tmp_path):
     (inbox / "a.txt").write_text("a\tb\tc\tFeatures\tSTATUS\np1\tm\tx\tf|\tfound\n")
     (inbox / "b.txt").write_text("a\tb\np2\tm\n")
     start_ingest(spark, str(inbox), files, parts, checkpoint, rejected).awaitTermination(120)
-    (inbox / "c.txt").write_text("a\tb\tc\tSTATUS\np3\tm\tx\tgone\n")
+    (inbox / "c [x].txt").write_text("a\tb\tc\tSTATUS\np3\tm\tx\tgone\n")
     start_ingest(spark, str(inbox), files, parts, checkpoint, rejected).awaitTermination(120)
     rows = {r["part"]: r for r in spark.read.parquet(parts).collect()}
     assert (rows["p1"]["features"], rows["p1"]["status"], rows["p3"]["status"]) == ("f|", "found", "gone")
     assert len(rows) == 2 and rows["p1"]["id"] != rows["p3"]["id"]
-    assert {r["file_name"] for r in spark.read.parquet(files).collect()} == {"a.txt", "c.txt"}
+    assert {r["file_name"] for r in spark.read.parquet(files).collect()} == {"a.txt", "c [x].txt"}
     assert [tuple(r)[:3] for r in spark.read.parquet(rejected).collect()] == [("b.txt", ["a", "b"], "too few leading columns")]
