@@ -85,10 +85,13 @@ def kernel(strings: list[str], landmark: str) -> np.ndarray:
     One pass over the characters of the strings, all strings at a time. ``held[p][j]`` is the weight of common
     subsequences of p characters within the characters read so far and the landmark's first j, up to the ends of both.
     """
-    width, m, decay = len(strings[0]), len(landmark), np.float32(DECAY)
-    codes = np.ascontiguousarray(_codes(strings, width).T)
+    return _kernel(np.ascontiguousarray(_codes(strings, len(strings[0])).T), landmark)
+
+
+def _kernel(codes: np.ndarray, landmark: str) -> np.ndarray:
+    """``kernel`` of the strings whose characters are the columns of ``codes``."""
+    (width, n), m, decay = codes.shape, len(landmark), np.float32(DECAY)
     target = _codes([landmark], m)[0].tolist()
-    n = len(strings)
     one = np.ones(n, np.float32)
     held = [[one] * m, *[[np.zeros(n, np.float32) for _ in range(m)] for _ in range(LENGTH - 1)]]
     total, meet, along = (np.zeros(n, np.float32) for _ in range(3))
@@ -120,8 +123,9 @@ def kernels(strings: list[str], landmarks: list[str]) -> np.ndarray:
             part = places[begin : begin + GROUP]
             group = [strings[i] for i in part]
             self_kernel = _self_kernels(group)
+            codes = np.ascontiguousarray(_codes(group, len(group[0])).T)
             for j, z in enumerate(landmarks):
-                out[part, j] = (kernel(group, z) / np.sqrt(self_kernel * own[j])) ** POWER
+                out[part, j] = (_kernel(codes, z) / np.sqrt(self_kernel * own[j])) ** POWER
     return out
 
 
