@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +84,14 @@ def small_batches(batches, limit: int = 2_000_000):
             yield batch.slice(begin, rows)
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let a task take its rows in Arrow batches of at most ``size``, however long their texts are.
+
+    The engine's own bound is 10,000 rows, which with whole texts is tens of megabytes on both sides of each worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def add_columns(
     df: DataFrame, fields: Sequence[T.StructField], inputs: Sequence[str], fn: Callable[[Callable, Sequence], list]
 ) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partlens.llm.blocks import numbered, pack, returned, symbols, unpack
-from partlens.llm.common import BROADCAST_KEYS, stored
+from partlens.llm.common import BROADCAST_KEYS, bounded_batches, stored
 
 #: Marks before and after a text; a character of that code in a text counts as the mark.
 START, END = 2, 3
@@ -40,14 +40,16 @@ AGAIN, SECOND, SHAPES = 4, 5, 6
 
 
 def shape(word: str) -> int:
-    """The shape of a word: length class, case, what it ends with, whether odd characters stand inside."""
-    size = len(word)
-    length = size if size < 5 else 5 if size < 7 else 6 if size < 10 else 7 if size < 15 else 8
-    case = 1 if word.islower() else 3 if word.isupper() and size > 1 else 2 if word.istitle() else 4 if word.isalpha() else 0
-    last = word[-1]
-    end = 0 if last.isalpha() else 1 if last in ".!?" else 2 if last in ",;:" else 3 if last.isdigit() else 4
-    odd = any(not (c.isalnum() or c in "'-.,") for c in word[:-1])
-    return SHAPES + ((length * 5 + case) * 5 + end) * 2 + odd
+    """The shape of a word: short, middling or long; lower, title, upper case or another mixture; what it ends with.
+
+    Few shapes, so that a row of them says how a text runs and not which words it has.
+    """
+    size, last = len(word), word[-1]
+    length = 0 if size < 4 else 1 if size < 10 else 2
+    plain = all(c.isalpha() or c in "'-.," for c in word[:-1])
+    case = 3 if not plain else 0 if word.islower() else 2 if word.isupper() and size > 1 else 1 if word.istitle() else 3
+    end = 0 if last.isalpha() else 1 if last in ".,;:!?" else 2
+    return SHAPES + (length * 4 + case) * 3 + end
 
 
 def _characters(texts: list[str]) -> list[np.ndarray]:
@@ -55,16 +57,17 @@ def _characters(texts: list[str]) -> list[np.ndarray]:
 
 
 def _shapes(texts: list[str]) -> list[np.ndarray]:
-    known: dict[str, int] = {}
     number: dict[str, int] = {}
+    shapes: list[int] = []
     out = []
     for text in texts:
         words = text.split()
-        index = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
         for w in words:
-            if w not in known:
-                known[w] = shape(w)
-        codes = np.array([known[w] for w in words], np.uint32)
+            if w not in number:
+                number[w] = len(shapes)
+                shapes.append(shape(w))
+        index = np.array([number[w] for w in words], np.int64)
+        codes = np.array([shapes[i] for i in index.tolist()], np.uint32)
         codes[2:][index[2:] == index[:-2]] = SECOND
         codes[1:][index[1:] == index[:-1]] = AGAIN
         out.append(codes)
@@ -356,6 +359,7 @@ def classify(
     Repeated rows get equal results. Texts may be of any length, an empty table gives no rows, and other columns are
     not read, whatever their names. ``row_key`` hashes id and text, to tell rows of one doc_id apart.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
     ).withColumn("row_key", F.xxhash64("doc_id", "text"))
