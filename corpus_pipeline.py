@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlens.llm import byte_bpe, decontaminate, minhash_dedup, quality, secret_scan, spans
-from partlens.llm.common import free_name, set_aside, stored, with_keys
+from partlens.llm.common import bounded_batches, free_name, set_aside, stored, with_keys
 
 #: What stands for a secret in a kept text.
 MASK = "[SECRET]"
@@ -41,6 +41,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    bounded_batches(spark)
     return minhash_dedup.one_of_each(docs, size=5, percent=80)
 
 
@@ -68,6 +69,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    bounded_batches(spark)
     aside, back = set_aside(docs, ["decoded", "decoded_bytes"])
     coded = byte_bpe.decode(byte_bpe.encode(aside, ranks, public_tokenizers.PATTERN, with_offsets=False), ranks)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
