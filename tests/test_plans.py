@@ -113,3 +113,11 @@ def test_hot_parts_get_their_status(spark):
     assert sum(got.values()) == 2000 and merged.count() == 6000
     # Some registry rows of the hot key have no date at all, so all its known parts are not run.
     assert {key[1:] for key in got} == {("m", "not run"), ("unknown", "not_valid")}
+
+
+def test_status_run_reads_registry_and_feed_once(spark):
+    physical = plan_of(entry.queries()["watch_status_source"](spark, FOLDER)).split("== Physical Plan ==")[1]
+    assert physical.count("FileScan parquet [l_") == 2
+    # The options come from one pass as well, whose rows are copied once per group of columns.
+    physical = plan_of(entry.queries()["watch_filter_options"](spark, FOLDER)).split("== Physical Plan ==")[1]
+    assert physical.count("Expand") == 1 and physical.count("FileScan parquet [o_") == 1

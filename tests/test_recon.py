@@ -4,6 +4,7 @@ from datetime import date
 
 from partlens import schemas
 from partlens.plans import recon
+from partlens.sources import readers
 
 D1, D2, D3 = date(2024, 1, 1), date(2024, 1, 2), date(2024, 1, 3)
 
@@ -111,3 +112,29 @@ def test_reports(spark):
         ("dup", "In Progress found", D1), ("missing", "NotReceived found", D1), ("twice", "NotReceived found", D1),
         ("late", "NotReceived found", D2),
     }
+
+
+def test_a_details_file_has_one_day(spark, tmp_path):
+    header = "a\tb\tc\td\te\tf\tg\th\n"
+
+    def put(name, *rows):
+        lines = ["\t".join([mpn, "m", "x", prty, "", status, "", day]) for mpn, prty, status, day in rows]
+        (tmp_path / name).write_text(header + "\n".join(lines) + "\n")
+
+    # The first part in order counts: b is the first with a priority, and of its rows the found one, which is empty.
+    put("PartDetails@08-Mar-2025.txt", ("c", "P1", "Found", "10-Mar-2025"), ("b", "P1", "no", "01-Jan-2025"),
+        ("b", "P2", "found", ""), ("d", "P1", "no", "11-Mar-2025"), ("a", "", "Found", "02-Jan-2025"))
+    # Ties go to the place in the file; a date that can't be read is passed by.
+    put("PartDetails@09-Mar-2025.txt", ("a", "P1", "no", "soon"), ("b", "P1", "no", "03-Mar-2025"), ("b", "P1", "no", "04-Mar-2025"))
+    put("PartDetails@11-Mar-2025.txt", ("a", "P1", "no", ""), ("b", "", "no", "05-Mar-2025"))
+    details = readers.read_part_details(spark, str(tmp_path))
+    days = {r["file"].rsplit("@", 1)[1]: r["date"] for r in recon.file_days(details).collect()}
+    assert days == {
+        "08-Mar-2025.txt": date(2025, 3, 10), "09-Mar-2025.txt": date(2025, 3, 3), "11-Mar-2025.txt": date(2025, 3, 11)
+    }
+    dated = recon.dated_by_file(details)
+    assert dated.count() == 10 and dated.where("date IS NULL").count() == 0
+    found = spark.createDataFrame([("c", "m", "x", "2025-03-10", "Imported")], "mpn string, man string, module string, check_date string, auto_imp_status string")
+    matched = recon.match(found, found.limit(0), dated).where("provenance = 'both'").collect()
+    assert [(r["mpn"], r["date"]) for r in matched] == [("c", date(2025, 3, 10))]
+    assert recon.file_days(details.limit(0)).count() == 0
