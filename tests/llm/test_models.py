@@ -39,6 +39,16 @@ def test_language_model_base_figures_and_held_out_gain(spark):
     assert gain > 0
 
 
+def test_language_model_learns_from_all_text_however_it_is_cut(spark, monkeypatch):
+    docs = table(spark, "documents").coalesce(1)
+    found = []
+    for size in (10_000, 10_000_000):
+        monkeypatch.setattr(hmm_lm, "BLOCK_BYTES", size)
+        found.append(sorted((r["doc_id"], r["score"]) for r in hmm_lm.score(docs).collect()))
+    for (one, a), (other, b) in zip(*found):
+        assert one == other and a == pytest.approx(b, rel=1e-6)
+
+
 def test_forward_recursion_sums_over_all_paths():
     rng = np.random.default_rng(0)
     model = {
