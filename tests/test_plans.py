@@ -10,6 +10,7 @@ from workload.spark_queries import QUERIES
 from partlens import schemas
 from partlens.operators.lookups import join_lookups
 from partlens.plans import registry, watch_status
+from partlens.sources import writers
 
 FOLDER = "/root/testdata/sf0.001"
 WRITES = {
@@ -121,3 +122,15 @@ def test_status_run_reads_registry_and_feed_once(spark):
     # The options come from one pass as well, whose rows are copied once per group of columns.
     physical = plan_of(entry.queries()["watch_filter_options"](spark, FOLDER)).split("== Physical Plan ==")[1]
     assert physical.count("Expand") == 1 and physical.count("FileScan parquet [o_") == 1
+
+
+def test_a_snapshot_stored_three_times_is_built_once(spark, monkeypatch):
+    plans, store = [], writers.store_snapshot
+
+    def seen(df, *args):
+        plans.append(plan_of(df).split("== Physical Plan ==")[1])
+        store(df, *args)
+
+    monkeypatch.setattr(writers, "store_snapshot", seen)
+    entry.queries()["snapshot_store"](spark, FOLDER)
+    assert len(plans) == 3 and not any("Exchange" in plan for plan in plans)
