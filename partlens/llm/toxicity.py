@@ -43,8 +43,9 @@ WHOLE, STEM = 12, 5
 ROUNDS, COST = 3, 1000.0
 #: What a missed witness weighs against a clean string taken for toxic: a document has many strings and few witnesses.
 MISSED = 4.0
-#: Strings besides the runs whose decision a worker remembers; the table starts anew when full.
-REMEMBERED = 400_000
+#: Strings besides the runs, and tokens, whose decision a worker remembers; either table starts anew when full.
+#: Longer tokens are decided each time.
+REMEMBERED, LONGEST = 400_000, 40
 #: Score from which a document is predicted toxic, and the decision on a text without strings.
 THRESHOLD, LOWEST = 0.7, -2.0
 
@@ -111,10 +112,38 @@ def _kernel(codes: np.ndarray, landmark: str) -> np.ndarray:
     return total.astype(float)
 
 
+def _meeting(letters: np.ndarray, alphabet: dict[str, int], landmark: str) -> np.ndarray:
+    """Whether each string has any common subsequence of ``LENGTH`` characters with ``landmark``.
+
+    The columns of ``letters`` are the strings' characters as numbers of ``alphabet``, 0 for all others. ``ends[p]`` has
+    a bit for each place of the landmark where a common subsequence of p + 1 characters can end; one can go on at the
+    places above the lowest such bit.
+    """
+    if len(landmark) > 63:
+        return np.ones(letters.shape[1], bool)
+    kind = np.uint16 if len(landmark) < 16 else np.uint64
+    bits = np.zeros(len(alphabet) + 1, kind)
+    for j, c in enumerate(landmark):
+        bits[alphabet[c]] |= kind(1 << j)
+    ends = [np.zeros(letters.shape[1], kind) for _ in range(LENGTH)]
+    for at in bits[letters]:
+        for p in range(LENGTH - 1, 0, -1):
+            below = ends[p - 1]
+            # Minus twice the lowest bit is every bit above it.
+            ends[p] |= at & -((below & -below) << kind(1))
+        ends[0] |= at
+    return ends[-1] > 0
+
+
 def kernels(strings: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel matrix to the power ``POWER``, a kernel too; 1 for equal strings."""
+    """Normalised kernel matrix to the power ``POWER``, a kernel too; 1 for equal strings.
+
+    Strings that have no common subsequence with a landmark, which most have not, are told beforehand: 0.
+    """
     out = np.zeros((len(strings), len(landmarks)))
     own = np.array([kernel([z], z)[0] for z in landmarks])
+    alphabet = {c: i for i, c in enumerate(sorted(set("".join(landmarks))), 1)}
+    known = np.array([ord(c) for c in alphabet], np.uint32)
     by_length: dict[int, list[int]] = {}
     for i, s in enumerate(strings):
         by_length.setdefault(len(s), []).append(i)
@@ -122,10 +151,20 @@ def kernels(strings: list[str], landmarks: list[str]) -> np.ndarray:
         for begin in range(0, len(places), GROUP):
             part = places[begin : begin + GROUP]
             group = [strings[i] for i in part]
-            self_kernel = _self_kernels(group)
             codes = np.ascontiguousarray(_codes(group, len(group[0])).T)
-            for j, z in enumerate(landmarks):
-                out[part, j] = (_kernel(codes, z) / np.sqrt(self_kernel * own[j])) ** POWER
+            letters = np.searchsorted(known, codes).clip(max=len(known) - 1)
+            letters = np.where(known[letters] == codes, letters + 1, 0)
+            meeting = [np.flatnonzero(_meeting(letters, alphabet, z)) for z in landmarks]
+            some = np.unique(np.concatenate(meeting))
+            if not len(some):
+                continue
+            self_kernel = np.zeros(len(group))
+            self_kernel[some] = _self_kernels([group[i] for i in some.tolist()])
+            rows = np.array(part)
+            for j, (z, met) in enumerate(zip(landmarks, meeting)):
+                if len(met):
+                    values = _kernel(codes[:, met], z) / np.sqrt(self_kernel[met] * own[j])
+                    out[rows[met], j] = values**POWER
     return out
 
 
@@ -323,6 +362,7 @@ class Judge:
         self.machine = Machine.of_plain(fields)
         learned = fields["learned"]
         self.seen = learned.setdefault("seen", {})
+        self.known = learned.setdefault("known", {})
         if "runs" not in learned:
             learned["runs"] = np.full(26**STEM, np.nan, np.float32)
         self.runs = learned["runs"]
@@ -336,6 +376,19 @@ class Judge:
         seen.update(zip(new, self.machine.decide(new).astype(np.float32).tolist()))
         return np.array([seen[s] for s in strings], float)
 
+    def tokens(self, tokens: list[str]) -> tuple[list[str], np.ndarray]:
+        """The letters of distinct tokens, and the worst decision among the pieces of each."""
+        known = self.known
+        new = [t for t in tokens if t not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = tokens
+        forms = [plain(t) for t in new]
+        fresh = dict(zip(new, zip(forms, self.words(forms).tolist()))) if new else {}
+        known.update((t, found) for t, found in fresh.items() if len(t) <= LONGEST)
+        found = [fresh.get(t) or known[t] for t in tokens]
+        return [form for form, _ in found], np.array([worst for _, worst in found], float)
+
     def words(self, forms: list[str]) -> np.ndarray:
         """The worst decision among the pieces of each word."""
         code = np.frombuffer("\n".join([*forms, ""]).encode("utf-32-le", "replace"), np.uint32).astype(np.int64) - ord("a")
@@ -413,7 +466,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                 part = batch.slice(begin, len(texts))
                 begin += len(texts)
                 dictionary, index, offsets = tokens(texts)
-                forms = [plain(t) for t in dictionary.to_pylist()]
+                forms, per_form = judge.tokens(dictionary.to_pylist())
                 # Words spelled letter by letter, per document.
                 single = np.array([len(form) == 1 for form in forms], bool)
                 letters = single[index] if len(index) else np.zeros(0, bool)
@@ -426,7 +479,6 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                         b += 1
                     if b - a >= LENGTH:
                         spelled += [(int(of[a]), p) for p in pieces("".join(forms[i] for i in index[a:b].tolist()))]
-                per_form = judge.words(forms) if forms else np.array([LOWEST])
                 of_spelled = judge.strings([p for _, p in spelled]).tolist()
                 worst = np.full(len(texts), LOWEST)
                 some = np.diff(offsets) > 0

@@ -247,3 +247,27 @@ def test_toxicity_of_odd_rows(spark):
     found = toxicity.classify(rows, labels).collect()
     assert len(found) == 4 and all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in found)
     assert toxicity.classify(rows.limit(0), labels).count() == 0
+
+
+def test_strings_that_meet_no_landmark_are_left_out_of_the_kernel(monkeypatch):
+    rng = np.random.default_rng(5)
+    strings = ["".join(rng.choice(list("abcdeéz"), rng.integers(3, 13))) for _ in range(400)]
+    landmarks = ["abc", "cabé", "zzz", "deadbeef"]
+    plain = np.array([[toxicity.kernel([s], z)[0] for z in landmarks] for s in strings])
+    own = np.array([toxicity.kernel([s], s)[0] for s in strings + landmarks])
+    expected = (plain / np.sqrt(own[:400, None] * own[None, 400:])) ** toxicity.POWER
+    counted, dense = [], toxicity._kernel
+    monkeypatch.setattr(toxicity, "_kernel", lambda codes, z: counted.append(codes.shape[1]) or dense(codes, z))
+    assert toxicity.kernels(strings, landmarks) == pytest.approx(expected, rel=1e-5)
+    assert sum(counted) == (expected > 0).sum() + len(landmarks) < expected.size
+
+
+def test_a_worker_decides_on_a_token_once(monkeypatch):
+    judge = toxicity.Judge({**toxicity.Machine(["idiot", "table"]).plain(), "learned": {}})
+    tokens, seen, plain = ["idi0t,", "x" * 50, "the", "idiots"], [], toxicity.plain
+    monkeypatch.setattr(toxicity, "plain", lambda token: seen.append(token) or plain(token))
+    forms, worst = judge.tokens(tokens)
+    assert forms == ["idiot", "x" * 50, "the", "idiots"] and worst.tolist() == judge.words(forms).tolist()
+    again, same = judge.tokens(tokens[::-1])
+    assert again == forms[::-1] and same.tolist() == worst.tolist()[::-1] and seen == [*tokens, "x" * 50]
+    assert judge.tokens([])[1].tolist() == []
