@@ -28,6 +28,8 @@ from partlens.llm.shingles import tokens as word_tokens
 STATES, CLASSES, SHARE = 8, 4096, 1e-4
 #: Text per block; tokens per training window, which are the sequences that Baum-Welch sees.
 BLOCK_BYTES, WINDOW = 2_000_000, 512
+#: Tokens whose emissions are looked up at once in scoring; bounds memory for texts of any length.
+TOKENS = 1 << 18
 #: Passes over all training text; from the fourth on the held-out likelihood hardly changes.
 PASSES = 5
 #: Bits for a symbol or the count of a word that is no symbol (under ``share`` of all tokens).
@@ -106,19 +108,34 @@ def _by_length(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     return order, starts[order], alive
 
 
+def _along(starts: np.ndarray, alive: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and sequence numbers of the first-th to last-th tokens (exclusive) of all sequences, step by step."""
+    some = alive[first:last]
+    ends = np.cumsum(some)
+    column = np.arange(ends[-1]) - np.repeat(ends - some, some)
+    return starts[column] + np.repeat(np.arange(first, last), some), column
+
+
 def log_likelihood(model: dict, sequence: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Natural log probability of each text by the scaled forward recursion, all its tokens in one chain."""
     lengths = np.diff(offsets)
     order, starts, alive = _by_length(offsets[:-1], lengths)
     total = np.zeros(len(lengths))
-    alpha = np.tile(model["first"], (len(lengths), 1))
-    for t, m in enumerate(alive.tolist()):
-        if t:
-            alpha = alpha[:m] @ model["moves"]
-        alpha = alpha[:m] * model["emit"][sequence[starts[:m] + t]]
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        total[:m] += np.log(scale)
+    # A state is a row, so that a step works on a few long rows; emissions are looked up for many steps at once.
+    emit, into = np.ascontiguousarray(model["emit"].T), np.ascontiguousarray(model["moves"].T)
+    edges = np.concatenate([[0], np.cumsum(alive)])
+    alpha, begin = np.tile(model["first"][:, None], (1, len(lengths))), 0
+    while begin < len(alive):
+        end = max(begin + 1, int(np.searchsorted(edges, edges[begin] + TOKENS, side="right")) - 1)
+        at, column = _along(starts, alive, begin, end)
+        seen, scales, a = np.take(emit, sequence[at], axis=1), np.empty(len(at)), 0
+        for t, m in enumerate(alive[begin:end].tolist(), begin):
+            alpha = (into @ alpha[:, :m] if t else alpha[:, :m]) * seen[:, a : a + m]
+            scale = np.add.reduce(alpha, 0, out=scales[a : a + m])
+            alpha /= scale
+            a += m
+        total += np.bincount(column, np.log(scales), len(total))
+        begin = end
     out = np.empty(len(lengths))
     out[order] = total
     return out
@@ -129,46 +146,41 @@ def expected_counts(model: dict, sequence: np.ndarray, offsets: np.ndarray) -> d
     k = len(model["first"])
     pieces = [np.arange(a, b, WINDOW) for a, b in zip(offsets[:-1], offsets[1:])]
     starts = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
+    moves, emit = np.zeros((k, k)), np.zeros((model["emit"].shape[0], k))
+    if not len(starts):
+        return {"emit": emit, "moves": moves, "first": np.zeros(k), "likelihood": 0.0}
     opening = np.isin(starts, offsets[:-1])
     lengths = np.diff(np.append(starts, offsets[-1]))
     order, starts, alive = _by_length(starts, lengths)
     opening = opening[order]
-    alive = alive.tolist()
-    forward, scales, seen = [], [], []
-    alpha = np.where(opening[:, None], model["first"], model["share"])
-    likelihood = 0.0
-    for t, m in enumerate(alive):
-        if t:
-            alpha = alpha[:m] @ model["moves"]
-        emitted = model["emit"][sequence[starts[:m] + t]]
-        alpha = alpha[:m] * emitted
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        likelihood += float(np.log(scale).sum())
-        forward.append(alpha)
-        scales.append(scale)
-        seen.append(emitted)
-    moves, emit = np.zeros((k, k)), np.zeros((model["emit"].shape[0], k))
-    beta = np.ones((0, k))
-    gammas, places = [], []
-    for t in range(len(alive) - 1, -1, -1):
-        m = alive[t]
-        grown = np.ones((m, k))
-        if t + 1 < len(alive):
-            ahead = seen[t + 1] * beta / scales[t + 1][:, None]
-            moves += forward[t][: len(ahead)].T @ ahead
-            grown[: len(ahead)] = ahead @ model["moves"].T
-        beta = grown
-        gammas.append(forward[t] * beta)
-        places.append(sequence[starts[:m] + t])
-    if gammas:
-        gamma, place = np.concatenate(gammas), np.concatenate(places)
-        for state in range(k):
-            emit[:, state] = np.bincount(place, gamma[:, state], len(emit))
-        first = gammas[-1][opening].sum(0)
-    else:
-        first = np.zeros(k)
-    return {"emit": emit, "moves": moves * model["moves"], "first": first, "likelihood": likelihood}
+    place = sequence[_along(starts, alive, 0, len(alive))[0]]
+    ends = np.cumsum(alive).tolist()
+    # A state is a row here too; step t has the columns from begin to end.
+    into = np.ascontiguousarray(model["moves"].T)
+    seen = np.take(np.ascontiguousarray(model["emit"].T), place, axis=1)
+    forward, scales, begin = np.empty_like(seen), np.empty(len(place)), 0
+    alpha = np.where(opening, model["first"][:, None], model["share"][:, None])
+    for end in ends:
+        alpha = into @ alpha[:, : end - begin] if begin else alpha
+        alpha = np.multiply(alpha, seen[:, begin:end], out=forward[:, begin:end])
+        scale = np.add.reduce(alpha, 0, out=scales[begin:end])
+        alpha /= scale
+        begin = end
+    seen /= scales
+    # Sequences that end at a step keep their ones; the forward values become the states' shares.
+    beta = np.ones((k, len(starts)))
+    for t in range(len(ends) - 1, -1, -1):
+        begin, end = (ends[t - 1] if t else 0), ends[t]
+        if t + 1 < len(ends):
+            m = ends[t + 1] - end
+            ahead = seen[:, end : end + m] * beta[:, :m]
+            moves += forward[:, begin : begin + m] @ ahead.T
+            beta[:, :m] = model["moves"] @ ahead
+        forward[:, begin:end] *= beta[:, : end - begin]
+    for state in range(k):
+        emit[:, state] = np.bincount(place, forward[state], len(emit))
+    first = forward[:, : len(starts)][:, opening].sum(1)
+    return {"emit": emit, "moves": moves * model["moves"], "first": first, "likelihood": float(np.log(scales).sum())}
 
 
 def reestimated(sums: dict, shares: np.ndarray) -> dict:

@@ -81,6 +81,36 @@ def test_baum_welch_does_not_lose_likelihood():
     assert seen[-1] > seen[0]
 
 
+def test_expected_counts_hold_two_tables_of_tokens_and_states():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    sequence, offsets = rng.integers(0, 50, 100_000), np.arange(0, 100_001, 500)
+    model = hmm_lm._starting_model(8, np.full(50, 0.02))
+    tracemalloc.start()
+    try:
+        sums = hmm_lm.expected_counts(model, sequence, offsets)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # The emissions and the forward values, eight bytes each, and some numbers per token.
+    assert peak < 2.8 * 8 * 8 * len(sequence)
+    assert sums["emit"].sum() == pytest.approx(len(sequence)) and sums["first"].sum() == pytest.approx(200)
+
+
+def test_scores_do_not_depend_on_the_tokens_looked_up_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    lengths = np.concatenate([rng.integers(1, 40, 60), [900]])
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    sequence, model = rng.integers(0, 9, offsets[-1]), hmm_lm._starting_model(3, np.full(9, 1 / 9))
+    whole = hmm_lm.log_likelihood(model, sequence, offsets)
+    for tokens in (1, 100):
+        monkeypatch.setattr(hmm_lm, "TOKENS", tokens)
+        assert hmm_lm.log_likelihood(model, sequence, offsets) == pytest.approx(whole, rel=1e-12)
+    alone = [hmm_lm.log_likelihood(model, sequence[a:b], np.array([0, b - a]))[0] for a, b in zip(offsets[:-1], offsets[1:])]
+    assert whole == pytest.approx(alone, rel=1e-12)
+
+
 def test_language_model_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, "a b", 1), (2, None, 2), (None, "A b c", 2), (2, "", 3), (1, "a b", 1)], "doc_id long, text string, score int")
     found = hmm_lm.score(rows).collect()
