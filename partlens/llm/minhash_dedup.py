@@ -26,6 +26,8 @@ from partlens.llm.shingles import distinct_sets, mix, shingle_hashes, slices
 WIDTH = 3
 #: Parts of the hash range in which shared shingles are counted to rule out pairs.
 PARTS = 64
+#: Bytes of text whose minimum values are computed at once; the worker's memory follows them.
+SLICE = 1_000_000
 #: Chance to miss a single pair that is just similar enough, per collection.
 MISSED = 1e-3
 
@@ -52,7 +54,7 @@ def signatures(docs: DataFrame, size: int, m: int, width: int, doc_id: str = "do
         flip = rng.integers(0, 2**63, (2 * m, width), np.uint64)
         for batch in batches:
             begin = 0
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), SLICE):
                 ids = batch.column(0).slice(begin, len(texts))
                 begin += len(texts)
                 values, offsets = distinct_sets(*shingle_hashes(texts, size))
@@ -150,20 +152,41 @@ def _pivot_pairs(members: DataFrame, pivot: Column, shared: str, percent: int) -
     ).distinct()
 
 
+def _shared_short(sets_of: DataFrame) -> DataFrame:
+    """Per set (doc, f, n) the short hashes of either collection that another set has too: u and v, as place i and s.
+
+    Sets that meet under a table key agree on both of its short hashes. So only these are combined into keys, and a
+    set without relatives makes ``2 * m`` rows and not ``m * m``.
+    """
+    sides = [
+        F.transform(side, lambda s, i: F.struct(F.lit(side == "v").alias("second"), i.alias("i"), s.alias("s")))
+        for side in ("u", "v")
+    ]
+    rows = sets_of.select("doc", "f", "g", F.col("n_shingles").alias("n"), F.explode(F.concat(*sides)).alias("at")).select(
+        "doc", "f", "g", "n", "at.*"
+    )
+    several = rows.groupBy("s").count().where("count > 1").select("s")
+    items = F.struct("i", "s")
+    found = rows.join(several, "s", "left_semi").groupBy("doc", "f", "g", "n").agg(
+        F.collect_list(F.when(~F.col("second"), items)).alias("u"), F.collect_list(F.when(F.col("second"), items)).alias("v")
+    )
+    return stored(found.where("size(u) > 0 AND size(v) > 0"), "short-hashes")
+
+
 def links(docs: DataFrame, signed: DataFrame, sets_of: DataFrame, size: int, percent: int,
           doc_id: str, text: str) -> DataFrame | None:
     """(node, root) of the nodes that confirmed links join; None without candidates.
 
     ``sets_of`` has one row per distinct shingle set: f, g, n, its smallest document ``doc``, u and v.
     """
+    short = _shared_short(sets_of)
     # The low bits of a key name its table: the places of the two short hashes.
-    tables = F.flatten(F.transform("u", lambda x, i: F.transform("v", lambda y, j: (
-        F.shiftleft(F.shiftright(F.xxhash64(i, j, x, y), 16), 16).bitwiseOR((i * 256 + j).cast("bigint"))
+    tables = F.flatten(F.transform("u", lambda x: F.transform("v", lambda y: (
+        F.shiftleft(F.shiftright(F.xxhash64(x["i"], y["i"], x["s"], y["s"]), 16), 16)
+        .bitwiseOR((x["i"] * 256 + y["i"]).cast("bigint"))
     ))))
-    keyed = sets_of.select("doc", "f", F.col("n_shingles").alias("n"), F.explode(tables).alias("key"))
-    shared_keys = keyed.groupBy("key").agg(
-        F.min(F.struct("doc", "f")).alias("x"), F.max(F.struct("doc", "f")).alias("y")
-    ).where("x < y").select("key")
+    keyed = short.select("doc", "f", "n", F.explode(tables).alias("key"))
+    shared_keys = keyed.groupBy("key").count().where("count > 1").select("key")
     members = stored(keyed.join(shared_keys, "key", "left_semi"), "buckets")
     ids = stored(members.select(F.col("doc").alias(doc_id)).distinct(), "candidates")
     if ids.isEmpty():

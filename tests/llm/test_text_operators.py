@@ -224,6 +224,32 @@ def test_near_duplicates_against_all_pairs(spark, docs, size, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_only_short_hashes_that_meet_are_combined_into_table_keys(spark, monkeypatch):
+    base = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(40)]
+    near = [base[0] + " more", base[1].replace("w1x30", "other"), base[1] + " end"]
+    rows = spark.createDataFrame(list(enumerate(base + near)), "doc_id long, text string")
+    kept, real = {}, minhash_dedup.stored
+
+    def watched(df, label, records=0):
+        table = real(df, label, records)
+        kept.setdefault(label, table)
+        return table
+
+    monkeypatch.setattr(minhash_dedup, "stored", watched)
+    found = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(rows, 3, 85).collect()}
+    assert {d: c for d, c in found.items() if d != c} == {40: 0, 41: 1, 42: 1}
+    # Unrelated texts take no part, and the buckets are those of all keys.
+    short = {r["doc"] for r in kept["short-hashes"].collect()}
+    assert short == {0, 1, 40, 41, 42}
+    holders = {}
+    for r in kept["distinct-sets"].collect():
+        for i, x in enumerate(r["u"]):
+            for j, y in enumerate(r["v"]):
+                holders.setdefault((i, j, x, y), []).append(r["doc"])
+    plain = sorted((d, i * 256 + j) for (i, j, _, _), ds in holders.items() if len(ds) > 1 for d in ds)
+    assert sorted((r["doc"], r["key"] & 0xFFFF) for r in kept["buckets"].collect()) == plain
+
+
 def test_near_duplicates_of_odd_rows(spark):
     found = minhash_dedup.near_duplicates(odd_rows(spark), 3, 85).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in found) == [
