@@ -6,7 +6,8 @@ A table key is a pair, one hash out of each collection, so ``2 * m`` short hashe
 
 Documents with equal shingle sets are one node. Inside a bucket no pairs are formed at first: all members are compared
 with one pivot. Only buckets whose members still lie in several components go on, and there only pairs that shared
-shingles still allow are compared. Both bounds are exact, so no link between candidates is lost.
+shingles still allow are compared: blocks of a bucket's members meet block by block, however large the bucket. Both
+bounds are exact, so no link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partlens.llm.common import free_name, stored, with_keys
+from partlens.llm.common import bounded_batches, free_name, stored, with_keys
 from partlens.llm.components import components
 from partlens.llm.shingles import distinct_sets, mix, shingle_hashes, slices
 
@@ -26,6 +27,8 @@ from partlens.llm.shingles import distinct_sets, mix, shingle_hashes, slices
 WIDTH = 3
 #: Parts of the hash range in which shared shingles are counted to rule out pairs.
 PARTS = 64
+#: Members of an open bucket in one block; two blocks meet in one row.
+BLOCK = 512
 #: Bytes of text whose minimum values are computed at once; the worker's memory follows them.
 SLICE = 1_000_000
 #: Chance to miss a single pair that is just similar enough, per collection.
@@ -130,14 +133,21 @@ def _named(df: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Add ``comp``, the component found so far."""
     if roots is None:
         return df.withColumn("comp", F.col("doc"))
-    joined = df.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+    joined = with_keys(df, roots.withColumnRenamed("node", "doc"), "doc", "left")
     return joined.withColumn("comp", F.coalesce("root", "doc")).drop("root")
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component."""
-    keys = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    return members.join(keys, "key", "left_semi")
+    """Members of the buckets that hold more than one component, and ``size``, the members of their bucket."""
+    keys = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
+    return members.drop("size").join(keys.where("x < y").select("key", "size"), "key")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after more links; ``links`` is stored."""
+    if links.isEmpty():
+        return roots
+    return components(roots.selectExpr("node AS a", "root AS b").unionByName(links))
 
 
 def _pivot_pairs(members: DataFrame, pivot: Column, shared: str, percent: int) -> DataFrame:
@@ -175,7 +185,7 @@ def _shared_short(sets_of: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, signed: DataFrame, sets_of: DataFrame, size: int, percent: int,
           doc_id: str, text: str) -> DataFrame | None:
-    """(node, root) of the nodes that confirmed links join; None without candidates.
+    """(node, root) of the nodes that confirmed links join to a smaller one; None without candidates.
 
     ``sets_of`` has one row per distinct shingle set: f, g, n, its smallest document ``doc``, u and v.
     """
@@ -220,7 +230,7 @@ def links(docs: DataFrame, signed: DataFrame, sets_of: DataFrame, size: int, per
     )
     none = F.array_repeat(F.lit(0).cast("bigint"), PARTS)
     shared = open_sets.select("doc", "f", all_parts.alias("parts")).join(alone, ["doc", "f"], "left").select(
-        "doc", "f", F.zip_with("parts", F.coalesce("alone", none), lambda x, y: x - y).alias("parts")
+        "doc", "f", F.zip_with("parts", F.coalesce("alone", none), lambda x, y: (x - y).cast("int")).alias("parts")
     ).withColumn("k", F.aggregate("parts", F.lit(0).cast("bigint"), lambda x, y: x + y))
     rest = rest.join(stored(shared, "shared"), ["doc", "f"])
     smallest = rest.groupBy("key").agg(F.min("n").alias("least"))
@@ -231,39 +241,82 @@ def links(docs: DataFrame, signed: DataFrame, sets_of: DataFrame, size: int, per
     if rest.isEmpty():
         return roots
     common = F.max_by(F.struct("doc", "f", "n", "comp", "k"), F.struct(F.col("k") / F.col("n"), F.xxhash64("doc")))
-    second = confirmed(_pivot_pairs(rest, common, "k", percent), sets, percent)
-    found = stored(found.unionByName(second), "found")
-    roots = components(found)
+    second = stored(confirmed(_pivot_pairs(rest, common, "k", percent), sets, percent), "found")
+    roots = _merged(roots, second)
     rest = stored(_open(_named(rest.drop("comp"), roots)), "open")
     if rest.isEmpty():
         return roots
-    third = confirmed(_pairs_left(rest, sets_of, percent), sets, percent)
-    return components(stored(found.unionByName(third), "found"))
+    return _merged(roots, stored(confirmed(_pairs_left(rest, percent), sets, percent), "found"))
 
 
-def _pairs_left(rest: DataFrame, sets_of: DataFrame, percent: int) -> DataFrame:
-    """Pairs of open documents of one bucket in different components that the bounds allow, each from one bucket."""
-    rows = rest.join(sets_of.select("doc", "f", "u", "v"), ["doc", "f"])
-    names = ("doc", "f", "n", "k", "parts", "comp", "u", "v")
-    left = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
-    right = rows.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in names])
+def allowed(n, k, parts, comp, first, second, percent: int, at_once: int = 16_384):
+    """(i, j): pairs of the members ``first`` and ``second`` in different components that the bounds allow.
+
+    ``second`` is ``first`` itself for the pairs among those, each taken once. The members' shingles ``n``, those that
+    another member may share ``k`` and by parts of the hash range ``parts`` are given. Cheap bounds first; the parts
+    are compared for ``at_once`` pairs at a time.
+    """
+    apart = np.less if second is first else np.not_equal
+    least = percent * (n[first][:, None] + n[second])
+    i, j = np.nonzero(
+        apart(comp[first][:, None], comp[second]) & ((100 + percent) * np.minimum(k[first][:, None], k[second]) >= least)
+    )
+    least, i, j = least[i, j], first[i], second[j]
+    able = [np.zeros(0, bool)]
+    for begin in range(0, len(i), at_once):
+        some = slice(begin, begin + at_once)
+        able.append((100 + percent) * np.minimum(parts[i[some]], parts[j[some]]).sum(1, dtype=np.int64) >= least[some])
+    able = np.concatenate(able)
+    return i[able], j[able]
 
-    def first_equal(side: str) -> Column:
-        equal = F.zip_with(f"{side}_a", f"{side}_b", lambda x, y: x == y)
-        return F.array_position(equal, F.lit(True)) - 1
 
-    at_most = F.aggregate(
-        F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda x, y: x + y
+def _pairs_left(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open documents of one bucket in different components that the bounds allow.
+
+    A bucket's members fall into blocks by hash. Each pair of blocks is a row of its own, so a large bucket is spread
+    over tasks and rows stay short; a block's own pairs are those of it with itself.
+    """
+    schema = T.StructType([
+        T.StructField("a", rest.schema["doc"].dataType), T.StructField("fa", T.LongType()),
+        T.StructField("b", rest.schema["doc"].dataType), T.StructField("fb", T.LongType()),
+    ])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(2)
+            ends = lists.offsets.to_numpy()
+            members = lists.values.slice(ends[0], ends[-1] - ends[0])
+            doc, f, n, k, comp, block, parts = members.flatten()
+            f, n, k, block = (x.to_numpy(zero_copy_only=False) for x in (f, n, k, block))
+            comp = comp.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            parts = parts.flatten().to_numpy(zero_copy_only=False).reshape(-1, PARTS)
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            bounds = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends - ends[0], ends[1:] - ends[0])
+            for x, y, begin, end in bounds:
+                first = begin + np.flatnonzero(block[begin:end] == x)
+                second = first if x == y else begin + np.flatnonzero(block[begin:end] == y)
+                i, j = allowed(n, k, parts, comp, first, second, percent)
+                # The smaller fingerprint first, so a pair of several buckets is one row in the end.
+                fore = np.where(f[i] < f[j], i, j)
+                left.append(fore)
+                right.append(i + j - fore)
+            left, right = (pa.array(np.concatenate(side)) for side in (left, right))
+            prints = pa.array(f)
+            yield pa.RecordBatch.from_arrays(
+                [doc.take(left), prints.take(left), doc.take(right), prints.take(right)], names=schema.names
+            )
+
+    bounded_batches(rest.sparkSession)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("doc", "f"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
     )
-    # Cheap conditions first; a pair is taken in the first of its common tables only.
-    possible = (
-        (F.col("comp_a") < F.col("comp_b")) & _similar(F.least("k_a", "k_b"), "n_a", "n_b", percent)
-        & (F.col("key").bitwiseAND(F.lit(0xFFFF)) == first_equal("u") * 256 + first_equal("v"))
-        & _similar(at_most, "n_a", "n_b", percent)
+    met = dealt.groupBy("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(
+        F.collect_list(F.struct("doc", "f", "n", "k", "comp", "block", "parts")).alias("members")
     )
-    return left.join(right, (F.col("key") == F.col("key_b")) & possible).select(
-        F.col("doc_a").alias("a"), F.col("f_a").alias("fa"), F.col("doc_b").alias("b"), F.col("f_b").alias("fb")
-    ).distinct()
+    return met.select("x", "y", "members").mapInArrow(run, schema).distinct()
 
 
 def near_duplicates(

@@ -5,10 +5,11 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from partlens.llm import byte_bpe, decontaminate, minhash_dedup, passages, pii_labels, secret_scan, spans
+from partlens.llm import byte_bpe, components, decontaminate, minhash_dedup, passages, pii_labels, secret_scan, spans
 
 FOLDER = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -250,6 +251,46 @@ def test_only_short_hashes_that_meet_are_combined_into_table_keys(spark, monkeyp
     assert sorted((r["doc"], r["key"] & 0xFFFF) for r in kept["buckets"].collect()) == plain
 
 
+def test_pairs_of_open_buckets_meet_block_by_block(spark, monkeypatch):
+    rng, parts, percent = np.random.default_rng(5), minhash_dedup.PARTS, 85
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    base, rows = rng.integers(1, 5, parts), []
+    for doc in range(150):
+        own = np.maximum(base - (rng.random(parts) < 0.12), 0)
+        k = int(own.sum())
+        # Two buckets with common members, one of them of many blocks; some components have many members.
+        keys = [key for key, holds in ((7, True), (8, doc % 3 == 0)) if holds]
+        sized = {7: 150, 8: 50}
+        rows += [
+            (key, doc, int(doc * 7919 % 1009) - 500, k + int(doc % 9), k, [int(x) for x in own], doc if doc % 5 else 0, sized[key])
+            for key in keys
+        ]
+    schema = "key long, doc long, f long, n long, k long, parts array<int>, comp long, size long"
+    rest = spark.createDataFrame(rows, schema)
+    members = {r[1]: r for r in rows}
+    must = set()
+    for a in members.values():
+        for b in members.values():
+            shared = sum(map(min, a[5], b[5]))
+            if a[2] < b[2] and a[6] != b[6] and 100 * min(a[4], b[4]) >= percent * (a[3] + b[3] - min(a[4], b[4])):
+                if 100 * shared >= percent * (a[3] + b[3] - shared):
+                    must.add((a[1], a[2], b[1], b[2]))
+    pairs = minhash_dedup._pairs_left(rest, percent)
+    found = [tuple(r) for r in pairs.collect()]
+    assert 0 < len(must) < 150 * 149 // 2 and len(found) == len(set(found)) and set(found) == must
+    # No join makes a row of each pair of a bucket.
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("edges", [0, 1000])
+def test_components_of_few_and_of_many_links(spark, monkeypatch, edges):
+    monkeypatch.setattr(components, "BROADCAST_EDGES", edges)
+    pairs = [(i, i + 1) for i in range(40, 60)] + [(5, 9), (9, 7), (7, 5), (5, 9), (3, 3), (None, 1), (80, 79)]
+    found = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {tuple(r) for r in found} == {(i, 40) for i in range(41, 61)} | {(7, 5), (9, 5), (80, 79)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_of_odd_rows(spark):
     found = minhash_dedup.near_duplicates(odd_rows(spark), 3, 85).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in found) == [
