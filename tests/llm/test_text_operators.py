@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,6 +321,36 @@ def test_items_inside_very_long_documents(spark):
     assert sorted(r["doc_id"] for r in found.collect()) == list(range(20))
 
 
+def plain_chains(matches):
+    """Chains by comparing each match with all earlier ones; scores rounded, as equal ones may be reached by other sums."""
+    matches = sorted(set(matches))
+    value, score = [0.0] * len(matches), [1.0] * len(matches)
+    for i, (here, there) in enumerate(matches):
+        earlier = [j for j, (p, q) in enumerate(matches) if p < here and q < there]
+        if earlier:
+            j = max(earlier, key=lambda j: value[j])
+            if here - matches[j][0] <= passages.GAP and there - matches[j][1] <= passages.GAP:
+                score[i] = max(1.0, 1.0 + value[j] - passages.GAP_COST * (here + there))
+        value[i] = score[i] + passages.GAP_COST * (here + there)
+    return max(score, default=0.0)
+
+
+def test_best_chain_and_lists_in_bulk():
+    rng = np.random.default_rng(11)
+    for width in (4, 12, 60, 300):
+        for _ in range(25):
+            matches = [tuple(x) for x in rng.integers(0, width, (int(rng.integers(2, 60)), 2)).tolist()]
+            found = passages.chains(matches)
+            assert sum(map(len, found)) == len(set().union(*found)) and set().union(*found) <= set(matches)
+            if found and len(found[0]) > 1:
+                best = found[0]
+                steps = sum(b[0] + b[1] - a[0] - a[1] for a, b in zip(best, best[1:]))
+                assert abs(len(best) - passages.GAP_COST * steps - plain_chains(matches)) < 1e-6
+    column = pa.array([[1, 2], [], [3], [-4, 5, 6]], pa.list_(pa.int32()))
+    for part in (column, column.slice(1, 2), column.slice(3), column.slice(0, 0)):
+        assert passages._lists(part) == part.to_pylist()
+
+
 def test_passages_find_every_long_repeat(spark, docs):
     both = docs.unionByName(odd_rows(spark).select("doc_id", "text"))
     found = passages.shared_passages(both).collect()
