@@ -71,7 +71,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     bounded_batches(spark)
     aside, back = set_aside(docs, ["decoded", "decoded_bytes"])
-    coded = byte_bpe.decode(byte_bpe.encode(aside, ranks, public_tokenizers.PATTERN, with_offsets=False), ranks)
+    # Written between the two, as a task that does both has two Python workers, and the executor's memory follows them.
+    coded = stored(byte_bpe.encode(aside, ranks, public_tokenizers.PATTERN, with_offsets=False), "encoded")
+    coded = byte_bpe.decode(coded, ranks)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     new = coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same)
     return new.drop("decoded", "decoded_bytes").withColumnsRenamed(back)

@@ -51,16 +51,22 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
     return Tokenizer(models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)).to_str()
 
 
-def piece_encoder(model_json: str, pattern: str, with_offsets: bool = True):
+def read_model(model_json: str):
+    """The library's model; a task reads it once, as it takes tens of megabytes."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(model_json).model
+
+
+def piece_encoder(model, pattern: str, with_offsets: bool = True):
     """A function from a text to (ids, start and end characters of each token), or to (ids,) alone.
 
     A token that holds part of a character's bytes gets the span of that whole character.
     """
     import regex
-    from tokenizers import Tokenizer
 
     split = regex.compile(pattern).findall
-    tokenize = Tokenizer.from_str(model_json).model.tokenize
+    tokenize = model.tokenize
     chars = byte_chars()
     ascii_chars = {b: chars[b] for b in range(128)}
 
@@ -89,12 +95,11 @@ def piece_encoder(model_json: str, pattern: str, with_offsets: bool = True):
     return encode if with_offsets else encode_ids
 
 
-def word_encoder(model_json: str, pattern: str):
+def word_encoder(model, pattern: str):
     """Whether the pattern keeps a space with the letters after it, and a function that encodes such a piece."""
     import regex
-    from tokenizers import Tokenizer
 
-    tokenize = Tokenizer.from_str(model_json).model.tokenize
+    tokenize = model.tokenize
     chars = byte_chars()
     plain = regex.findall(pattern, " ab, ab.c") == [" ab", ",", " ab", ".", "c"]
 
@@ -120,7 +125,7 @@ def encode(
     names = ["ids", "starts", "ends"] if with_offsets else ["ids"]
 
     def offsets_task():
-        encode_text = piece_encoder(model_json.value, pattern)
+        encode_text = piece_encoder(read_model(model_json.value), pattern)
 
         def compute(texts):
             found = [encode_text(value) if value else ([], [], []) for value in texts.to_pylist()]
@@ -132,7 +137,8 @@ def encode(
         import re
         from array import array
 
-        encode_text = piece_encoder(model_json.value, pattern, with_offsets=False)
+        model = read_model(model_json.value)
+        encode_text = piece_encoder(model, pattern, with_offsets=False)
         # A space before white space or the end is no place to cut; such texts are encoded as one.
         odd = re.compile(r" (?=\s|\Z)|\A ").search
         seen: dict[str, bytes] = {}
@@ -154,7 +160,7 @@ def encode(
                 seen[part] = ids
             return ids
 
-        plain, encode_word = word_encoder(model_json.value, pattern)
+        plain, encode_word = word_encoder(model, pattern)
         marks = {mark: packed(mark) for mark in ".,;:"}
 
         def compute(texts):

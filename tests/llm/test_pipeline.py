@@ -53,3 +53,35 @@ def test_pipeline_takes_an_empty_table(spark):
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0
     assert byte_bpe is not None and corpus_pipeline.tokenize(spark, docs, FOLDER).count() == 0
+
+
+def test_no_task_of_the_last_stage_has_two_python_workers(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(20)
+    plan = corpus_pipeline.tokenize(spark, docs, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_a_task_reads_the_tokenizer_once(spark, monkeypatch):
+    import pyarrow as pa
+    import public_tokenizers
+    import tokenizers
+
+    made = []
+
+    class Counted:
+        @staticmethod
+        def from_str(text, own=tokenizers.Tokenizer.from_str):
+            made.append(len(text))
+            return own(text)
+
+    def in_process(df, fields, inputs, fn):
+        return fn()(pa.array([" ab, ab c", None, ""]))[0].to_pylist()
+
+    monkeypatch.setattr(byte_bpe, "add_columns", in_process)
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.range(1).selectExpr("'' AS text")
+    model_json = byte_bpe.tokenizer_json(byte_bpe.read_ranks(ranks))
+    monkeypatch.setattr(byte_bpe, "tokenizer_json", lambda _: model_json)
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    found = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_offsets=False)
+    assert len(found[0]) > 0 and found[1:] == [[], []] and len(made) == 1
