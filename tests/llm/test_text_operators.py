@@ -428,6 +428,74 @@ def test_passages_recall_under_edits(spark):
         assert len(wanted & found) >= 0.9 * len(wanted), percent
 
 
+def plain_pair(a, b):
+    """Passages of two texts, chain by chain."""
+    sides = []
+    for text in (a, b):
+        kmers = passages._rolled(np.array(text, np.uint64), passages.SEED)
+        at = passages.minimizers(kmers, passages.WINDOW)
+        sides.append((kmers[at].view(np.int64), at.astype(np.int32), np.array(text, np.int32)))
+    found = set()
+    for chain in passages.chains(passages.common(*[x.tolist() for side in sides for x in side[:2]])):
+        low, low_there = (max(0, p - passages.BEYOND) for p in chain[0])
+        parts = [text[s : p + passages.SEED + passages.BEYOND] for text, s, p in zip((a, b), (low, low_there), chain[-1])]
+        start, end, their_start, their_end, equal = passages.align(*parts, [(p - low, q - low_there) for p, q in chain])
+        size = max(end - start, their_end - their_start)
+        if min(end - start, their_end - their_start) >= passages.LEAST_WORDS and equal >= passages.IDENTITY * size:
+            found.add((low + start, low + end, low_there + their_start, low_there + their_end, equal))
+    return sides, found
+
+
+def test_pairs_of_texts_side_by_side_against_one_by_one():
+    """Texts of words that stand many times in a row, of repeated lines and of many words; no pair with a passage is ruled out."""
+    rng = np.random.default_rng(5)
+    line = rng.integers(0, 30, 20).tolist()
+
+    def some(kind):
+        if kind == 0:
+            return [w for w in rng.integers(0, 9, 8).tolist() for _ in range(int(rng.choice([14, 30, 45, 70])))]
+        if kind == 1:
+            return line * int(rng.integers(2, 6)) + [w for w in rng.integers(0, 9, 4).tolist() for _ in range(30)]
+        return line * 2 + rng.integers(0, 400, 120).tolist() + line * 3
+
+    pairs = [(some(i % 3), some(i // 3 % 3)) for i in range(90)]
+    base = rng.integers(0, 3000, 300).tolist()
+    pairs += [(base, [w if rng.random() < 0.9 else 9999 for w in base]) for _ in range(5)]
+    expected, columns = [], [[], [], [], [], [], []]
+    for number, (a, b) in enumerate(pairs):
+        sides, found = plain_pair(a, b)
+        expected += [(number, -number, *values) for values in found]
+        for column, values in zip(columns, (*sides[0], *sides[1])):
+            column.append(values)
+        lists = [passages.brackets(np.array(text, np.uint32)) for text in (a, b)]
+        if found and all(x is not None for x in lists):
+            assert set(lists[0].tolist()) & set(lists[1].tolist())
+    assert len(expected) > 100
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())] * 2
+    numbers = pa.array(range(len(pairs)), pa.int64())
+    arrays = [numbers, pa.array([-n for n in range(len(pairs))], pa.int64()), *map(pa.array, columns, kinds)]
+    batch = pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(8)])
+    out = [row for made in passages._compare([batch, batch.slice(0, 0)]) for row in zip(*[c.to_pylist() for c in made.columns])]
+    assert sorted(out) == sorted(expected)
+
+
+def test_texts_that_share_one_word_in_a_row_are_not_compared(spark, monkeypatch):
+    """Forty words that are all alike make a link, and each two texts that hold one met; only those with more in common do."""
+    rows = [(i, " ".join(w for w in (f"a{i}", "same", f"b{i}") for _ in range(40))) for i in range(30)]
+    rows += [(100 + i, " ".join(w for w in (f"c{i}", "same", "both") for _ in range(40))) for i in range(2)]
+    met, real = [], passages.stored
+
+    def watched(df, label, records=0):
+        table = real(df, label, records)
+        met.extend([table.count()] if label == "pairs" else [])
+        return table
+
+    monkeypatch.setattr(passages, "stored", watched)
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == {100, 101}
+    assert sum(met) == 1
+
+
 def test_places_of_repeated_seeds():
     seeds = [1, 2, 3] * 60 + [9, 1, 8]
     every = {(3 * i, 3 * j) for i in range(len(seeds)) for j in range(len(seeds)) if seeds[i] == seeds[j]}
